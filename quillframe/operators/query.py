@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillframe.model import ColumnInfo, QueryResult
-from quillframe.session import RUNTIME_CONF, SHARED_DIR_CONF
+from quillframe.session import RUNTIME_CONF
 from quillframe.sources.tables import read_csv_table, read_parquet_table
 
 PAGE_ROWS = 1000
@@ -21,7 +21,11 @@ SQL_CONF = {
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
     "spark.sql.runSQLOnFiles": "false",
 }
-_INHERITED = ("spark.sql.shuffle.partitions", SHARED_DIR_CONF)
+_INHERITED = (
+    "spark.sql.shuffle.partitions",
+    "spark.sql.files.maxPartitionBytes",
+    "spark.sql.autoBroadcastJoinThreshold",
+)
 
 
 class Workspace:

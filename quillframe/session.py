@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,18 +47,18 @@ def configure(spark: SparkSession) -> SparkSession:
 def _ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package, once per Spark application."""
     app = spark.sparkContext.applicationId
-    if _shipped.get("app") == app:
+    if app in _shipped:
         return
+    _shipped.add(app)
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="quillframe-")) / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w") as bundle:
         for source in sorted(root.rglob("*.py")):
             bundle.write(source, source.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(archive))  # copied to every executor
-    _shipped["app"] = app
 
 
-_shipped: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,15 +68,19 @@ def shared_dir(spark: SparkSession) -> str:
     there the driver and the executors are the same process.
     """
     folder = spark.conf.get(SHARED_DIR_CONF, None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(
             f"set {SHARED_DIR_CONF} to a folder that every executor can reach"
         )
-    folder = tempfile.mkdtemp(prefix="quillframe-")
-    spark.conf.set(SHARED_DIR_CONF, folder)
-    return folder
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_dir(app: str) -> str:
+    return tempfile.mkdtemp(prefix="quillframe-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

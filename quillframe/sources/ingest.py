@@ -218,29 +218,44 @@ def list_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def _excerpt(found: DataFrame, max_chars: int) -> DataFrame:
+    return found.select(
+        "doc_index",
+        "filename",
+        "file_type",
+        F.substring("content", 1, max_chars).alias("content"),
+        F.greatest(F.length("content") - max_chars, F.lit(0))
+        .cast("long")
+        .alias("remaining_chars"),
+    )
+
+
 def read_document(docs: DataFrame, reference: str, max_chars: int = 3000) -> DataFrame:
     """One document by 1-based position, else by file name (first match).
 
     Gives its first characters and how many are left.
     """
-    by_name = docs.filter(F.col("filename") == reference)
-    found = by_name
+    found = docs.filter(F.col("filename") == reference)
     try:
         position = int(reference)
     except ValueError:
         pass
     else:
         at = docs.filter(F.col("doc_index") == position)
-        found = by_name if at.isEmpty() else at
-    return (
-        found.orderBy("doc_index")
-        .limit(1)
-        .select(
-            "filename",
-            "file_type",
-            F.substring("content", 1, max_chars).alias("content"),
-            F.greatest(F.length("content") - max_chars, F.lit(0))
-            .cast("long")
-            .alias("remaining_chars"),
-        )
+        found = found if at.isEmpty() else at
+    return _excerpt(found.orderBy("doc_index").limit(1), max_chars)
+
+
+def read_documents(docs: DataFrame, references: DataFrame, max_chars: int = 3000) -> DataFrame:
+    """The documents named in a table of references, in one join.
+
+    Where several documents have the name, it means the first of them; that
+    choice is made on positions only, before any content moves.
+    """
+    named = docs.select("filename", "doc_index").join(
+        references.select(F.col("reference").alias("filename")).distinct(),
+        "filename",
+        "left_semi",
     )
+    first = named.groupBy("filename").agg(F.min("doc_index").alias("doc_index"))
+    return _excerpt(docs.join(first.select("doc_index"), "doc_index", "left_semi"), max_chars)
