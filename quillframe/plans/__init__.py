@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("documents",)
+MODULES = ("extraction", "documents", "contracts")
 
 
 def load_all() -> None:
