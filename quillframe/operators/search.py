@@ -14,13 +14,16 @@ SHOWN_CHARS = 120
 
 
 def _matches(spark: SparkSession, pattern: str, text: Column) -> Column:
-    """Case-insensitive match; a bad pattern is refused before any task runs."""
+    """Case-insensitive match; a bad pattern is refused before any task runs.
+
+    Classes such as ``\\w`` and ``\\b`` are the Unicode ones.
+    """
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
     except Py4JJavaError as problem:
         reason = problem.java_exception.getMessage()
         raise ValueError(f"Invalid regex pattern: {reason}") from problem
-    return text.rlike(f"(?iu){pattern}")
+    return text.rlike(f"(?iU){pattern}")
 
 
 def _found(hits: DataFrame, origin: str, rank: int, path: Column, name: Column) -> DataFrame:

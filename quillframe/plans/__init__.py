@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("extraction", "documents", "contracts")
+MODULES = ("extraction", "documents", "contracts", "sinks", "questions", "datasets")
 
 
 def load_all() -> None:
