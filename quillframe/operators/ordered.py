@@ -184,6 +184,44 @@ def previous_value(
     ).drop(RUN, "_before")
 
 
+def ranks(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    descending: bool = False,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Add ``rank`` and ``dense_rank`` of ``value`` within its key.
+
+    With oversized keys, equal values are counted before anything is sorted:
+    the rank of a value is one more than the rows with a better one, so only
+    (key, value) groups have to be brought in order.
+    """
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.filter(F.col("_n") > max_group_rows).isEmpty():
+        by = F.col(value).desc() if descending else F.col(value).asc()
+        window = Window.partitionBy(*keys).orderBy(by)
+        return df.withColumns(
+            {"rank": F.rank().over(window), "dense_rank": F.dense_rank().over(window)}
+        )
+    peers = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_peers"))
+    peers = peers.withColumn("_by", -F.col(value) if descending else F.col(value))
+    peers = materialise(peers, "peers")
+    peers = running_sum(peers, keys, ["_by"], "_peers", "_end", max_group_rows)
+    peers = row_numbers(peers, keys, ["_by"], "dense_rank", max_group_rows)
+    ranked = peers.select(
+        *[F.col(c).alias(f"_p_{c}") for c in [*keys, value]],
+        (F.col("_end") - F.col("_peers") + 1).alias("rank"),
+        "dense_rank",
+    )
+    on = reduce(
+        Column.__and__,
+        [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in [*keys, value]],
+    )
+    return df.join(ranked, on).drop(*[f"_p_{c}" for c in [*keys, value]])
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("extraction", "documents", "contracts", "sinks", "questions", "datasets")
+MODULES = ("extraction", "documents", "contracts", "sinks", "questions", "datasets", "relational")
 
 
 def load_all() -> None:
