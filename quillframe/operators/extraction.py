@@ -15,6 +15,7 @@ from typing import Any, Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillframe.functions import text as tx
 from quillframe.model import FAILED, SUCCESS, ExtractionSummary, RecordSchema
@@ -26,6 +27,20 @@ NON_RECORD_TYPES = ("csv", "md", "markdown")
 KEYS = ("document_id", "doc_index", "filename")
 
 
+def record_type(data: T.StructType) -> T.StructType:
+    """The columns of a record table whose data has the given type."""
+    return T.StructType(
+        [
+            T.StructField("document_id", T.StringType()),
+            T.StructField("doc_index", T.LongType()),
+            T.StructField("filename", T.StringType()),
+            T.StructField("data", data),
+            T.StructField("status", T.StringType()),
+            T.StructField("errors", T.ArrayType(T.StringType())),
+        ]
+    )
+
+
 class Strategy(Protocol):
     def __call__(self, documents: DataFrame, schema: RecordSchema) -> DataFrame:
         """Documents to (KEYS, raw struct, extract_error)."""
