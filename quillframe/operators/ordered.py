@@ -234,9 +234,11 @@ def asof_join(
 
     ``order`` is the as-of column followed by tie-breakers; it must be unique
     per key on either side. ``payload`` names the right columns to carry.
+    Null keys match nothing, as in any equi-join.
     """
     keys, order = list(keys), list(order)
     at = order[0]
+    right = right.dropna(subset=keys)
     tagged = left.select(
         F.struct(*left.columns).alias("_left"),
         F.lit(None).cast(right.select(F.struct(*payload)).schema[0].dataType).alias("_right"),

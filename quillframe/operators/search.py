@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,8 @@ def _matches(spark: SparkSession, pattern: str, text: Column) -> Column:
     """
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError as problem:
-        reason = problem.java_exception.getMessage()
-        raise ValueError(f"Invalid regex pattern: {reason}") from problem
+    except (PySparkException, Py4JJavaError) as problem:
+        raise ValueError(f"Invalid regex pattern: {problem}") from problem
     return text.rlike(f"(?iU){pattern}")
 
 

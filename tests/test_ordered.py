@@ -72,7 +72,8 @@ def test_asof_join(skewed, limit):
     rows = skewed.collect()
     for r in got.collect():
         before = [
-            x for x in rows if x.id >= 1500 and x.k == r.k and x.t <= r.t
+            x for x in rows
+            if x.id >= 1500 and x.k is not None and x.k == r.k and x.t <= r.t
         ]
         best = max(before, key=lambda x: (x.t, x.id)) if before else None
         assert (r.rid, r.v) == ((best.id, best.v) if best else (None, None))
