@@ -6,6 +6,8 @@ breaks) with built-in Spark functions only, so they stay in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,16 @@ WHITESPACE_CLASS = (
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used.
+
+    Shared subexpressions are only found inside projections. Within
+    generators, filters and lambdas this keeps a costly value from being
+    computed at every mention.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode whitespace."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -34,14 +46,17 @@ def is_blank(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Array of lines; a final line break does not add an empty line."""
-    parts = F.split(text, LINE_BREAK)
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
-    ).otherwise(parts)
+    return let(
+        F.split(text, LINE_BREAK),
+        lambda parts: F.slice(parts, F.lit(1), _whole_lines(parts)),
+    )
 
 
 def line_count(text: Column) -> Column:
-    parts = F.split(text, LINE_BREAK)
+    return let(F.split(text, LINE_BREAK), _whole_lines)
+
+
+def _whole_lines(parts: Column) -> Column:
     return F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
 
 

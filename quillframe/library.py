@@ -18,7 +18,6 @@ from pyspark.sql.utils import AnalysisException
 from quillframe.functions import text as tx
 from quillframe.model import ExtractionSummary, QueryResult, RecordSchema, typed_struct
 from quillframe.operators import catalog, contracts, extraction, search, sinks
-from quillframe.operators.ordered import with_ordinals
 from quillframe.operators.query import PAGE_ROWS, Workspace
 from quillframe.session import configure
 from quillframe.sources import ingest, listing
@@ -280,13 +279,11 @@ class Library:
             sinks.write_parquet(
                 records, schema, self._path(dataset_id, "parquet") + "/data.parquet"
             )
-        lines = sinks.dump_lines(records, schema)
-        dump = with_ordinals(
-            lines.withColumnRenamed("line_no", "field_no"), ["record_no", "field_no"], "line_no"
+        sinks.dump_lines(records, schema).write.mode("overwrite").parquet(
+            self._path(dataset_id, "dump")
         )
-        dump.write.mode("overwrite").parquet(self._path(dataset_id, "dump"))
         sinks.write_dump(
-            lines, self._path(dataset_id, "text") + "/data.txt"
+            self._read(dataset_id, "dump"), self._path(dataset_id, "text") + "/data.txt"
         )
         if "extracted" in catalog.TRANSITIONS[self.load(dataset_id).status]:
             self.update_status(dataset_id, "extracted")

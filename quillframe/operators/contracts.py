@@ -158,40 +158,54 @@ def latest_versions(heads: DataFrame) -> DataFrame:
 # -- records ------------------------------------------------------------------
 
 
+# Accepted spellings of booleans.
+_TRUE = ("true", "t", "yes", "y", "on", "1")
+_FALSE = ("false", "f", "no", "n", "off", "0")
+
+_CURRENCY = r"^(?:[A-Z]{3}\s*)?[$\u20ac\u00a3\u00a5]?\s*|\s*(?:[$\u20ac\u00a3\u00a5]|[A-Z]{3})$"
+_GROUPING = r"(?<=^[+-]?\d{1,3}(?:,\d{3}){0,12}),(?=\d{3}(?:,\d{3})*(?:\.\d+)?$)"
+_NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
+
+
 def _number(raw: Column) -> Column:
     """Text to double; currency signs, codes and digit grouping may surround it."""
-    bare = F.regexp_replace(
-        tx.strip(raw),
-        r"^(?:[A-Z]{3}\s*)?[$€£¥]?\s*|\s*(?:[$€£¥]|[A-Z]{3})$",
-        "",
-    )
-    grouped = bare.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$")
-    plain = F.when(grouped, F.regexp_replace(bare, ",", "")).otherwise(bare)
-    return F.when(
-        plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double")
-    )
+    bare = F.regexp_replace(tx.strip(raw), _CURRENCY, "")
+    plain = F.regexp_extract(F.regexp_replace(bare, _GROUPING, ""), _NUMBER, 1)
+    return plain.try_cast("double")
 
 
 def _boolean(raw: Column) -> Column:
-    # Accepted spellings.
-    word = F.lower(tx.strip(raw))
-    return F.when(word.isin("true", "t", "yes", "y", "on", "1"), F.lit(True)).when(
-        word.isin("false", "f", "no", "n", "off", "0"), F.lit(False)
-    )
+    pairs = [(w, True) for w in _TRUE] + [(w, False) for w in _FALSE]
+    words = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    return F.try_element_at(words, F.lower(tx.strip(raw)))
 
 
 def coerce(definition: FieldDef, raw: Column) -> Column:
-    """Raw text to the declared type; null where that is not possible."""
+    """Raw text to the declared type; null where that is not possible.
+
+    Each rule mentions the raw text once, so it is computed once.
+    """
     if definition.type == "number":
         return _number(raw)
     if definition.type == "boolean":
         return _boolean(raw)
     if definition.is_nested:
-        opening = r"^\s*\[" if definition.type == "array" else r"^\s*\{"
-        return F.when(raw.rlike(opening), F.from_json(raw, spark_type(definition)))
+        opening = r"\[" if definition.type == "array" else r"\{"
+        value = F.regexp_extract(raw, rf"(?s)^\s*({opening}.*)$", 1)
+        return F.from_json(value, spark_type(definition))
     return raw
 
 
+def compute_once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns that later filters cannot pull apart.
+
+    Spark moves a filter on a computed column below the projection and then
+    computes the column twice. It leaves the output of a generator alone, so
+    the columns come out of one that yields exactly one row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def conform(
     records: DataFrame, schema: RecordSchema, raw: str = "raw", error: str | None = None
 ) -> DataFrame:
@@ -203,37 +217,46 @@ def conform(
     a fixed length. ``error`` may name a column with an earlier failure.
     """
     present = set(records.schema[raw].dataType.fieldNames())
-    texts = {
-        f.name: F.col(raw)[f.name] if f.name in present else F.lit(None).cast("string")
-        for f in schema.fields
-    }
-    data = F.struct(*[coerce(f, texts[f.name]).alias(f.name) for f in schema.fields])
-    typed = records.withColumn("_data", data)
+    kept = [c for c in records.columns if c not in (raw, error)]
+    names = [(f, f"_t{i}", f"_v{i}") for i, f in enumerate(schema.fields)]
+    texts = [
+        (F.col(raw)[f.name] if f.name in present else F.lit(None).cast("string")).alias(t)
+        for f, t, _ in names
+    ]
+    earlier = (F.col(error) if error else F.lit(None).cast("string")).alias("_earlier")
+    values = [coerce(f, F.col(t)).alias(v) for f, t, v in names]
+    typed = compute_once(
+        compute_once(records, *texts, earlier).select(
+            *kept, "_earlier", *[t for _, t, _ in names]
+        ),
+        *values,
+    )
     problems = []
-    for f in schema.fields:
-        text, value = texts[f.name], F.col("_data")[f.name]
+    for f, t, v in names:
         if f.required:
             problems.append(
-                F.when(text.isNull(), F.lit(f"{f.name}: required field is missing"))
+                F.when(F.col(t).isNull(), F.lit(f"{f.name}: required field is missing"))
             )
         problems.append(
             F.when(
-                text.isNotNull() & value.isNull(),
-                F.concat(F.lit(f"{f.name}: not a valid {f.type}: "), text),
+                F.col(t).isNotNull() & F.col(v).isNull(),
+                F.concat(F.lit(f"{f.name}: not a valid {f.type}: "), t),
             )
         )
-    message = F.array_join(F.array_compact(F.array(*problems)), "; ")
-    if error:
-        message = F.coalesce(F.col(error), message)
-    checked = typed.withColumn("_message", message)
-    good = F.col("_message") == ""
-    kept = [c for c in records.columns if c not in (raw, error)]
-    return checked.select(
+    message = F.coalesce(
+        F.col("_earlier"), F.array_join(F.array_compact(F.array(*problems)), "; ")
+    )
+    broken = F.col("_earlier").isNotNull()
+    for f, t, v in names:
+        absent = F.col(t).isNull() if f.required else F.lit(False)
+        broken = broken | absent | (F.col(t).isNotNull() & F.col(v).isNull())
+    data = F.struct(*[F.col(v).alias(f.name) for f, _, v in names])
+    return typed.select(
         *kept,
-        F.when(good, F.col("_data")).cast(typed_struct(schema)).alias("data"),
-        F.when(good, F.lit(SUCCESS)).otherwise(F.lit(FAILED)).alias("status"),
-        F.when(good, F.array().cast("array<string>"))
-        .otherwise(F.array(tx.shorten(F.col("_message"), ERROR_CHARS)))
+        F.when(~broken, data).cast(typed_struct(schema)).alias("data"),
+        F.when(broken, F.lit(FAILED)).otherwise(F.lit(SUCCESS)).alias("status"),
+        F.when(broken, F.array(tx.shorten(message, ERROR_CHARS)))
+        .otherwise(F.array().cast("array<string>"))
         .alias("errors"),
     )
 
@@ -254,15 +277,16 @@ def parse_json_records(
     parsed = F.from_json(
         F.col(column), shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
     )
-    return (
-        records.withColumn("_parsed", parsed)
-        .withColumn(
-            "parse_error",
-            F.when(
-                F.col("_parsed").isNull() | F.col(f"_parsed.{corrupt}").isNotNull(),
-                F.lit("not a JSON object"),
-            ),
-        )
-        .withColumn("raw", F.struct(*[F.col("_parsed")[f.name].alias(f.name) for f in schema.fields]))
-        .drop("_parsed", column)
+    opened = compute_once(
+        records, parsed.alias("_parsed")
+    )
+    return opened.select(
+        *[c for c in records.columns if c != column],
+        F.when(
+            F.col("_parsed").isNull() | F.col(f"_parsed.{corrupt}").isNotNull(),
+            F.lit("not a JSON object"),
+        ).alias("parse_error"),
+        F.struct(*[F.col("_parsed")[f.name].alias(f.name) for f in schema.fields]).alias(
+            "raw"
+        ),
     )

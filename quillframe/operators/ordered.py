@@ -28,13 +28,22 @@ MAX_GROUP_ROWS = 5_000_000
 RUN = "_run"
 
 
-def with_ordinals(df: DataFrame, order: Sequence[str], name: str = "doc_index") -> DataFrame:
+def with_ordinals(
+    df: DataFrame,
+    order: Sequence[str],
+    name: str = "doc_index",
+    size: Column | None = None,
+    offset_name: str = "offset",
+) -> DataFrame:
     """Dense 1-based position over the whole table.
 
     Sorted range partitions are numbered locally and shifted by the sizes of
     the partitions before them: no single-task window. The sorted rows are
     written to the shared folder once, which pins the numbering if a task has
-    to run again and keeps whatever produced ``df`` from running twice.
+    to run again. Finding the ranges reads ``df`` one more time, so store it
+    first if it is costly to compute.
+
+    With ``size``, ``offset_name`` is the sum of it over all rows before.
     """
     local_bits = 33  # layout of monotonically_increasing_id
     rows = (
@@ -48,17 +57,30 @@ def with_ordinals(df: DataFrame, order: Sequence[str], name: str = "doc_index")
             "_local": F.col("_mid").bitwiseAND(F.lit((1 << local_bits) - 1)),
         }
     )
+    weight = F.lit(0) if size is None else size
     # one row per partition of the sort: small whatever the table holds
-    sizes = rows.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(RUN).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_size")
+    )
     before = Window.orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
-        RUN, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
+        RUN,
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
     )
-    return (
-        rows.join(F.broadcast(shifts), RUN)
-        .withColumn(name, F.col("_shift") + F.col("_local") + 1)
-        .drop(RUN, "_mid", "_local", "_shift")
+    numbered = rows.join(F.broadcast(shifts), RUN).withColumn(
+        name, F.col("_shift") + F.col("_local") + 1
     )
+    if size is not None:
+        # a run is one sorted partition, so this window is bounded like one
+        earlier = (
+            Window.partitionBy(RUN)
+            .orderBy("_local")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        here = F.coalesce(F.sum(size).over(earlier), F.lit(0))
+        numbered = numbered.withColumn(offset_name, F.col("_offset") + here)
+    return numbered.drop(RUN, "_mid", "_local", "_shift", "_offset")
 
 
 @dataclass

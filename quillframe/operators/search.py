@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +19,15 @@ SHOWN_CHARS = 120
 def _matches(spark: SparkSession, pattern: str, text: Column) -> Column:
     """Case-insensitive match; a bad pattern is refused before any task runs.
 
-    Classes such as ``\\w`` and ``\\b`` are the Unicode ones.
+    Classes such as ``\\w`` and ``\\b`` are the Unicode ones; as these match
+    more slowly, they are only asked for where a pattern has one.
     """
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
     except (PySparkException, Py4JJavaError) as problem:
         raise ValueError(f"Invalid regex pattern: {problem}") from problem
-    return text.rlike(f"(?iU){pattern}")
+    flags = "iU" if re.search(r"\\[wdsbWDSB]", pattern) else "iu"
+    return text.rlike(f"(?{flags}){pattern}")
 
 
 def _found(hits: DataFrame, origin: str, rank: int, path: Column, name: Column) -> DataFrame:

@@ -109,20 +109,14 @@ def _dump_text(value: Column, kind: T.DataType) -> Column:
 
 
 def dump_lines(records: DataFrame, schema: RecordSchema) -> DataFrame:
-    """(record_no, line_no, line): a heading, a line per field, a blank line.
+    """(record_no, field_no, line_no, line): a heading, a line per field, a blank.
 
     ``record_no`` counts all records in document order, so failed ones, which
-    are not written, leave gaps.
+    are not written, leave gaps. ``line_no`` counts the lines of the whole
+    dump; a line break inside a value starts a new line there. ``records``
+    should be stored already, as all sinks read them.
     """
-    numbered = with_ordinals(records, ["doc_index"], "record_no")
     held = {f.name: f.dataType for f in records.schema["data"].dataType.fields}
-    heading = F.concat(
-        F.lit("=== Record "),
-        F.col("record_no").cast("string"),
-        F.lit(": "),
-        F.col("filename"),
-        F.lit(" ==="),
-    )
     body = [
         F.concat(
             F.lit(f"{f.name}: "),
@@ -132,17 +126,43 @@ def dump_lines(records: DataFrame, schema: RecordSchema) -> DataFrame:
         )
         for f in schema.fields
     ]
-    lines = F.array(heading, *body, F.lit(""))
-    return kept_records(numbered).select(
-        "record_no", F.posexplode(lines).alias("_pos", "line")
-    ).select("record_no", (F.col("_pos") + 1).alias("line_no"), "line")
+    texts = F.when(
+        F.col("status") != FAILED,
+        F.flatten(
+            F.transform(F.array(*body, F.lit("")), lambda t: F.split(t, "\n"))
+        ),
+    ).otherwise(F.array().cast("array<string>"))
+    written = records.select("doc_index", "filename", "status", texts.alias("texts"))
+    size = F.when(F.col("status") != FAILED, F.size("texts") + 1).otherwise(0)
+    numbered = with_ordinals(written, ["doc_index"], "record_no", size, "_before")
+    heading = F.concat(
+        F.lit("=== Record "),
+        F.col("record_no").cast("string"),
+        F.lit(": "),
+        F.col("filename"),
+        F.lit(" ==="),
+    )
+    return (
+        numbered.filter(F.col("status") != FAILED)
+        .select(
+            "record_no",
+            "_before",
+            F.posexplode(F.concat(F.array(heading), "texts")).alias("_pos", "line"),
+        )
+        .select(
+            "record_no",
+            (F.col("_pos") + 1).alias("field_no"),
+            (F.col("_before") + F.col("_pos") + 1).alias("line_no"),
+            "line",
+        )
+    )
 
 
 def write_dump(lines: DataFrame, path: str) -> str:
     """The dump as text files; part files in name order make up the whole."""
     (
-        lines.repartitionByRange("record_no", "line_no")
-        .sortWithinPartitions("record_no", "line_no")
+        lines.repartitionByRange("line_no")
+        .sortWithinPartitions("line_no")
         .select("line")
         .write.mode("overwrite")
         .text(path)

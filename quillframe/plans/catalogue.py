@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillframe.operators.query import Workspace
-from quillframe.session import configure
+from quillframe.session import configure, spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def costly(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are about to be rendered or parsed."""
+    return spread_small(table(spark, sf_dir, name))
+
+
 def workspace(spark: SparkSession, sf_dir: str, *names: str) -> Workspace:
     """A workspace with the named tables registered."""
     ws = Workspace(spark)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillframe.model import typed_struct
 from quillframe.operators import contracts
 from quillframe.plans import render
-from quillframe.plans.catalogue import query, table
+from quillframe.plans.catalogue import costly, query, table
 
 
 @query(
@@ -24,7 +24,8 @@ FROM lineitem
 def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON read straight into the compiled nested type."""
     shape = typed_struct(render.LINE_SCHEMA)
-    typed = render.line_json(spark, sf_dir).withColumn("d", F.from_json("json", shape))
+    lines = render.line_json(spark, sf_dir)
+    typed = contracts.compute_once(lines, F.from_json("json", shape).alias("d"))
     return typed.select(
         "l_orderkey",
         F.col("l_linenumber").cast("long").alias("l_linenumber"),
@@ -101,7 +102,7 @@ def _order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.when(
         (priority == "5-LOW") & (status == "F"), F.substring(record, 1, 20)
     ).otherwise(record)
-    return table(spark, sf_dir, "orders").select(
+    return costly(spark, sf_dir, "orders").select(
         "o_orderkey", broken.alias("json")
     )
 

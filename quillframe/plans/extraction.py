@@ -147,14 +147,13 @@ def extract_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {render.ORDER_TRUTH}
 SELECT doc_index, filename, CASE WHEN {_FAILED} THEN 'failed' ELSE 'success' END AS status,
        CAST(CASE WHEN {_FAILED} THEN NULL ELSE o_totalprice END AS DOUBLE) AS total
-FROM truth ORDER BY doc_index
+FROM truth
 """
 )
 def extract_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        order_records(spark, sf_dir)
-        .orderBy("doc_index")
-        .select("doc_index", "filename", "status", "data.total")
+    """Document order is carried along; sinks sort by it when they write."""
+    return order_records(spark, sf_dir).select(
+        "doc_index", "filename", "status", "data.total"
     )
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from quillframe.functions import text as tx
 from quillframe.operators import query as sql
 from quillframe.operators import search, sinks
-from quillframe.operators.ordered import with_ordinals
 from quillframe.plans import render
 from quillframe.plans.catalogue import query, table, workspace
 from quillframe.plans.extraction import order_records
+from quillframe.session import materialise
 from quillframe.sources import listing
 
 
@@ -206,10 +206,8 @@ FROM found ORDER BY rank, name, line_no LIMIT 40
 )
 def search_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source lines first, then lines of the extracted dump."""
-    body = sinks.dump_lines(order_records(spark, sf_dir), render.ORDER_SCHEMA)
-    dump = with_ordinals(
-        body.withColumnRenamed("line_no", "_in_record"), ["record_no", "_in_record"], "line_no"
-    )
+    records = materialise(order_records(spark, sf_dir), "records")
+    dump = sinks.dump_lines(records, render.ORDER_SCHEMA)
     docs = render.text_documents(spark, sf_dir)
     return search.search(docs, f"{_PATTERN}|^urgent: true", dump, max_results=40)
 

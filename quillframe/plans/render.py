@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillframe.model import FieldDef, RecordSchema
 from quillframe.operators.extraction import RuleStrategy, labelled
-from quillframe.plans.catalogue import table
+from quillframe.plans.catalogue import costly, table
 
 # -- the documents table as files -----------------------------------------------
 
@@ -35,7 +35,7 @@ def _number_name(prefix: str, key: Column, suffix: Column | str) -> Column:
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as (path, length, content bytes), extension by language."""
     content = F.encode("text", "utf-8")
-    return table(spark, sf_dir, "documents").select(
+    return costly(spark, sf_dir, "documents").select(
         F.concat(
             F.lit("corpus/"),
             F.col("source"),
@@ -50,7 +50,7 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as parsed documents; ``doc_id`` is their dense position."""
     name = _number_name("doc_", F.col("doc_id"), ".txt")
-    return table(spark, sf_dir, "documents").select(
+    return costly(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"),
         (F.col("doc_id") + 1).alias("doc_index"),
         F.concat(F.lit("corpus/"), name).alias("path"),
@@ -97,7 +97,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text per order. Low-priority pending orders have no total, urgent
     finished ones have one in words, and unspecified priorities are left out.
     """
-    orders = table(spark, sf_dir, "orders")
+    orders = costly(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_mktsegment"
     )
@@ -159,7 +159,7 @@ truth AS (
 def customer_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Markdown page per customer: headers, paragraphs and a code block."""
     joined = (
-        table(spark, sf_dir, "customer")
+        costly(spark, sf_dir, "customer")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
@@ -209,7 +209,7 @@ def part_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sequence(F.lit(1), F.col("p_size")),
         lambda i: F.concat(i.cast("string"), line, F.lit("\n")),
     )
-    return table(spark, sf_dir, "part").select(
+    return costly(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("document_id"),
         (F.col("p_partkey") + 1).alias("doc_index"),
         F.lit(".csv").alias("file_type"),
@@ -263,7 +263,7 @@ def line_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")
         ).alias("source"),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return costly(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.to_json(record).alias("json")
     )
 

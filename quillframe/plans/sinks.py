@@ -10,7 +10,7 @@ from quillframe.operators import sinks
 from quillframe.plans import render
 from quillframe.plans.catalogue import query, table
 from quillframe.plans.extraction import order_records
-from quillframe.session import scratch_path
+from quillframe.session import materialise, scratch_path
 from quillframe.sources.tables import read_csv_table
 
 _KEPT = "NOT (no_total OR bad_total)"
@@ -120,8 +120,6 @@ FROM truth, (VALUES ('csv'), ('parquet')) AS formats(f) WHERE {_KEPT} GROUP BY f
 )
 def write_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extraction results in both formats, read back."""
-    from quillframe.session import materialise
-
     records = materialise(order_records(spark, sf_dir), "records")
     found = []
     for name in sinks.FORMATS:
@@ -145,24 +143,32 @@ def write_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH {render.ORDER_TRUTH}, numbered AS (
   SELECT *, CAST(row_number() OVER (ORDER BY doc_index) AS BIGINT) AS record_no FROM truth
-), kept AS (SELECT * FROM numbered WHERE {_KEPT})
-SELECT record_no, CAST(1 AS BIGINT) AS line_no,
-       '=== Record ' || record_no || ': ' || filename || ' ===' AS line FROM kept
-UNION ALL SELECT record_no, 2, 'order_number: ' || CAST(CAST(o_orderkey AS DOUBLE) AS VARCHAR) FROM kept
-UNION ALL SELECT record_no, 3, 'customer: ' || c_name FROM kept
-UNION ALL SELECT record_no, 4, 'segment: ' || c_mktsegment FROM kept
-UNION ALL SELECT record_no, 5, 'total: ' || CAST(o_totalprice AS VARCHAR) FROM kept
-UNION ALL SELECT record_no, 6, 'order_date: ' || order_date FROM kept
-UNION ALL SELECT record_no, 7, 'priority: ' || coalesce(priority, 'None') FROM kept
-UNION ALL SELECT record_no, 8, 'urgent: ' || CASE WHEN urgent THEN 'True' ELSE 'False' END FROM kept
-UNION ALL SELECT record_no, 9, 'codes: ["' || o_orderstatus || '","' || o_orderpriority || '"]' FROM kept
-UNION ALL SELECT record_no, 10, '' FROM kept
+), kept AS (
+  SELECT *, (row_number() OVER (ORDER BY record_no) - 1) * 10 AS before_it
+  FROM numbered WHERE {_KEPT}
+), dump AS (
+  SELECT *, 1 AS field_no, '=== Record ' || record_no || ': ' || filename || ' ===' AS line FROM kept
+  UNION ALL SELECT *, 2, 'order_number: ' || CAST(CAST(o_orderkey AS DOUBLE) AS VARCHAR) FROM kept
+  UNION ALL SELECT *, 3, 'customer: ' || c_name FROM kept
+  UNION ALL SELECT *, 4, 'segment: ' || c_mktsegment FROM kept
+  UNION ALL SELECT *, 5, 'total: ' || CAST(o_totalprice AS VARCHAR) FROM kept
+  UNION ALL SELECT *, 6, 'order_date: ' || order_date FROM kept
+  UNION ALL SELECT *, 7, 'priority: ' || coalesce(priority, 'None') FROM kept
+  UNION ALL SELECT *, 8, 'urgent: ' || CASE WHEN urgent THEN 'True' ELSE 'False' END FROM kept
+  UNION ALL SELECT *, 9, 'codes: ["' || o_orderstatus || '","' || o_orderpriority || '"]' FROM kept
+  UNION ALL SELECT *, 10, '' FROM kept
+)
+SELECT record_no, CAST(field_no AS BIGINT) AS field_no,
+       CAST(before_it + field_no AS BIGINT) AS line_no, line
+FROM dump
 """
 )
 def text_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = sinks.dump_lines(order_records(spark, sf_dir), render.ORDER_SCHEMA)
+    records = materialise(order_records(spark, sf_dir), "records")
+    lines = sinks.dump_lines(records, render.ORDER_SCHEMA)
     return lines.select(
         F.col("record_no").cast("long").alias("record_no"),
+        F.col("field_no").cast("long").alias("field_no"),
         F.col("line_no").cast("long").alias("line_no"),
         "line",
     )

@@ -88,6 +88,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Input up to this size may be read in fewer tasks than there are cores.
+SMALL_INPUT = 256 * 1024 * 1024
+_TASK_BYTES = 32 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work on a small table.
+
+    A Parquet file with a single row group is one task whatever its rows cost.
+    Where the optimizer's size estimate says the table is small, its rows are
+    dealt out first. Larger tables have enough splits and are left alone, so
+    nothing is shuffled that is worth avoiding.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > SMALL_INPUT:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, size // _TASK_BYTES)))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 

@@ -114,11 +114,14 @@ def lines(documents: DataFrame, *keep: str, text: str = "content") -> DataFrame:
 
 def file_sample(documents: DataFrame, *keep: str, max_lines: int = 50) -> DataFrame:
     """The first lines of each document and how many it has in all."""
-    parts = tx.split_lines(F.col("content"))
-    return documents.select(
+    # counted before the lines are taken apart, not again for every line
+    counted = documents.select(
+        *keep, tx.split_lines(F.col("content")).alias("_lines")
+    ).withColumn("total_lines", F.size("_lines"))
+    return counted.select(
         *keep,
-        F.size(parts).alias("total_lines"),
-        F.posexplode(F.slice(parts, 1, max_lines)).alias("_pos", "line"),
+        "total_lines",
+        F.posexplode(F.slice("_lines", 1, max_lines)).alias("_pos", "line"),
     ).select(*keep, "total_lines", (F.col("_pos") + 1).alias("line_no"), "line")
 
 

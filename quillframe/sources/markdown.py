@@ -24,11 +24,6 @@ HEADER = rf"^#{{1,6}}{tx.WHITESPACE_CLASS}"
 _HEADER_PARTS = rf"(?s)^(#{{1,6}}){tx.WHITESPACE_CLASS}+(.*)\z"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Use an expensive value several times but compute it once per row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _cut_positions(lines: Column, cuts: Callable[[Column], Column]) -> Column:
     """0-based positions of the cutting lines, between two sentinels."""
     numbered = F.transform(
@@ -91,7 +86,7 @@ def _prose_blocks(lines: Column) -> Column:
 
         return F.flatten(_stretches(positions, stretch))
 
-    return _let(
+    return tx.let(
         _cut_positions(lines, lambda line: line.rlike(HEADER) | tx.is_blank(line)),
         build,
     )
@@ -117,17 +112,17 @@ def block_array(content: Column) -> Column:
                     )
                 )
                 return F.when(k % 2 == 1, code).otherwise(
-                    _let(_between(lines, before, after), _prose_blocks)
+                    tx.let(_between(lines, before, after), _prose_blocks)
                 )
 
             return F.flatten(_stretches(fences, stretch))
 
-        return _let(
+        return tx.let(
             _cut_positions(lines, lambda line: F.startswith(tx.strip(line), F.lit(FENCE))),
             from_fences,
         )
 
-    return _let(F.split(content, "\n"), from_lines)
+    return tx.let(F.split(content, "\n"), from_lines)
 
 
 def blocks(documents: DataFrame) -> DataFrame:
