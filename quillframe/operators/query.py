@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -99,35 +101,37 @@ def columns_of(df: DataFrame) -> list[ColumnInfo]:
 def profile_table(df: DataFrame) -> DataFrame:
     """One row per column: type, non-null and distinct count, min, max, mean.
 
-    All columns are profiled in one pass. Distinct values are reduced per
-    partition and counted over (column, value) groups, so a value that fills
-    much of a column is a handful of rows by the time it is shuffled.
+    Each column is read and reduced by itself: to its distinct values with
+    their counts (combined before the shuffle), then to one row. On a columnar
+    table that reads every column once, and a value that fills much of a column
+    is one row per task by the time it is shuffled.
     """
-    simple = [
-        f for f in df.schema.fields
-        if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
-    ]
-    aggregates, entries = [], []
-    for i, f in enumerate(simple):
-        c = F.col(f"`{f.name}`")
-        is_number = isinstance(f.dataType, T.NumericType)
-        mean = F.avg(c.cast("double")) if is_number else F.lit(None).cast("double")
-        aggregates += [
-            F.count(c).alias(f"n{i}"),
-            F.count_distinct(c).alias(f"d{i}"),
-            F.min(c).cast("string").alias(f"lo{i}"),
-            F.max(c).cast("string").alias(f"hi{i}"),
-            mean.alias(f"m{i}"),
-        ]
-        entries.append(
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("column_type"),
-                F.col(f"n{i}").alias("non_null"),
-                F.col(f"d{i}").alias("distinct_values"),
-                F.col(f"lo{i}").alias("min_value"),
-                F.col(f"hi{i}").alias("max_value"),
-                F.col(f"m{i}").alias("mean_value"),
-            )
-        )
-    return df.agg(*aggregates).select(F.inline(F.array(*entries)))
+    nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
+    simple = [f for f in df.schema.fields if not isinstance(f.dataType, nested)]
+    return reduce(DataFrame.unionByName, [_profile_column(df, f) for f in simple])
+
+
+def _profile_column(df: DataFrame, field: T.StructField) -> DataFrame:
+    values = df.groupBy(F.col(f"`{field.name}`").alias("v")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    seen = F.when(F.col("v").isNotNull(), F.col("n"))
+    if isinstance(field.dataType, T.NumericType):
+        mean = F.try_divide(F.sum(F.col("v").cast("double") * seen), F.sum(seen))
+    else:
+        mean = F.lit(None).cast("double")
+    return values.agg(
+        F.coalesce(F.sum(seen), F.lit(0)).alias("non_null"),
+        F.count("v").alias("distinct_values"),
+        F.min("v").cast("string").alias("min_value"),
+        F.max("v").cast("string").alias("max_value"),
+        mean.alias("mean_value"),
+    ).select(
+        F.lit(field.name).alias("column_name"),
+        F.lit(field.dataType.simpleString()).alias("column_type"),
+        "non_null",
+        "distinct_values",
+        "min_value",
+        "max_value",
+        "mean_value",
+    )

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.operators.ordered import MAX_GROUP_ROWS, running_sum
+
 
 def interval_join(
     points: DataFrame,
@@ -52,18 +55,44 @@ def distinct_counts(
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], names: Sequence[str]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: Sequence[float],
+    names: Sequence[str],
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Exact interpolated quantiles per key.
+    """Exact interpolated quantiles per key; null values do not count.
 
-    Equal values are counted first (combined before the shuffle), so a task
-    handles the distinct values of a key and not its rows.
+    Equal values are counted first (combined before the shuffle). Their running
+    count then tells which value sits at a position, so no task has to hold the
+    values of a whole key.
     """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    keys = list(keys)
+    counted = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    upto = running_sum(counted, keys, [value], "_n", "_upto", max_group_rows)
+    totals = counted.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
+        F.sum("_n").alias("_total")
+    )
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    placed = upto.join(totals, on)
 
-    def at(p: float) -> Column:
-        return F.percentile(F.col(value), F.lit(p), F.col("_n"))
+    def at(position: Column) -> Column:
+        here = (F.col("_upto") > position) & (F.col("_upto") - F.col("_n") <= position)
+        return F.max(F.when(here, F.col(value)))
 
-    return counted.groupBy(*keys).agg(
-        *[at(p).alias(n) for p, n in zip(probabilities, names)]
-    )
+    picks, results = [], []
+    for i, (p, name) in enumerate(zip(probabilities, names)):
+        position = (F.col("_total") - 1) * F.lit(float(p))
+        picks += [
+            at(F.floor(position)).alias(f"_lo{i}"),
+            at(F.ceil(position)).alias(f"_hi{i}"),
+            F.max(position - F.floor(position)).alias(f"_part{i}"),
+        ]
+        gap = F.col(f"_hi{i}") - F.col(f"_lo{i}")
+        results.append((F.col(f"_lo{i}") + gap * F.col(f"_part{i}")).alias(name))
+    return placed.groupBy(*keys).agg(*picks).select(*keys, *results)

@@ -43,9 +43,12 @@ def _found(hits: DataFrame, origin: str, rank: int, path: Column, name: Column)
 
 def matching_lines(documents: DataFrame, pattern: str) -> DataFrame:
     """Every matching line of documents with path, filename and content."""
-    hits = lines(documents, "path", "filename").filter(
-        _matches(documents.sparkSession, pattern, F.col("line"))
-    )
+    return matching_source_lines(lines(documents, "path", "filename"), pattern)
+
+
+def matching_source_lines(source_lines: DataFrame, pattern: str) -> DataFrame:
+    """The same over lines given as (path, filename, line_no, line)."""
+    hits = source_lines.filter(_matches(source_lines.sparkSession, pattern, F.col("line")))
     return _found(hits, "source", 0, F.col("path"), F.col("filename"))
 
 

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.operators import ordered, relational
+from quillframe.operators.contracts import compute_once
 from quillframe.plans import render
 from quillframe.plans.catalogue import query, table, workspace
 
 _REVENUE = (
-    "CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"
+    # 18 digits in all, which Spark keeps in a long
+    "CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"
 )
 
 
@@ -650,14 +652,13 @@ FROM amounts GROUP BY ALL
 )
 def explode_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested amounts of JSON records, one row each, summed by kind."""
-    ws = workspace(spark, sf_dir)
-    render.line_json(ws.spark, sf_dir).createOrReplaceTempView("line_record")
-    return ws.query(
+    records = render.line_json(spark, sf_dir)
+    shape = "returned BOOLEAN, amounts ARRAY<STRUCT<kind STRING, value DOUBLE>>"
+    parsed = compute_once(records, F.from_json("json", shape).alias("r"))
+    parsed.createOrReplaceTempView("line_record")
+    return spark.sql(
         """
-        WITH parsed AS (
-          SELECT from_json(json, 'returned BOOLEAN, amounts ARRAY<STRUCT<kind STRING, value DOUBLE>>') AS r
-          FROM line_record
-        ), items AS (SELECT r.returned, inline(r.amounts) AS (kind, value) FROM parsed)
+        WITH items AS (SELECT r.returned, inline(r.amounts) AS (kind, value) FROM line_record)
         SELECT returned, kind, count(*) AS n,
                CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total,
                max(value) AS highest

@@ -20,6 +20,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # JSON written for array/object fields keeps its null members.
     "spark.sql.jsonGenerator.ignoreNullFields": "false",
+    # Whole documents go to Python workers: bound a batch by bytes, not rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
@@ -108,14 +110,16 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(max(1, min(cores, size // _TASK_BYTES)))
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Used where a result must not change on recomputation (partition ids, user
     code) or is read several times. The table survives lost executors, and a
-    reader of it still prunes columns and pushes filters.
+    reader of it still prunes columns, pushes filters and, with
+    ``partition_by``, skips whole partitions.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

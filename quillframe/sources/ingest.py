@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from quillframe.functions import text as tx
 from quillframe.model import METADATA
 from quillframe.operators.ordered import with_ordinals
+from quillframe.session import materialise
 from quillframe.sources import csv_documents, markdown, plaintext
 from quillframe.sources.listing import read_files
 from quillframe.sources.registry import Parser, ParserRegistry
 
+#: Largest file that becomes a document; a Spark cell ends at 2 GB.
+MAX_DOCUMENT_BYTES = 1 << 30
 _CORRUPT = "The file may be corrupt or not a valid file of its declared type."
 
 
@@ -38,92 +41,108 @@ def extension_filter(extensions: str | Sequence[str]) -> list[str]:
     return [n if n.startswith(".") else f".{n}" for n in cleaned if n]
 
 
+def named(files: DataFrame) -> DataFrame:
+    """Files with their base name and lower-case extension."""
+    return files.withColumn("filename", tx.base_name(F.col("path"))).withColumn(
+        "file_type", tx.extension(F.col("filename"))
+    )
+
+
 def route(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame:
     """Files with name, extension and parser; parser is null if unsupported."""
     registry = registry or default_registry()
-    ext = F.col("file_type")
     choice = F.lit(None).cast("string")
     for parser, extensions in registry.by_parser().items():
-        choice = F.when(ext.isin(extensions), F.lit(parser.name)).otherwise(choice)
-    return (
-        files.withColumn("filename", tx.base_name(F.col("path")))
-        .withColumn("file_type", tx.extension(F.col("filename")))
-        .withColumn("parser", choice)
-    )
+        choice = F.when(
+            F.col("file_type").isin(extensions), F.lit(parser.name)
+        ).otherwise(choice)
+    return named(files).withColumn("parser", choice)
 
 
-def _readable(files: DataFrame, parser: Parser, extensions: list[str]) -> DataFrame:
-    """One parser's files as text with the reason it cannot be parsed, if any."""
-    routed = files.withColumn("filename", tx.base_name(F.col("path"))).withColumn(
-        "file_type", tx.extension(F.col("filename"))
-    )
-    text = tx.decode_utf8(F.col("content"))
-    checked = routed.filter(F.col("file_type").isin(extensions)).select(
+def _parsed_by(files: DataFrame, parser: Parser, extensions: list[str]) -> DataFrame:
+    raw = F.col("content")
+    texts = named(files).filter(F.col("file_type").isin(extensions)).select(
         "path",
         "filename",
         "file_type",
-        F.when(tx.is_utf8(F.col("content")), text).alias("content"),
+        F.when(tx.is_utf8(raw), tx.decode_utf8(raw)).alias("content"),
     )
     reason = F.when(F.col("content").isNull(), F.lit("invalid UTF-8 text"))
     if parser.failure:
         reason = F.coalesce(reason, parser.failure(F.col("content")))
-    return checked.withColumn("reason", reason)
+    message = F.concat(
+        F.lit("Failed to parse '"), "filename", F.lit("': "), reason, F.lit(f". {_CORRUPT}")
+    )
+    return texts.select(
+        "path",
+        "filename",
+        "file_type",
+        "content",
+        F.when(F.col("content").isNotNull(), parser.metadata(F.col("content")))
+        .cast(METADATA)
+        .alias("metadata"),
+        message.alias("message"),
+    )
 
 
-def documents(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame:
-    """One row per file that parses. ``files`` needs path and content (bytes).
+def _unsupported(files: DataFrame, registry: ParserRegistry) -> DataFrame:
+    """Files no parser takes; their content is not looked at."""
+    known = registry.extensions()
+    return named(files.select("path")).filter(~F.col("file_type").isin(known)).select(
+        "path",
+        "filename",
+        "file_type",
+        F.lit(None).cast("string").alias("content"),
+        F.lit(None).cast(METADATA).alias("metadata"),
+        F.concat(
+            F.lit("Unsupported file extension '"),
+            "file_type",
+            F.lit(f"'. Supported: {', '.join(known)}"),
+        ).alias("message"),
+    )
 
-    Each parser handles its own extensions and the results are unioned, so a
-    parser that needs Python workers never sees the files of another.
+
+def parse(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame:
+    """Every file once, with its text and metadata or a message why not.
+
+    ``files`` needs path and content (bytes). Each parser handles its own
+    extensions and the results are unioned, so a parser that needs Python
+    workers never sees the files of another. If ``files`` is a table kept
+    apart by the ``parser`` column of :func:`route`, each reads only its part.
     """
     registry = registry or default_registry()
-    parts = []
+    apart = "parser" in files.columns
+    strays = files.filter(F.col("parser").isNull()) if apart else files
+    parts = [_unsupported(strays, registry)]
     for parser, extensions in registry.by_parser().items():
-        good = _readable(files, parser, extensions).filter(F.col("reason").isNull())
-        parts.append(
-            good.select(
-                document_id(F.col("path")).alias("document_id"),
-                "path",
-                "filename",
-                "file_type",
-                "content",
-                parser.metadata(F.col("content")).cast(METADATA).alias("metadata"),
-            )
-        )
+        own = files.filter(F.col("parser") == parser.name) if apart else files
+        parts.append(_parsed_by(own, parser, extensions))
     return reduce(DataFrame.unionByName, parts)
 
 
+def documents_of(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("message").isNull()).select(
+        document_id(F.col("path")).alias("document_id"),
+        "path",
+        "filename",
+        "file_type",
+        "content",
+        "metadata",
+    )
+
+
+def errors_of(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("message").isNotNull()).select("path", "filename", "message")
+
+
+def documents(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame:
+    """One row per file that parses."""
+    return documents_of(parse(files, registry))
+
+
 def ingest_errors(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame:
     """Files that give no document, with the reason."""
-    registry = registry or default_registry()
-    routed = route(files, registry)
-    parts = [
-        routed.filter(F.col("parser").isNull()).select(
-            "path",
-            "filename",
-            F.concat(
-                F.lit("Unsupported file extension '"),
-                "file_type",
-                F.lit(f"'. Supported: {', '.join(registry.extensions())}"),
-            ).alias("message"),
-        )
-    ]
-    for parser, extensions in registry.by_parser().items():
-        bad = _readable(files, parser, extensions).filter(F.col("reason").isNotNull())
-        parts.append(
-            bad.select(
-                "path",
-                "filename",
-                F.concat(
-                    F.lit("Failed to parse '"),
-                    "filename",
-                    F.lit("': "),
-                    "reason",
-                    F.lit(f". {_CORRUPT}"),
-                ).alias("message"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    return errors_of(parse(files, registry))
 
 
 def blocks(docs: DataFrame, registry: ParserRegistry | None = None) -> DataFrame:
@@ -152,44 +171,51 @@ def read_folder(
     """(documents, errors) of a folder, documents numbered in path order.
 
     Each supported extension is a scan of its own with a name filter, so every
-    file is read once, and unsupported files are listed but never read.
+    file is read once; unsupported files are listed but never read.
     """
     registry = registry or default_registry()
     allowed = extension_filter(extensions)
-    docs, errors = [], []
+    listed = named(read_files(spark, folder).select("path"))
+    if allowed:
+        listed = listed.filter(F.col("file_type").isin(allowed))
+    parts = [_unsupported(listed, registry)]
     for parser, known in registry.by_parser().items():
         for ext in known:
-            if allowed and ext not in allowed:
-                continue
-            only = ParserRegistry()
-            only.register([ext], parser)
-            files = read_files(spark, folder, _any_case_glob(ext))
-            docs.append(documents(files, only))
-            errors.append(
-                ingest_errors(files, only).filter(
-                    F.col("message").startswith("Failed to parse")
-                )
-            )
-    listed = route(read_files(spark, folder).select("path"), registry)
-    unknown = listed.filter(F.col("parser").isNull())
-    if allowed:
-        unknown = unknown.filter(F.col("file_type").isin(allowed))
-    errors.append(
-        unknown.select(
+            if not allowed or ext in allowed:
+                files = read_files(spark, folder, _any_case_glob(ext))
+                parts += [_parsed_by(fitting(files), parser, [ext]), too_large(files, [ext])]
+    # stored before it is split up and numbered: no file is opened again
+    parsed = materialise(reduce(DataFrame.unionByName, parts), "parsed")
+    return with_ordinals(documents_of(parsed), ["path"]), errors_of(parsed)
+
+
+def fitting(files: DataFrame) -> DataFrame:
+    """Files that fit into one cell. The condition reaches the file source,
+    which then does not open the others."""
+    return files.filter(F.col("length") <= MAX_DOCUMENT_BYTES)
+
+
+def too_large(files: DataFrame, extensions: list[str]) -> DataFrame:
+    """Files that cannot be one row; their lines can still be read with
+    :mod:`quillframe.sources.large_text`."""
+    return (
+        named(files.select("path", "length"))
+        .filter((F.col("length") > MAX_DOCUMENT_BYTES) & F.col("file_type").isin(extensions))
+        .select(
             "path",
             "filename",
+            "file_type",
+            F.lit(None).cast("string").alias("content"),
+            F.lit(None).cast(METADATA).alias("metadata"),
             F.concat(
-                F.lit("Unsupported file extension '"),
-                "file_type",
-                F.lit(f"'. Supported: {', '.join(registry.extensions())}"),
+                F.lit("Failed to parse '"),
+                "filename",
+                F.lit("': "),
+                tx.size_label(F.col("length")),
+                F.lit(" is too large for one document. Read it by lines."),
             ).alias("message"),
         )
     )
-    problems = reduce(DataFrame.unionByName, errors)
-    if not docs:
-        empty = documents(read_files(spark, folder), registry).limit(0)
-        return empty.withColumn("doc_index", F.lit(0).cast("long")), problems
-    return with_ordinals(reduce(DataFrame.unionByName, docs), ["path"]), problems
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -202,7 +228,8 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 def append_documents(existing: DataFrame, files: DataFrame) -> DataFrame:
     """Existing documents plus those of the files not seen before, numbered on."""
-    fresh = with_ordinals(documents(new_files(files, existing)), ["path"])
+    parsed = materialise(parse(new_files(files, existing)), "parsed")
+    fresh = with_ordinals(documents_of(parsed), ["path"])
     last = existing.agg(F.max("doc_index")).first()[0] or 0  # a single number
     return existing.unionByName(
         fresh.withColumn("doc_index", F.col("doc_index") + F.lit(last))

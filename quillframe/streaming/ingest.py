@@ -15,7 +15,16 @@ from pyspark.sql.utils import AnalysisException
 
 from quillframe.model import FILES
 from quillframe.operators.ordered import with_ordinals
-from quillframe.sources.ingest import documents, ingest_errors
+from quillframe.session import materialise
+from quillframe.sources.ingest import (
+    default_registry,
+    documents_of,
+    errors_of,
+    fitting,
+    parse,
+    route,
+    too_large,
+)
 from quillframe.sources.registry import ParserRegistry
 
 
@@ -49,16 +58,28 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Append new documents to ``target/documents`` and errors to
     ``target/errors``, then stop when the folder is read through."""
+    chosen = registry or default_registry()
     docs_path, errors_path = f"{target}/documents", f"{target}/errors"
 
     def write(files: DataFrame, batch_id: int) -> None:
         batch_spark = files.sparkSession
         shift = _last_index(batch_spark, docs_path, batch_id)
-        numbered = with_ordinals(documents(files, registry), ["path"])
+        # kept apart by parser, so that each one reads its own files only
+        routed = route(fitting(files), chosen)
+        supported = F.col("parser").isNotNull()
+        raw = materialise(
+            routed.withColumn("content", F.when(supported, F.col("content"))),
+            "batch",
+            partition_by="parser",
+        )
+        parsed = materialise(
+            parse(raw, chosen).unionByName(too_large(files, chosen.extensions())), "parsed"
+        )
+        numbered = with_ordinals(documents_of(parsed), ["path"])
         numbered.withColumn("doc_index", F.col("doc_index") + F.lit(shift)).write.mode(
             "overwrite"
         ).parquet(f"{docs_path}/batch={batch_id}")
-        ingest_errors(files, registry).write.mode("overwrite").parquet(
+        errors_of(parsed).write.mode("overwrite").parquet(
             f"{errors_path}/batch={batch_id}"
         )
 

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.sources import ingest, listing
+from quillframe.operators import search
+from quillframe.sources import ingest, large_text, listing
 from quillframe.sources.tables import read_csv_table
 from quillframe.streaming.ingest import ingest_stream
 
@@ -125,3 +126,33 @@ def test_csv_table_types(spark, tmp_path):
     df = read_csv_table(spark, str(tmp_path / "t.csv"))
     assert [t for _, t in df.dtypes] == ["int", "string", "double", "boolean"]
     assert df.orderBy("id").collect()[1].name == "c\nd"
+
+
+def test_large_text_lines_are_numbered_across_splits(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
+    lines[7] = "two\x0bparts"
+    (tmp_path / "big.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "other.txt").write_text("a\r\nb")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = large_text.numbered_lines(spark, str(tmp_path), "*.txt")
+        rows = {(r.filename, r.line_no): r.line for r in found.collect()}
+        hits = search.first_matches(search.matching_source_lines(found, "^line 4999 ")).collect()
+        counts = {r.filename: r.line_count for r in large_text.line_counts(found).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = (tmp_path / "big.txt").read_text().splitlines()
+    assert [rows["big.txt", i] for i in range(1, len(want) + 1)] == want
+    assert rows["other.txt", 2] == "b" and counts == {"big.txt": 5001, "other.txt": 2}
+    assert [r.line_no for r in hits] == [5001]
+
+
+def test_files_over_the_cell_size_become_errors(spark, folder, monkeypatch):
+    monkeypatch.setattr(ingest, "MAX_DOCUMENT_BYTES", 10)
+    docs, errors = ingest.read_folder(spark, str(folder), "txt")
+    assert sorted(r.filename for r in docs.collect()) == ["b.txt", "empty.txt"]
+    large = errors.filter("message LIKE '%too large%'").collect()
+    assert [r.filename for r in large] == ["b.txt"]

@@ -87,10 +87,15 @@ def test_ordinals_are_dense(skewed):
     assert ordered.with_ordinals(skewed.limit(0), ["t"], "n").count() == 0
 
 
-def test_quantiles(skewed):
-    got = relational.quantiles(skewed, ["k"], "v", [0.5, 0.9], ["a", "b"])
-    want = skewed.groupBy("k").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.9).alias("b"))
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+@pytest.mark.parametrize("limit", [10_000, 10])
+def test_quantiles(skewed, limit):
+    got = relational.quantiles(skewed, ["k"], "v", [0.5, 0.9, 0, 1], list("abcd"), limit)
+    want = skewed.groupBy("k").agg(
+        *[F.percentile("v", p).alias(n) for p, n in zip([0.5, 0.9, 0, 1], "abcd")]
+    )
+    for g, w in zip(got.orderBy("k").collect(), want.orderBy("k").collect()):
+        assert g.k == w.k
+        assert [float(x) for x in g[1:]] == pytest.approx(list(w[1:]))
 
 
 def test_interval_join(spark):
