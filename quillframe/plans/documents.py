@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.functions import text as tx
+from quillframe.model import BLOCKS
 from quillframe.operators.ordered import with_ordinals
 from quillframe.plans import render
 from quillframe.plans.catalogue import query, table
+from quillframe.session import materialise, scratch_path
 from quillframe.sources import csv_documents, ingest, listing, markdown, paged, plaintext
+from quillframe.sources.registry import Parser
+from quillframe.sources.tables import read_csv_table
 
 # Fixed value: Python's line boundaries, in RE2 syntax.
 _BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -383,9 +390,6 @@ FROM part
 )
 def csv_scan_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts written as CSV and read back with inferred types."""
-    from quillframe.session import scratch_path
-    from quillframe.sources.tables import read_csv_table
-
     path = scratch_path(spark, "parts-csv")
     table(spark, sf_dir, "part").write.option("header", True).csv(path)
     found = read_csv_table(spark, path)
@@ -397,3 +401,51 @@ def csv_scan_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_size").cast("long").alias("p_size"),
         "p_retailprice",
     )
+
+
+def _stamped_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """User code of the kind a parser may run: a block per line of a log."""
+    for batch in batches:
+        for document_id, content in zip(batch["document_id"], batch["content"]):
+            rows = content.split("\n")
+            yield pd.DataFrame(
+                {
+                    "document_id": document_id,
+                    "block_index": range(len(rows)),
+                    "block_type": "entry",
+                    "content": rows,
+                    "metadata": [{} for _ in rows],
+                }
+            )
+
+
+@query(
+    f"""
+WITH {_FILES}
+SELECT file_type, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents,
+       CAST(sum(CASE file_type WHEN '.log' THEN len(string_split(text, chr(10))) ELSE 1 END) AS BIGINT)
+         AS blocks
+FROM files GROUP BY file_type
+"""
+)
+def custom_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own parser for log files, next to the built-in ones."""
+    registry = ingest.default_registry()
+
+    def blocks(docs: DataFrame) -> DataFrame:
+        return docs.select("document_id", "content").mapInPandas(_stamped_lines, BLOCKS)
+
+    def metadata(content: Column) -> Column:
+        return F.create_map(F.lit("char_count"), F.length(content).cast("string"))
+
+    registry.register([".log"], Parser("log", blocks, metadata))
+    docs = materialise(ingest.documents(render.text_files(spark, sf_dir), registry), "docs")
+    counts = ingest.blocks(docs, registry).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return (
+        docs.select("document_id", "file_type")
+        .join(counts, "document_id")
+        .groupBy("file_type")
+        .agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("blocks"))
+    )

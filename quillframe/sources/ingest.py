@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from quillframe.functions import text as tx
 from quillframe.model import METADATA
 from quillframe.operators.ordered import with_ordinals
 from quillframe.session import materialise
-from quillframe.sources import csv_documents, markdown, plaintext
+from quillframe.sources import csv_documents, markdown, paged, plaintext
 from quillframe.sources.listing import read_files
 from quillframe.sources.registry import Parser, ParserRegistry
 
@@ -26,6 +27,8 @@ def default_registry() -> ParserRegistry:
     registry.register([".txt"], plaintext.PARSER)
     registry.register([".md"], markdown.PARSER)
     registry.register([".csv"], csv_documents.PARSER)
+    if find_spec("pypdf"):  # optional; without it .pdf counts as unsupported
+        registry.register([".pdf"], paged.page_parser("pdf", paged.pdf_pages))
     return registry
 
 
@@ -60,27 +63,32 @@ def route(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame
 
 
 def _parsed_by(files: DataFrame, parser: Parser, extensions: list[str]) -> DataFrame:
-    raw = F.col("content")
-    texts = named(files).filter(F.col("file_type").isin(extensions)).select(
-        "path",
-        "filename",
-        "file_type",
-        F.when(tx.is_utf8(raw), tx.decode_utf8(raw)).alias("content"),
-    )
-    reason = F.when(F.col("content").isNull(), F.lit("invalid UTF-8 text"))
-    if parser.failure:
-        reason = F.coalesce(reason, parser.failure(F.col("content")))
+    own = named(files).filter(F.col("file_type").isin(extensions))
+    if parser.read_pages:
+        read = paged.page_arrays(own, parser.read_pages)
+        source, reason = F.col("pages"), F.col("reason")
+        content = F.array_join("pages", paged.PAGE_BREAK)
+    else:
+        raw = F.col("content")
+        read = own.select(
+            "path",
+            "filename",
+            "file_type",
+            F.when(tx.is_utf8(raw), tx.decode_utf8(raw)).alias("content"),
+        )
+        source = content = F.col("content")
+        reason = F.when(content.isNull(), F.lit("invalid UTF-8 text"))
+        if parser.failure:
+            reason = F.coalesce(reason, parser.failure(content))
     message = F.concat(
         F.lit("Failed to parse '"), "filename", F.lit("': "), reason, F.lit(f". {_CORRUPT}")
     )
-    return texts.select(
+    return read.select(
         "path",
         "filename",
         "file_type",
-        "content",
-        F.when(F.col("content").isNotNull(), parser.metadata(F.col("content")))
-        .cast(METADATA)
-        .alias("metadata"),
+        content.alias("content"),
+        F.when(source.isNotNull(), parser.metadata(source)).cast(METADATA).alias("metadata"),
         message.alias("message"),
     )
 

@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillframe.functions import text as tx
 from quillframe.model import METADATA
 from quillframe.operators.ordered import MAX_GROUP_ROWS, running_sum
+from quillframe.sources.registry import Parser
 
 PAGE_BREAK = "\n\n"
 PART_CHARS = 32 * 1024 * 1024
@@ -68,6 +69,69 @@ def pdf_pages(content: bytes) -> list[str]:
     return [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
 
 
+def page_arrays(
+    files: DataFrame, read_pages: Callable[[bytes], list[str]]
+) -> DataFrame:
+    """(path, filename, file_type, pages, reason): all pages of a file in one row,
+    for files that fit into one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pages, reasons = [], []
+            for content in batch["content"]:
+                try:
+                    pages.append([p or "" for p in read_pages(bytes(content))])
+                    reasons.append(None)
+                except Exception as problem:  # any reader failure concerns one file
+                    pages.append(None)
+                    reasons.append(str(problem) or type(problem).__name__)
+            yield batch.drop(columns="content").assign(pages=pages, reason=reasons)
+
+    return files.select("path", "filename", "file_type", "content").mapInPandas(
+        run,
+        "path string, filename string, file_type string, pages array<string>, reason string",
+    )
+
+
+def _stored_blocks(documents: DataFrame) -> DataFrame:
+    """Page blocks of stored documents, cut out of the content by page length."""
+    lengths = F.from_json(F.col("metadata")["page_lengths"], "array<int>")
+    starts = F.aggregate(
+        "_lengths",
+        F.array(F.lit(1)),
+        lambda found, n: F.concat(
+            found, F.array(F.element_at(found, -1) + n + len(PAGE_BREAK))
+        ),
+    )
+    pages = F.transform(
+        "_lengths",
+        lambda n, i: F.struct(
+            (i + 1).cast("long").alias("page_no"),
+            F.substr("content", F.get("_starts", i), n).alias("text"),
+        ),
+    )
+    opened = documents.withColumn("_lengths", lengths).withColumn("_starts", starts)
+    rows = opened.select("document_id", F.inline(pages))
+    return page_blocks(rows).withColumn("block_index", F.col("block_index").cast("int"))
+
+
+def _pages_metadata(pages: Column) -> Column:
+    joined = F.length(F.array_join(pages, PAGE_BREAK))
+    return F.create_map(
+        F.lit("page_count"),
+        F.size(pages).cast("string"),
+        F.lit("char_count"),
+        joined.cast("string"),
+        F.lit("page_lengths"),
+        F.to_json(F.transform(pages, F.length)),
+    )
+
+
+def page_parser(name: str, read_pages: Callable[[bytes], list[str]]) -> Parser:
+    """A parser for paged files, given a function that reads their pages."""
+    return Parser(name, _stored_blocks, _pages_metadata, read_pages=read_pages)
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
     """One block per page that is not blank."""
     body = tx.strip(F.col("text"))

@@ -15,13 +15,15 @@ class Parser:
     ``blocks`` turns (document_id, content) rows into block rows, as column
     expressions or with ``mapInPandas``. ``metadata`` gives a map of facts per
     document. ``failure``, if given, is the reason a text cannot be parsed, or
-    null.
+    null. For files that are not text, ``read_pages`` turns their bytes into
+    page texts; ``metadata`` then takes the array of pages.
     """
 
     name: str
     blocks: Callable[[DataFrame], DataFrame]
     metadata: Callable[[Column], Column]
     failure: Callable[[Column], Column] | None = None
+    read_pages: Callable[[bytes], list[str]] | None = None
 
 
 class ParserRegistry:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillframe.operators import search
-from quillframe.sources import ingest, large_text, listing
+from quillframe.sources import ingest, large_text, listing, paged, plaintext
 from quillframe.sources.tables import read_csv_table
 from quillframe.streaming.ingest import ingest_stream
 
@@ -156,3 +156,33 @@ def test_files_over_the_cell_size_become_errors(spark, folder, monkeypatch):
     assert sorted(r.filename for r in docs.collect()) == ["b.txt", "empty.txt"]
     large = errors.filter("message LIKE '%too large%'").collect()
     assert [r.filename for r in large] == ["b.txt"]
+
+
+def test_paged_files_and_user_parsers(spark, folder):
+    registry = ingest.default_registry()
+    registry.register([".log"], plaintext.PARSER)
+    registry.register(
+        [".pag"], paged.page_parser("pag", lambda raw: raw.decode("ascii").split("|"))
+    )
+    (folder / "doc.pag").write_bytes(b" one\n\nmore | |three")
+    (folder / "bad.pag").write_bytes(b"\xff")
+    docs, errors = ingest.read_folder(spark, str(folder), ".pag,.log", registry)
+    rows = {r.filename: r for r in docs.collect()}
+    assert set(rows) == {"doc.pag", "notes.log"}
+    assert rows["doc.pag"].content == " one\n\nmore \n\n \n\nthree"
+    assert rows["doc.pag"].metadata["page_count"] == "3"
+    assert rows["doc.pag"].metadata["char_count"] == str(len(rows["doc.pag"].content))
+    assert "decode" in errors.filter("filename = 'bad.pag'").first().message
+    found = ingest.blocks(docs.filter("filename = 'doc.pag'"), registry)
+    blocks = found.orderBy("block_index").collect()
+    assert [(b.content, b.metadata) for b in blocks] == [
+        ("one\n\nmore", {"page": "1"}), ("three", {"page": "3"})
+    ]
+
+
+def test_mixed_folder_with_a_page_parser(spark, folder):
+    registry = ingest.default_registry()
+    registry.register([".log"], paged.page_parser("log", lambda raw: [raw.decode()]))
+    docs, errors = ingest.read_folder(spark, str(folder), registry=registry)
+    assert docs.count() == 6 and errors.count() == 2
+    assert ingest.blocks(docs, registry).filter("content = 'nothing'").count() == 1
