@@ -74,7 +74,7 @@ class Library:
     def load(self, dataset_id: str) -> Row:
         row = self._current().filter(F.col("dataset_id") == dataset_id).first()
         if row is None:
-            raise FileNotFoundError(f"Dataset not found: {dataset_id}")
+            raise FileNotFoundError(f"no dataset {dataset_id}")
         return row
 
     def list_datasets(self) -> DataFrame:
@@ -142,7 +142,7 @@ class Library:
     def records(self, dataset_id: str) -> DataFrame:
         records = self._read(dataset_id, "records")
         if records is None:
-            raise ValueError("No extracted data available yet. Run extraction first.")
+            raise ValueError("nothing was extracted yet")
         return records
 
     # -- source files and ingest ----------------------------------------------------
@@ -150,7 +150,7 @@ class Library:
     def _folder(self, dataset_id: str) -> str:
         folder = self.load(dataset_id).source_folder
         if not folder:
-            raise ValueError("No source folder configured for this dataset.")
+            raise ValueError("this dataset has no source folder")
         return folder
 
     def list_source_files(self, dataset_id: str, pattern: str = "*") -> DataFrame:
@@ -177,7 +177,7 @@ class Library:
     def get_file_info(self, dataset_id: str, filename: str) -> Row:
         info = listing.file_info(self._one_file(dataset_id, filename)).first()
         if info is None:
-            raise FileNotFoundError(f"File not found: {filename}")
+            raise FileNotFoundError(f"no file {filename}")
         return info
 
     def ingest(self, dataset_id: str, extensions: str = "") -> tuple[int, int]:
@@ -200,7 +200,7 @@ class Library:
         """The first errors in path order, as many as are shown to a user."""
         errors = self._read(dataset_id, "ingest_errors")
         if errors is None:
-            raise ValueError("Nothing was ingested yet.")
+            raise ValueError("nothing was ingested yet")
         return errors.orderBy("path").limit(limit)
 
     def list_documents(self, dataset_id: str) -> DataFrame:
@@ -212,7 +212,7 @@ class Library:
         found = ingest.read_document(self.documents(dataset_id), reference, max_chars)
         row = found.first()
         if row is None:
-            raise FileNotFoundError(f"Document not found: {reference}")
+            raise FileNotFoundError(f"no document {reference}")
         return row
 
     # -- schema and extraction --------------------------------------------------------
@@ -226,10 +226,10 @@ class Library:
         try:
             schema = RecordSchema.from_json(schema_json)
         except (ValueError, KeyError, TypeError) as problem:
-            raise ValueError(f"Invalid schema JSON: {problem}") from problem
+            raise ValueError(f"not a schema in JSON: {problem}") from problem
         problems = contracts.validate_schema(self.spark, schema)
         if problems:
-            raise ValueError("Schema validation failed: " + "; ".join(problems))
+            raise ValueError("the schema is not valid: " + "; ".join(problems))
         before = self.schema(dataset_id)
         schema = schema.with_version(before.version + 1 if before else 1)
         row = self.load(dataset_id)
@@ -241,10 +241,10 @@ class Library:
     def _ready(self, dataset_id: str) -> tuple[DataFrame, RecordSchema]:
         schema = self.schema(dataset_id)
         if schema is None or not schema.fields:
-            raise ValueError("No schema defined. Set a schema first.")
+            raise ValueError("this dataset has no schema yet")
         docs = self.documents(dataset_id)
         if docs.isEmpty():
-            raise ValueError("No documents ingested. Ingest files first.")
+            raise ValueError("this dataset has no documents yet")
         return extraction.skip_non_records(docs), schema
 
     def extract_sample(

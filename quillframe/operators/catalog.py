@@ -38,11 +38,11 @@ def check_transition(current: str, new: str, has_schema: bool = True) -> None:
     allowed = TRANSITIONS.get(current, ())
     if new not in allowed:
         raise ValueError(
-            f"Invalid status transition: '{current}' -> '{new}'. "
-            f"Allowed: {list(allowed)}"
+            f"a dataset cannot go from '{current}' to '{new}', "
+            f"only to: {', '.join(allowed) or 'nothing'}"
         )
     if new == "schema_ready" and not has_schema:
-        raise ValueError("Cannot transition to 'schema_ready' without a schema")
+        raise ValueError("'schema_ready' needs a schema")
 
 
 def current_rows(

@@ -29,6 +29,17 @@ from quillframe.operators.ordered import MAX_GROUP_ROWS, row_numbers
 # Fixed value: names usable as identifiers.
 IDENTIFIER = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
 ERROR_CHARS = 200
+# What validation says.
+NO_NAME = "Schema name is required"
+NO_FIELDS = "Schema must have at least one field"
+BAD_NAME = (
+    "name must be a valid identifier "
+    "(letters, digits, underscores, not starting with digit)"
+)
+DUPLICATE = "duplicate field name"
+BAD_TYPE = f"'. Must be one of: {', '.join(FIELD_TYPES)}"
+NO_ITEMS = "array type requires 'items' definition"
+NO_PROPERTIES = "object type requires 'properties' definition"
 
 
 def schema_fields(spark: SparkSession, schemas: Sequence[RecordSchema]) -> DataFrame:
@@ -53,31 +64,20 @@ def field_errors(fields: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Dat
         F.array(
             F.when(
                 ~F.col("name").rlike(IDENTIFIER),
-                F.concat(
-                    label,
-                    F.lit(
-                        "name must be a valid identifier (letters, digits, "
-                        "underscores, not starting with digit)"
-                    ),
-                ),
+                F.concat(label, F.lit(BAD_NAME)),
             ),
-            F.when(F.col("_nth") > 1, F.concat(label, F.lit("duplicate field name"))),
+            F.when(F.col("_nth") > 1, F.concat(label, F.lit(DUPLICATE))),
             F.when(
                 ~F.col("type").isin(list(FIELD_TYPES)),
-                F.concat(
-                    label,
-                    F.lit("invalid type '"),
-                    F.col("type"),
-                    F.lit(f"'. Must be one of: {', '.join(FIELD_TYPES)}"),
-                ),
+                F.concat(label, F.lit("invalid type '"), F.col("type"), F.lit(BAD_TYPE)),
             ),
             F.when(
                 (F.col("type") == "array") & ~F.col("has_items"),
-                F.concat(label, F.lit("array type requires 'items' definition")),
+                F.concat(label, F.lit(NO_ITEMS)),
             ),
             F.when(
                 (F.col("type") == "object") & (F.col("n_properties") == 0),
-                F.concat(label, F.lit("object type requires 'properties' definition")),
+                F.concat(label, F.lit(NO_PROPERTIES)),
             ),
         )
     )
@@ -91,9 +91,9 @@ def validate_schemas(heads: DataFrame, fields: DataFrame) -> DataFrame:
     key = ["schema_name", "version"]
     unnamed = heads.filter(
         F.col("schema_name").isNull() | tx.is_blank(F.col("schema_name"))
-    ).select(*key, F.lit("Schema name is required").alias("message"))
+    ).select(*key, F.lit(NO_NAME).alias("message"))
     bare = heads.join(fields, key, "left_anti").select(
-        *key, F.lit("Schema must have at least one field").alias("message")
+        *key, F.lit(NO_FIELDS).alias("message")
     )
     return unnamed.unionByName(bare).unionByName(
         field_errors(fields).select(*key, "message")
@@ -103,9 +103,9 @@ def validate_schemas(heads: DataFrame, fields: DataFrame) -> DataFrame:
 def validate_schema(spark: SparkSession, schema: RecordSchema) -> list[str]:
     """Problems of one schema, in reading order."""
     fields = schema_fields(spark, [schema])
-    problems = [] if schema.name.strip() else ["Schema name is required"]
+    problems = [] if schema.name.strip() else [NO_NAME]
     if not schema.fields:
-        return [*problems, "Schema must have at least one field"]
+        return [*problems, NO_FIELDS]
     rows = field_errors(fields).orderBy("ordinal").select("message").collect()
     return problems + [r.message for r in rows]
 

@@ -55,10 +55,10 @@ class Workspace:
             table = read_parquet_table(self.spark, path)
         except PySparkException as problem:
             if problem.getCondition() == "PATH_NOT_FOUND":
-                raise FileNotFoundError(f"Data file not found at {path}") from problem
-            raise ValueError(f"Failed to load data file: {problem}") from problem
+                raise FileNotFoundError(f"there is no table at {path}") from problem
+            raise ValueError(f"cannot read the table at {path}: {problem}") from problem
         except Py4JJavaError as problem:
-            raise ValueError(f"Failed to load data file: {problem}") from problem
+            raise ValueError(f"cannot read the table at {path}: {problem}") from problem
         table.createOrReplaceTempView(name)
         return table
 

@@ -205,19 +205,16 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     dataset_id, tables = sinks.import_snapshot(spark, path, ("datasets", "documents"))
     original, back = docs.filter(F.col("dataset_id") == dataset_id), tables["documents"]
-    # both directions as one grouping: a row counts +1 before and -1 after
-    balance = (
-        original.withColumn("_d", F.lit(1))
-        .unionByName(back.withColumn("_d", F.lit(-1)))
+    # both directions in one grouping: how often each row is there, and there
+    copies = (
+        original.withColumns({"before": F.lit(1), "after": F.lit(0)})
+        .unionByName(back.withColumns({"before": F.lit(0), "after": F.lit(1)}))
         .groupBy(*docs.columns)
-        .agg(F.sum("_d").alias("_d"))
-        .agg(
-            F.count_if(F.col("_d") > 0).alias("missing"),
-            F.count_if(F.col("_d") < 0).alias("added"),
-        )
-        .withColumn("dataset_id", F.lit(dataset_id))
+        .agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
     )
-    facts = back.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars")
+    return copies.groupBy("dataset_id").agg(
+        F.sum("after").alias("documents"),
+        F.sum(F.col("after") * F.col("n_chars")).alias("chars"),
+        F.count_if(F.col("after") < F.col("before")).alias("missing"),
+        F.count_if(F.col("after") > F.col("before")).alias("added"),
     )
-    return facts.join(balance, "dataset_id")

@@ -19,7 +19,10 @@ from quillframe.sources.registry import Parser, ParserRegistry
 
 #: Largest file that becomes a document; a Spark cell ends at 2 GB.
 MAX_DOCUMENT_BYTES = 1 << 30
-_CORRUPT = "The file may be corrupt or not a valid file of its declared type."
+# Why a file gives no document.
+UNSUPPORTED = "Unsupported file extension '"
+FAILED_TO_PARSE = "Failed to parse '"
+CORRUPT = "The file may be corrupt or not a valid file of its declared type."
 
 
 def default_registry() -> ParserRegistry:
@@ -81,7 +84,7 @@ def _parsed_by(files: DataFrame, parser: Parser, extensions: list[str]) -> DataF
         if parser.failure:
             reason = F.coalesce(reason, parser.failure(content))
     message = F.concat(
-        F.lit("Failed to parse '"), "filename", F.lit("': "), reason, F.lit(f". {_CORRUPT}")
+        F.lit(FAILED_TO_PARSE), "filename", F.lit("': "), reason, F.lit(f". {CORRUPT}")
     )
     return read.select(
         "path",
@@ -103,7 +106,7 @@ def _unsupported(files: DataFrame, registry: ParserRegistry) -> DataFrame:
         F.lit(None).cast("string").alias("content"),
         F.lit(None).cast(METADATA).alias("metadata"),
         F.concat(
-            F.lit("Unsupported file extension '"),
+            F.lit(UNSUPPORTED),
             "file_type",
             F.lit(f"'. Supported: {', '.join(known)}"),
         ).alias("message"),
@@ -216,7 +219,7 @@ def too_large(files: DataFrame, extensions: list[str]) -> DataFrame:
             F.lit(None).cast("string").alias("content"),
             F.lit(None).cast(METADATA).alias("metadata"),
             F.concat(
-                F.lit("Failed to parse '"),
+                F.lit(FAILED_TO_PARSE),
                 "filename",
                 F.lit("': "),
                 tx.size_label(F.col("length")),

@@ -81,7 +81,7 @@ def test_replace_missing_and_corrupt(ws):
     with pytest.raises(FileNotFoundError):
         ws.register_table("gone", str(ws.folder / "gone"))
     (ws.folder / "junk.parquet").write_text("not parquet")
-    with pytest.raises(ValueError, match="Failed to load"):
+    with pytest.raises(ValueError, match="cannot read"):
         ws.register_table("junk", str(ws.folder / "junk.parquet"))
 
 
