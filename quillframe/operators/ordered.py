@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillframe.session import materialise
@@ -85,29 +85,38 @@ def with_ordinals(
 
 @dataclass
 class OrderedRuns:
-    """Rows tagged with the run they belong to."""
+    """Rows of ordinary keys, and rows of oversized keys tagged with a run."""
 
-    rows: DataFrame
+    cold: DataFrame
+    hot: DataFrame | None
     keys: list[str]
     order: list[str]
-    is_split: bool
 
-    def local(self) -> Window:
-        return Window.partitionBy(*self.keys, RUN).orderBy(*self.order)
+    def window(self, split: bool) -> WindowSpec:
+        parts = [*self.keys, RUN] if split else self.keys
+        return Window.partitionBy(*parts).orderBy(*self.order)
 
-    def attach(self, carried: DataFrame, columns: Sequence[str]) -> DataFrame:
-        """Join one carried row per (key, run) onto the rows; keys may be null."""
-        renamed = carried.select(
-            *[F.col(k).alias(f"_c_{k}") for k in [*self.keys, RUN]], *columns
-        )
-        on = reduce(
-            Column.__and__,
-            [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in [*self.keys, RUN]],
-        )
-        return self.rows.join(renamed, on, "left").drop(
-            *[f"_c_{k}" for k in [*self.keys, RUN]]
+    def earlier_runs(self) -> WindowSpec:
+        """Over one row per (key, run): the runs before, at most one per task
+        of the sort."""
+        return (
+            Window.partitionBy(*self.keys)
+            .orderBy(RUN)
+            .rowsBetween(Window.unboundedPreceding, -1)
         )
 
+    def attach(self, carried: DataFrame, column: str) -> DataFrame:
+        """Hot rows with the state their run starts with; keys may be null."""
+        names = [*self.keys, RUN]
+        renamed = carried.select(*[F.col(n).alias(f"_c_{n}") for n in names], column)
+        on = _same(self.hot, renamed, names, "_c_")
+        return self.hot.join(renamed, on, "left").drop(*[f"_c_{n}" for n in names])
+
+
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str) -> Column:
+    pairs = [left[n].eqNullSafe(right[f"{prefix}{n}"]) for n in names]
+    return reduce(Column.__and__, pairs)
+
 
 def ordered_runs(
     df: DataFrame,
@@ -115,32 +124,25 @@ def ordered_runs(
     order: Sequence[str],
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> OrderedRuns:
-    """Tag rows with a run number; only oversized keys get more than one run."""
+    """Separate oversized keys and cut their rows into ordered runs."""
     keys, order = list(keys), list(order)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # at most rows/max_group_rows keys can pass this filter
-    hot = sizes.filter(F.col("_n") > max_group_rows).drop("_n")
-    whole = df.withColumn(RUN, F.lit(0))
-    if hot.isEmpty():
-        return OrderedRuns(whole, keys, order, False)
-    hot = materialise(hot, "hot-keys")
-    on = reduce(Column.__and__, [df[k].eqNullSafe(hot[k]) for k in keys])
+    large = sizes.filter(F.col("_n") > max_group_rows).select(
+        *[F.col(k).alias(f"_h_{k}") for k in keys]
+    )
+    if large.isEmpty():
+        return OrderedRuns(df, None, keys, order)
+    large = materialise(large, "hot-keys")
+    on = _same(df, large, keys, "_h_")
     runs = (
-        df.join(hot, on, "left_semi")
+        df.join(large, on, "left_semi")
         .repartitionByRange(*keys, *order)
         .withColumn(RUN, F.spark_partition_id())
     )
-    runs = materialise(runs, "runs")
+    # stored, so that the tags stay what they are if a task runs again
     return OrderedRuns(
-        whole.join(hot, on, "left_anti").unionByName(runs), keys, order, True
-    )
-
-
-def _earlier_runs(runs: OrderedRuns) -> Window:
-    return (
-        Window.partitionBy(*runs.keys)
-        .orderBy(RUN)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        df.join(large, on, "left_anti"), materialise(runs, "runs"), keys, order
     )
 
 
@@ -154,18 +156,24 @@ def running_sum(
 ) -> DataFrame:
     """Sum of ``value`` from the first row of the key to the current row."""
     runs = ordered_runs(df, keys, order, max_group_rows)
-    upto = runs.local().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if not runs.is_split:
-        return runs.rows.withColumn(name, F.sum(value).over(upto)).drop(RUN)
-    totals = runs.rows.groupBy(*runs.keys, RUN).agg(F.sum(value).alias("_total"))
-    carried = totals.withColumn("_before", F.sum("_total").over(_earlier_runs(runs)))
-    rows = runs.attach(carried, ["_before"])
-    here = F.sum(value).over(upto)
+
+    def upto(split: bool) -> Column:
+        frame = runs.window(split).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        return F.sum(value).over(frame)
+
+    whole = runs.cold.withColumn(name, upto(split=False))
+    if runs.hot is None:
+        return whole
+    totals = runs.hot.groupBy(*runs.keys, RUN).agg(F.sum(value).alias("_total"))
+    carried = totals.withColumn("_before", F.sum("_total").over(runs.earlier_runs()))
+    rows = runs.attach(carried, "_before").withColumn("_here", upto(split=True))
     # a sum without any value so far stays null, as in one plain window
-    both = F.when(
-        F.col("_before").isNull(), here
-    ).otherwise(F.col("_before") + F.coalesce(here, F.lit(0)))
-    return rows.withColumn(name, both).drop(RUN, "_before")
+    both = F.when(F.col("_before").isNull(), F.col("_here")).otherwise(
+        F.col("_before") + F.coalesce("_here", F.lit(0))
+    )
+    return whole.unionByName(rows.withColumn(name, both).drop(RUN, "_before", "_here"))
 
 
 def row_numbers(
@@ -190,20 +198,20 @@ def previous_value(
 ) -> DataFrame:
     """``value`` of the row before, within the key (a lag by one)."""
     runs = ordered_runs(df, keys, order, max_group_rows)
-    here = F.lag(value).over(runs.local())
-    if not runs.is_split:
-        return runs.rows.withColumn(name, here).drop(RUN)
-    lasts = runs.rows.groupBy(*runs.keys, RUN).agg(
+    whole = runs.cold.withColumn(name, F.lag(value).over(runs.window(split=False)))
+    if runs.hot is None:
+        return whole
+    lasts = runs.hot.groupBy(*runs.keys, RUN).agg(
         F.max_by(F.struct(value), F.struct(*runs.order)).alias("_last")
     )
-    carried = lasts.withColumn(
-        "_before", F.lag("_last").over(Window.partitionBy(*runs.keys).orderBy(RUN))
-    )
-    rows = runs.attach(carried, ["_before"])
-    first = F.row_number().over(runs.local()) == 1
-    return rows.withColumn(
-        name, F.when(first, F.col(f"_before.{value}")).otherwise(here)
-    ).drop(RUN, "_before")
+    by_run = Window.partitionBy(*runs.keys).orderBy(RUN)
+    carried = lasts.withColumn("_before", F.lag("_last").over(by_run))
+    rows = runs.attach(carried, "_before")
+    window = runs.window(split=True)
+    stepped = F.when(
+        F.row_number().over(window) == 1, F.col(f"_before.{value}")
+    ).otherwise(F.lag(value).over(window))
+    return whole.unionByName(rows.withColumn(name, stepped).drop(RUN, "_before"))
 
 
 def ranks(
@@ -278,23 +286,26 @@ def asof_join(
     )
     sequence = [at, "_side", *order[1:]]
     runs = ordered_runs(tagged, keys, sequence, max_group_rows)
-    here = F.last("_right", ignorenulls=True).over(
-        runs.local().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    if runs.is_split:
-        lasts = runs.rows.groupBy(*keys, RUN).agg(
+
+    def latest(split: bool) -> Column:
+        frame = runs.window(split).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        return F.last("_right", ignorenulls=True).over(frame)
+
+    matched = runs.cold.withColumn("_match", latest(split=False))
+    if runs.hot is not None:
+        lasts = runs.hot.groupBy(*keys, RUN).agg(
             F.max_by(
                 "_right", F.when(F.col("_right").isNotNull(), F.struct(*sequence))
             ).alias("_last")
         )
         carried = lasts.withColumn(
-            "_before", F.last("_last", ignorenulls=True).over(_earlier_runs(runs))
+            "_before", F.last("_last", ignorenulls=True).over(runs.earlier_runs())
         )
-        rows = runs.attach(carried, ["_before"])
-        here = F.coalesce(here, F.col("_before"))
-    else:
-        rows = runs.rows
-    matched = rows.withColumn("_match", here).filter(F.col("_left").isNotNull())
-    return matched.select(
+        rows = runs.attach(carried, "_before").withColumn("_here", latest(split=True))
+        split = rows.withColumn("_match", F.coalesce("_here", "_before"))
+        matched = matched.unionByName(split.drop(RUN, "_before", "_here"))
+    return matched.filter(F.col("_left").isNotNull()).select(
         "_left.*", *[F.col(f"_match.{c}").alias(c) for c in payload]
     )
