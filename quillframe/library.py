@@ -178,6 +178,9 @@ class Library:
         info = listing.file_info(self._one_file(dataset_id, filename)).first()
         if info is None:
             raise FileNotFoundError(f"no file {filename}")
+        if info.modified is None:  # an empty file
+            changed = listing.modified_at(self.spark, info.path)
+            return Row(**{**info.asDict(), "modified": changed})
         return info
 
     def ingest(self, dataset_id: str, extensions: str = "") -> tuple[int, int]:

@@ -22,6 +22,8 @@ SQL_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
     "spark.sql.runSQLOnFiles": "false",
+    # Pages far into a result are sorted by all tasks, not kept in one heap.
+    "spark.sql.execution.topKSortFallbackThreshold": "1000000",
 }
 _INHERITED = (
     "spark.sql.shuffle.partitions",

@@ -14,7 +14,7 @@ from quillframe.model import METADATA
 from quillframe.operators.ordered import with_ordinals
 from quillframe.session import materialise
 from quillframe.sources import csv_documents, markdown, paged, plaintext
-from quillframe.sources.listing import read_files
+from quillframe.sources.listing import empty_files, read_files
 from quillframe.sources.registry import Parser, ParserRegistry
 
 #: Largest file that becomes a document; a Spark cell ends at 2 GB.
@@ -186,14 +186,21 @@ def read_folder(
     """
     registry = registry or default_registry()
     allowed = extension_filter(extensions)
-    listed = named(read_files(spark, folder).select("path"))
+    empty = empty_files(spark, folder)
+    has_empty = not empty.isEmpty()
+
+    def found(pattern: str | None = None) -> DataFrame:
+        files = read_files(spark, folder, pattern, empty=False)
+        return files.unionByName(empty) if has_empty else files
+
+    listed = named(found().select("path"))
     if allowed:
         listed = listed.filter(F.col("file_type").isin(allowed))
     parts = [_unsupported(listed, registry)]
     for parser, known in registry.by_parser().items():
         for ext in known:
             if not allowed or ext in allowed:
-                files = read_files(spark, folder, _any_case_glob(ext))
+                files = found(_any_case_glob(ext))
                 parts += [_parsed_by(fitting(files), parser, [ext]), too_large(files, [ext])]
     # stored before it is split up and numbered: no file is opened again
     parsed = materialise(reduce(DataFrame.unionByName, parts), "parsed")

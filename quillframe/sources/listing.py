@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,58 +11,73 @@ from quillframe.functions import text as tx
 from quillframe.model import FILES
 
 
-def read_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+def read_files(
+    spark: SparkSession, folder: str, pattern: str | None = None, empty: bool = True
+) -> DataFrame:
     """All files below ``folder`` as (path, modificationTime, length, content).
 
-    The file source leaves out empty files; they are documents too, so they are
-    added from a listing of their names. Names starting with ``_`` or ``.`` are
-    left out on both ways, as everywhere in Spark. Content is only read when
+    The file source leaves out empty files. They are documents too, so with
+    ``empty`` they are added from its list of names. Names starting with ``_``
+    or ``.`` are left out, as everywhere in Spark. Content is only read when
     something downstream asks for that column.
     """
+    files = _scan(spark, folder, pattern)
+    if not empty:
+        return files
+    nothing_in_them = empty_files(spark, folder, pattern)
+    return files if nothing_in_them.isEmpty() else files.unionByName(nothing_in_them)
+
+
+def _scan(spark: SparkSession, folder: str, pattern: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern and pattern != "*":
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(folder).select(*FILES.fieldNames())
-    empty = _empty_files(spark, folder, pattern)
-    if not empty:
-        return files
-    return files.unionByName(
-        spark.createDataFrame(empty, "path string, millis long").select(
-            "path",
-            F.timestamp_millis("millis").alias("modificationTime"),
-            F.lit(0).cast("long").alias("length"),
-            F.lit(b"").alias("content"),
-        )
-    )
+    return reader.load(folder).select(*FILES.fieldNames())
+
 
+def empty_files(
+    spark: SparkSession, folder: str, pattern: str | None = None
+) -> DataFrame:
+    """Files of length zero: names the source listed but gives no row for.
 
-def _empty_files(
-    spark: SparkSession, folder: str, pattern: str | None
-) -> list[tuple[str, int]]:
-    """Names of zero-length files, from the same file system Spark reads."""
+    The names go from Spark's own file index to a table inside the JVM; the
+    comparison is a join of names. The time of change is not part of it.
+    """
+    files = _scan(spark, folder, pattern)
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    glob = jvm.org.apache.hadoop.fs.GlobFilter(pattern or "*")
-    found = []
-    entries = fs.listFiles(root, True)
-    while entries.hasNext():
-        status = entries.next()
-        if status.getLen() == 0:
-            path = status.getPath()
-            parts = path.toString()[len(fs.makeQualified(root).toString()):].split("/")
-            if not any(p.startswith(("_", ".")) for p in parts) and glob.accept(path):
-                found.append((path.toString(), status.getModificationTime()))
-    return found
+    names = spark._jsparkSession.createDataset(
+        jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files._jdf.inputFiles()),
+        jvm.org.apache.spark.sql.Encoders.STRING(),
+    )
+    # names come as URIs: a plus sign stands for itself, and an empty host is
+    # written out, which the paths of the scan leave away
+    path = F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
+    listed = DataFrame(names.toDF(), spark).select(path.alias("path"))
+    return listed.join(files.select("path"), "path", "left_anti").select(
+        "path",
+        F.lit(None).cast("timestamp").alias("modificationTime"),
+        F.lit(0).cast("long").alias("length"),
+        F.lit(b"").alias("content"),
+    )
+
+
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def modified_at(spark: SparkSession, path: str) -> datetime:
+    """Time of change of one file, for the files the scan does not deliver."""
+    fs, jpath = _file_system(spark, path)
+    return datetime.fromtimestamp(fs.getFileStatus(jpath).getModificationTime() / 1000)
 
 
 def in_folder(files: DataFrame, folder: str) -> DataFrame:
     """Only the files directly inside ``folder``, not in its subfolders."""
-    parent = F.regexp_replace(F.col("path"), r"/[^/]*\z", "")
-    here = folder.rstrip("/")
-    return files.filter(
-        (parent == here) | (F.regexp_replace(parent, r"^file:/*", "/") == here)
-    )
+    fs, jpath = _file_system(files.sparkSession, folder)
+    here = fs.makeQualified(jpath).toString().rstrip("/")
+    return files.filter(F.regexp_replace("path", r"/[^/]*\z", "") == here)
 
 
 def list_source_files(

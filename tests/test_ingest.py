@@ -88,6 +88,15 @@ def test_listing(spark, folder):
     assert [r.name for r in below] == ["t.csv"]
 
 
+def test_empty_files_with_odd_names(spark, tmp_path):
+    for name in ("a b.txt", "c+d.txt", "e%41.txt", "\u00e9.txt", "_hidden.txt"):
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "full one+.txt").write_text("x")
+    rows = listing.read_files(spark, str(tmp_path), "*.txt").collect()
+    names = {r.path.rsplit("/", 1)[1]: r.length for r in rows}
+    assert names == {"a b.txt": 0, "c+d.txt": 0, "e%41.txt": 0, "\u00e9.txt": 0, "full one+.txt": 1}
+
+
 def test_file_info_sample_and_preview(spark, folder):
     (folder / "lines.txt").write_text("".join(f"line {i}\n" for i in range(60)))
     files = listing.read_files(spark, str(folder), "lines.txt")

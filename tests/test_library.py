@@ -43,6 +43,7 @@ def library(spark, tmp_path):
     (source / "roster.csv").write_text('name,place\nAnn Bell,"Bonn, DE"\n')
     (source / "notes.md").write_text("# Teams\n\n## Sales\nAnn leads.\n")
     (source / "photo.jpg").write_bytes(b"\xff\xd8")
+    (source / "empty.log").write_bytes(b"")
     made = Library(spark, str(tmp_path / "root"))
     made.source = str(source)
     return made
@@ -54,10 +55,12 @@ def test_whole_way(library):
     assert library.list_source_files(ds, "*.csv").first().name == "roster.csv"
     assert library.read_file_sample(ds, "notes.md", 2).count() == 2
     assert library.get_file_info(ds, "notes.md").line_count == 4
+    assert library.get_file_info(ds, "empty.log").modified is not None
 
-    assert library.ingest(ds) == (6, 1)
+    assert library.ingest(ds) == (6, 2)
     assert library.ingest(ds) == (0, 0)
-    assert "jpg" in library.ingest_errors(ds).first().message
+    messages = [r.message for r in library.ingest_errors(ds).collect()]
+    assert ".log" in messages[0] and ".jpg" in messages[1]
     assert [r.filename for r in library.list_documents(ds).collect()][:2] == [
         "notes.md", "person_1.txt"
     ]
