@@ -163,7 +163,8 @@ _TRUE = ("true", "t", "yes", "y", "on", "1")
 _FALSE = ("false", "f", "no", "n", "off", "0")
 
 _CURRENCY = r"^(?:[A-Z]{3}\s*)?[$\u20ac\u00a3\u00a5]?\s*|\s*(?:[$\u20ac\u00a3\u00a5]|[A-Z]{3})$"
-_GROUPING = r"(?<=^[+-]?\d{1,3}(?:,\d{3}){0,12}),(?=\d{3}(?:,\d{3})*(?:\.\d+)?$)"
+# the comma comes first, so that the look-behind runs at commas only
+_GROUPING = r",(?=\d{3}(?:,\d{3})*(?:\.\d+)?$)(?<=^[+-]?\d{1,3}(?:,\d{3}){0,12},)"
 _NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
 
 
@@ -196,6 +197,13 @@ def coerce(definition: FieldDef, raw: Column) -> Column:
     return raw
 
 
+def holds_texts(definition: FieldDef) -> bool:
+    """An array whose items are text, which needs no further coercion."""
+    return definition.type == "array" and (
+        definition.items is None or definition.items.type in ("string", "date")
+    )
+
+
 def compute_once(df: DataFrame, *columns: Column) -> DataFrame:
     """Add columns that later filters cannot pull apart.
 
@@ -211,12 +219,17 @@ def conform(
 ) -> DataFrame:
     """Raw field texts to typed records with a status and errors.
 
-    ``raw`` is a struct with one string per schema field (missing members count
-    as null). A missing required field, or any value that cannot be read as its
+    ``raw`` is a struct with one string per schema field, or an array of strings
+    for an array of texts (missing members count as null). A missing required field, or any value that cannot be read as its
     type, fails the record: its data is null and its message says why, cut to
     a fixed length. ``error`` may name a column with an earlier failure.
     """
-    present = set(records.schema[raw].dataType.fieldNames())
+    present = {f.name: f.dataType for f in records.schema[raw].dataType.fields}
+    ready = {
+        f.name
+        for f in schema.fields
+        if holds_texts(f) and isinstance(present.get(f.name), T.ArrayType)
+    }
     kept = [c for c in records.columns if c not in (raw, error)]
     names = [(f, f"_t{i}", f"_v{i}") for i, f in enumerate(schema.fields)]
     texts = [
@@ -224,7 +237,9 @@ def conform(
         for f, t, _ in names
     ]
     earlier = (F.col(error) if error else F.lit(None).cast("string")).alias("_earlier")
-    values = [coerce(f, F.col(t)).alias(v) for f, t, v in names]
+    values = [
+        (F.col(t) if f.name in ready else coerce(f, F.col(t))).alias(v) for f, t, v in names
+    ]
     typed = compute_once(
         compute_once(records, *texts, earlier).select(
             *kept, "_earlier", *[t for _, t, _ in names]
@@ -237,12 +252,13 @@ def conform(
             problems.append(
                 F.when(F.col(t).isNull(), F.lit(f"{f.name}: required field is missing"))
             )
-        problems.append(
-            F.when(
-                F.col(t).isNotNull() & F.col(v).isNull(),
-                F.concat(F.lit(f"{f.name}: not a valid {f.type}: "), t),
+        if f.name not in ready:
+            problems.append(
+                F.when(
+                    F.col(t).isNotNull() & F.col(v).isNull(),
+                    F.concat(F.lit(f"{f.name}: not a valid {f.type}: "), t),
+                )
             )
-        )
     message = F.coalesce(
         F.col("_earlier"), F.array_join(F.array_compact(F.array(*problems)), "; ")
     )

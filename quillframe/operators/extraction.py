@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillframe.functions import text as tx
-from quillframe.model import FAILED, SUCCESS, ExtractionSummary, RecordSchema
-from quillframe.operators.contracts import conform, parse_json_records
+from quillframe.model import FAILED, SUCCESS, ExtractionSummary, FieldDef, RecordSchema
+from quillframe.operators.contracts import conform, holds_texts, parse_json_records
 from quillframe.session import materialise
 
 # Document types that hold summaries, not single records.
@@ -55,19 +55,23 @@ class RuleStrategy:
     def __init__(self, patterns: Mapping[str, str]) -> None:
         self.patterns = dict(patterns)
 
-    def _text(self, name: str, kind: str) -> Column:
-        pattern = self.patterns.get(name)
+    def _text(self, definition: FieldDef) -> Column:
+        pattern = self.patterns.get(definition.name)
         if pattern is None:
             return F.lit(None).cast("string")
-        if kind == "array":
-            found = F.regexp_extract_all("content", F.lit(pattern), 1)
-            return F.when(F.size(found) > 0, F.to_json(found))
+        if definition.type == "array":
+            found = F.nullif(
+                F.regexp_extract_all("content", F.lit(pattern), 1),
+                F.array().cast("array<string>"),
+            )
+            # texts can stay as they are, other items are coerced from JSON
+            return found if holds_texts(definition) else F.to_json(found)
         return F.nullif(
             tx.strip(F.regexp_extract("content", pattern, 1)), F.lit("")
         )
 
     def __call__(self, documents: DataFrame, schema: RecordSchema) -> DataFrame:
-        raw = F.struct(*[self._text(f.name, f.type).alias(f.name) for f in schema.fields])
+        raw = F.struct(*[self._text(f).alias(f.name) for f in schema.fields])
         return documents.select(
             *KEYS, raw.alias("raw"), F.lit(None).cast("string").alias("extract_error")
         )
