@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import private, query, raw_texts, table
+from quillframe.llm.common import GOLDEN, mix, private, query, raw_texts, table
 
 SYMBOLS = b"#*$%&|<>"
 #: Bytes that continue a character, so that the rest counts code points.
@@ -59,13 +59,21 @@ SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in SYM
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words in runs of ``window`` (a power of two) words that the text has twice or more.
 
-    Exact: words become numbers, and pairs of runs become numbers of runs of
-    twice the length, until they are ``window`` words long.
+    Hashes of the runs show at once that most texts have none, as equal runs
+    have equal hashes. Else it is exact: words become numbers, and pairs of runs
+    become numbers of runs of twice the length, until they are long enough.
     """
     if len(words) <= window:
         return 0
     codes: dict[bytes, int] = {}
     ids = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words))
+    spread, count = mix(ids.view(np.uint64) + GOLDEN), len(ids) - window + 1
+    runs = np.zeros(count, np.uint64)
+    for k in range(window):
+        runs = runs * GOLDEN + spread[k : k + count]
+    runs.sort()
+    if not (runs[1:] == runs[:-1]).any():
+        return 0
     step = 1
     while step < window:
         _, ids = np.unique(ids[:-step] * (ids.max() + 1) + ids[step:], return_inverse=True)
