@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import decontaminate, mixture, quality, secrets, simhash
+from quillframe.llm import chat, decontaminate, mixture, quality, secrets, simhash
 from quillframe.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "mixture", "quality", "secrets", "simhash"]
+__all__ = ["ORACLES", "QUERIES", "chat", "decontaminate", "mixture", "quality", "secrets", "simhash"]
