@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import chat, decontaminate, mixture, quality, secrets, simhash, templates
+from quillframe.llm import chat, decontaminate, mixture, quality, secrets, simhash, templates, tokens, toxicity
 from quillframe.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chat", "decontaminate", "mixture", "quality", "secrets", "simhash", "templates"]
+__all__ = ["ORACLES", "QUERIES", "chat", "decontaminate", "mixture", "quality", "secrets", "simhash", "templates", "tokens", "toxicity"]
