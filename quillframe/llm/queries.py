@@ -2,7 +2,31 @@
 
 from __future__ import annotations
 
-from quillframe.llm import chat, decontaminate, mixture, quality, secrets, simhash, suffixes, templates, tokens, toxicity
+from quillframe.llm import (
+    chat,
+    decontaminate,
+    mixture,
+    quality,
+    secrets,
+    simhash,
+    suffixes,
+    templates,
+    tokens,
+    toxicity,
+)
 from quillframe.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chat", "decontaminate", "mixture", "quality", "secrets", "simhash", "suffixes", "templates", "tokens", "toxicity"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "chat",
+    "decontaminate",
+    "mixture",
+    "quality",
+    "secrets",
+    "simhash",
+    "suffixes",
+    "templates",
+    "tokens",
+    "toxicity",
+]
