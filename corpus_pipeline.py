@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import quality
+from quillframe.llm import decontaminate, mixture, quality, secrets, simhash
 from quillframe.llm.common import QUERIES, table
 from quillframe.session import configure, scratch_path
 
 STAGES = [
     ("quality rules", quality.keep_good),
+    ("simhash near-dedup", simhash.drop_near_copies),
+    ("benchmark decontamination", decontaminate.drop_contaminated),
+    ("secret scans", secrets.redact_live),
+    ("source mixture", mixture.mix_sources),
 ]
 
 #: The first stage's trees are learned from the labels, which SQL cannot express.
