@@ -90,7 +90,7 @@ class OrderedRuns:
     cold: DataFrame
     hot: DataFrame | None
     keys: list[str]
-    order: list[str]
+    order: list[str | Column]
 
     def window(self, split: bool) -> WindowSpec:
         parts = [*self.keys, RUN] if split else self.keys
@@ -121,10 +121,13 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str)
 def ordered_runs(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> OrderedRuns:
-    """Separate oversized keys and cut their rows into ordered runs."""
+    """Separate oversized keys and cut their rows into ordered runs.
+
+    ``order`` takes column names or sort expressions such as ``col.desc()``.
+    """
     keys, order = list(keys), list(order)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # at most rows/max_group_rows keys can pass this filter
@@ -149,7 +152,7 @@ def ordered_runs(
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     value: str,
     name: str,
     max_group_rows: int = MAX_GROUP_ROWS,
@@ -179,7 +182,7 @@ def running_sum(
 def row_numbers(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     name: str,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
@@ -228,18 +231,18 @@ def ranks(
     (key, value) groups have to be brought in order.
     """
     keys = list(keys)
+    # nulls come first going up and last going down, as in a plain window
+    by = F.col(value).desc() if descending else F.col(value).asc()
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if sizes.filter(F.col("_n") > max_group_rows).isEmpty():
-        by = F.col(value).desc() if descending else F.col(value).asc()
         window = Window.partitionBy(*keys).orderBy(by)
         return df.withColumns(
             {"rank": F.rank().over(window), "dense_rank": F.dense_rank().over(window)}
         )
     peers = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_peers"))
-    peers = peers.withColumn("_by", -F.col(value) if descending else F.col(value))
     peers = materialise(peers, "peers")
-    peers = running_sum(peers, keys, ["_by"], "_peers", "_end", max_group_rows)
-    peers = row_numbers(peers, keys, ["_by"], "dense_rank", max_group_rows)
+    peers = running_sum(peers, keys, [by], "_peers", "_end", max_group_rows)
+    peers = row_numbers(peers, keys, [by], "dense_rank", max_group_rows)
     ranked = peers.select(
         *[F.col(c).alias(f"_p_{c}") for c in [*keys, value]],
         (F.col("_end") - F.col("_peers") + 1).alias("rank"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.operators.ordered import MAX_GROUP_ROWS, running_sum
+from quillframe.session import materialise
 
 
 def interval_join(
@@ -18,14 +19,16 @@ def interval_join(
     start: str,
     end: str,
     bucket: str = "month",
+    salts: int = 8,
 ) -> DataFrame:
     """Points with the intervals [start, end) that hold them, inner.
 
     Each interval is listed once per calendar bucket it touches and a point
     falls in exactly one bucket, so this is an equi-join with a filter rather
     than a comparison of all pairs. Choose a bucket about as long as the
-    intervals. Aggregate points that share a time first, so that no bucket
-    holds more points than it has distinct times.
+    intervals. Points are dealt over ``salts`` parts of their bucket and each
+    interval is listed in all parts, so a bucket that holds much of the points
+    is that many tasks; raise ``salts`` for hotter ones.
     """
     step = F.expr(f"INTERVAL 1 {bucket}")
     listed = intervals.withColumn(
@@ -38,11 +41,13 @@ def interval_join(
             )
         ),
     )
-    placed = points.withColumn("_bucket", F.date_trunc(bucket, point))
+    part = F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int")
+    placed = points.withColumns({"_bucket": F.date_trunc(bucket, point), "_part": part})
+    copied = listed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        placed.join(listed, "_bucket")
+        placed.join(copied, ["_bucket", "_part"])
         .filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
-        .drop("_bucket")
+        .drop("_bucket", "_part")
     )
 
 
@@ -69,10 +74,12 @@ def quantiles(
     values of a whole key.
     """
     keys = list(keys)
-    counted = (
+    # stored: the running counts and the totals both come from this one scan
+    counted = materialise(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n")),
+        "counted",
     )
     upto = running_sum(counted, keys, [value], "_n", "_upto", max_group_rows)
     totals = counted.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(

@@ -14,6 +14,7 @@ from quillframe.operators import ordered, relational
 from quillframe.operators.contracts import compute_once
 from quillframe.plans import render
 from quillframe.plans.catalogue import query, table, workspace
+from quillframe.session import materialise
 
 _REVENUE = (
     # 18 digits in all, which Spark keeps in a long
@@ -380,6 +381,33 @@ def win_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_MIXED = """
+SELECT o_orderkey, o_orderstatus, NULLIF(o_orderpriority, '4-NOT SPECIFIED') AS priority,
+       CASE WHEN o_totalprice < 200000 THEN floor(o_totalprice / 1000) END AS band
+FROM orders
+"""
+
+
+@query(
+    f"""
+SELECT o_orderkey,
+       CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY priority DESC NULLS LAST) AS BIGINT) AS by_text,
+       CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY priority DESC NULLS LAST) AS BIGINT) AS by_text_dense,
+       CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY band NULLS FIRST) AS BIGINT) AS by_band,
+       CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY band NULLS FIRST) AS BIGINT) AS by_band_dense
+FROM ({_MIXED})
+"""
+)
+def win_rank_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, nulls and few keys, on the way that large keys take."""
+    orders = workspace(spark, sf_dir, "orders").query(_MIXED)
+    for column, name, down in (("priority", "by_text", True), ("band", "by_band", False)):
+        ranked = ordered.ranks(orders, ["o_orderstatus"], column, down, max_group_rows=100)
+        orders = ranked.withColumnsRenamed({"rank": name, "dense_rank": f"{name}_dense"})
+    names = ("by_text", "by_text_dense", "by_band", "by_band_dense")
+    return orders.select("o_orderkey", *[F.col(c).cast("long").alias(c) for c in names])
+
+
 @query(
     """
 SELECT o_custkey, o_orderkey,
@@ -490,25 +518,29 @@ def subquery_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT CAST(year(o_orderdate) AS BIGINT) AS order_year,
-       CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS f,
-       CAST(count(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS o,
-       CAST(count(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS p
-FROM orders GROUP BY 1
+WITH placed AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS order_year, o_orderstatus FROM orders)
+SELECT y.order_year, s.o_orderstatus AS status, CAST(count(p.order_year) AS BIGINT) AS orders
+FROM (SELECT DISTINCT order_year FROM placed) y
+CROSS JOIN (SELECT DISTINCT o_orderstatus FROM placed) s
+LEFT JOIN placed p ON p.order_year = y.order_year AND p.o_orderstatus = s.o_orderstatus
+GROUP BY ALL
 """
 )
 def pivot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column for every status that occurs, whichever these are; the columns
+    are then turned into rows again, zeros included.
+
+    Years and statuses are counted first; the pivot works on these counts.
+    """
     orders = table(spark, sf_dir, "orders")
-    pivoted = (
-        orders.groupBy(F.year("o_orderdate").cast("long").alias("order_year"))
-        .pivot("o_orderstatus", ["F", "O", "P"])
-        .count()
-    )
-    zero = F.lit(0).cast("long")
-    return pivoted.select(
-        "order_year",
-        *[F.coalesce(c, zero).alias(c.lower()) for c in ("F", "O", "P")],
+    counts = materialise(
+        orders.groupBy(F.year("o_orderdate").cast("long").alias("order_year"), "o_orderstatus")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "status-counts",
     )
+    pivoted = counts.groupBy("order_year").pivot("o_orderstatus").sum("n")
+    filled = pivoted.na.fill(0, [c for c in pivoted.columns if c != "order_year"])
+    return filled.unpivot("order_year", None, "status", "orders")
 
 
 @query(
@@ -655,13 +687,13 @@ def explode_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = render.line_json(spark, sf_dir)
     shape = "returned BOOLEAN, amounts ARRAY<STRUCT<kind STRING, value DOUBLE>>"
     parsed = compute_once(records, F.from_json("json", shape).alias("r"))
-    parsed.createOrReplaceTempView("line_record")
     return spark.sql(
         """
-        WITH items AS (SELECT r.returned, inline(r.amounts) AS (kind, value) FROM line_record)
+        WITH items AS (SELECT r.returned, inline(r.amounts) AS (kind, value) FROM {line_record})
         SELECT returned, kind, count(*) AS n,
                CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total,
                max(value) AS highest
         FROM items GROUP BY returned, kind
-        """
+        """,
+        line_record=parsed,
     )

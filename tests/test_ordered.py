@@ -55,13 +55,15 @@ def test_previous_value(skewed, limit):
 @pytest.mark.parametrize("limit", [*LIMITS, 10])
 @pytest.mark.parametrize("descending", [False, True])
 def test_ranks(skewed, limit, descending):
-    rows = skewed.filter("v IS NOT NULL")
-    by = F.desc("v") if descending else F.asc("v")
-    window = Window.partitionBy("k").orderBy(by)
-    plain = rows.withColumn("r", F.rank().over(window)).withColumn("d", F.dense_rank().over(window))
-    got = ordered.ranks(rows, ["k"], "v", descending, limit)
-    assert as_map(got, "rank") == as_map(plain, "r")
-    assert as_map(got, "dense_rank") == as_map(plain, "d")
+    texts = F.when(F.col("v").isNotNull(), F.concat(F.lit("name "), F.col("v").cast("string")))
+    rows = skewed.withColumns({"s": texts, "day": F.expr("date_add(DATE '2024-01-01', cast(v as int))")})
+    for column in ("v", "s", "day"):
+        by = F.desc(column) if descending else F.asc(column)
+        window = Window.partitionBy("k").orderBy(by)
+        plain = rows.withColumn("r", F.rank().over(window)).withColumn("d", F.dense_rank().over(window))
+        got = ordered.ranks(rows, ["k"], column, descending, limit)
+        assert as_map(got, "rank") == as_map(plain, "r")
+        assert as_map(got, "dense_rank") == as_map(plain, "d")
 
 
 @pytest.mark.parametrize("limit", LIMITS)
