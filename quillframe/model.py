@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 # The six declarable field types.
 FIELD_TYPES = ("array", "boolean", "date", "number", "object", "string")
+# Fixed value: what an unknown type is told.
+KNOWN_TYPES = f"'. Must be one of: {', '.join(FIELD_TYPES)}"
 
 # Record states.
 SUCCESS, FAILED, PARTIAL = "success", "failed", "partial"
@@ -51,6 +53,7 @@ SCHEMA_FIELDS = T.StructType(
     [
         T.StructField("schema_name", T.StringType()),
         T.StructField("version", T.IntegerType()),
+        T.StructField("parent_ordinal", T.IntegerType()),
         T.StructField("parent_path", T.StringType()),
         T.StructField("path", T.StringType()),
         T.StructField("depth", T.IntegerType()),
@@ -76,10 +79,7 @@ class FieldDef:
 
     def __post_init__(self) -> None:
         if self.type not in FIELD_TYPES:
-            raise ValueError(
-                f"Invalid field type '{self.type}'. "
-                f"Must be one of: {', '.join(FIELD_TYPES)}"
-            )
+            raise ValueError(f"Invalid field type '{self.type}{KNOWN_TYPES}")
 
     @classmethod
     def from_dict(cls, raw: dict[str, Any]) -> FieldDef:
@@ -200,21 +200,25 @@ def field_rows(schema: RecordSchema) -> Iterator[tuple]:
     """The field tree as rows of ``SCHEMA_FIELDS``, parents before children.
 
     Array items sit below ``<path>.items.``, properties below ``<path>.``.
-    ``ordinal`` counts in reading order, so sorting by it restores the tree.
+    ``ordinal`` counts in reading order, so sorting by it restores the tree, and
+    ``parent_ordinal`` is that of the field around it, 0 at the top: paths need
+    not be unique, ordinals are.
     """
     counter = 0
 
-    def walk(definition: FieldDef, parent: str, depth: int) -> Iterator[tuple]:
+    def walk(definition: FieldDef, parent: str, depth: int, above: int) -> Iterator[tuple]:
         nonlocal counter
         counter += 1
+        own = counter
         path = f"{parent}{definition.name}"
         yield (
             schema.name,
             schema.version,
+            above,
             parent,
             path,
             depth,
-            counter,
+            own,
             definition.name,
             definition.type,
             definition.description,
@@ -223,9 +227,9 @@ def field_rows(schema: RecordSchema) -> Iterator[tuple]:
             len(definition.properties),
         )
         if definition.items is not None:
-            yield from walk(definition.items, f"{path}.items.", depth + 1)
+            yield from walk(definition.items, f"{path}.items.", depth + 1, own)
         for child in definition.properties:
-            yield from walk(child, f"{path}.", depth + 1)
+            yield from walk(child, f"{path}.", depth + 1, own)
 
     for top in schema.fields:
-        yield from walk(top, "", 0)
+        yield from walk(top, "", 0, 0)

@@ -16,6 +16,7 @@ from quillframe.functions import text as tx
 from quillframe.model import (
     FAILED,
     FIELD_TYPES,
+    KNOWN_TYPES,
     SCHEMA_FIELDS,
     SUCCESS,
     FieldDef,
@@ -28,6 +29,7 @@ from quillframe.operators.ordered import MAX_GROUP_ROWS, row_numbers
 
 # Fixed value: names usable as identifiers.
 IDENTIFIER = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
+#: Characters of a record's error message that are shown by default.
 ERROR_CHARS = 200
 # What validation says.
 NO_NAME = "Schema name is required"
@@ -37,7 +39,6 @@ BAD_NAME = (
     "(letters, digits, underscores, not starting with digit)"
 )
 DUPLICATE = "duplicate field name"
-BAD_TYPE = f"'. Must be one of: {', '.join(FIELD_TYPES)}"
 NO_ITEMS = "array type requires 'items' definition"
 NO_PROPERTIES = "object type requires 'properties' definition"
 
@@ -57,7 +58,8 @@ def schema_heads(spark: SparkSession, schemas: Sequence[RecordSchema]) -> DataFr
 
 def field_errors(fields: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """(schema_name, version, ordinal, path, message): every broken field rule."""
-    siblings = ["schema_name", "version", "parent_path", "name"]
+    # siblings share the field around them; two parents may have the same path
+    siblings = ["schema_name", "version", "parent_ordinal", "parent_path", "name"]
     numbered = row_numbers(fields, siblings, ["ordinal"], "_nth", max_group_rows)
     label = F.concat(F.lit("Field '"), F.col("path"), F.lit("': "))
     rules = F.array_compact(
@@ -69,7 +71,7 @@ def field_errors(fields: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Dat
             F.when(F.col("_nth") > 1, F.concat(label, F.lit(DUPLICATE))),
             F.when(
                 ~F.col("type").isin(list(FIELD_TYPES)),
-                F.concat(label, F.lit("invalid type '"), F.col("type"), F.lit(BAD_TYPE)),
+                F.concat(label, F.lit("invalid type '"), F.col("type"), F.lit(KNOWN_TYPES)),
             ),
             F.when(
                 (F.col("type") == "array") & ~F.col("has_items"),
@@ -182,7 +184,7 @@ def _boolean(raw: Column) -> Column:
 
 
 def coerce(definition: FieldDef, raw: Column) -> Column:
-    """Raw text to the declared type; null where that is not possible.
+    """Raw text to a declared scalar type; null where that is not possible.
 
     Each rule mentions the raw text once, so it is computed once.
     """
@@ -190,13 +192,109 @@ def coerce(definition: FieldDef, raw: Column) -> Column:
         return _number(raw)
     if definition.type == "boolean":
         return _boolean(raw)
-    if definition.is_nested:
-        opening = r"\[" if definition.type == "array" else r"\{"
-        value = F.regexp_extract(raw, rf"(?s)^\s*({opening}.*)$", 1)
-        return F.from_json(value, spark_type(definition))
     return raw
 
 
+LEFT_OUT = "array<struct<path:string,text:string>>"
+
+
+def coerce_nested(definition: FieldDef, raw: Column, path: Column, checked: bool = True) -> Column:
+    """Raw text to ``struct<value, problems, left_out>``, by one rule set at all
+    depths.
+
+    Items and properties are coerced like top-level fields. ``problems`` names
+    the path of each one that does not fit or is missing. ``left_out`` has path
+    and text of what the typed value cannot hold: members that were not
+    declared and, unless ``checked``, values that do not fit, which then are no
+    problem.
+    """
+    none, nothing = F.array().cast("array<string>"), F.array().cast(LEFT_OUT)
+
+    def outcome(value: Column, problems: Column = none, left_out: Column = nothing) -> Column:
+        return F.struct(
+            value.cast(spark_type(definition)).alias("value"),
+            problems.alias("problems"),
+            left_out.alias("left_out"),
+        )
+
+    def misfit(bad: Column) -> tuple[Column, Column]:
+        message = F.concat(path, F.lit(f": not a valid {definition.type}: "), raw)
+        said = F.when(bad, F.array(message)).otherwise(none) if checked else none
+        kept = F.array(F.struct(path.alias("path"), raw.alias("text"))).cast(LEFT_OUT)
+        return said, nothing if checked else F.when(bad, kept).otherwise(nothing)
+
+    if not definition.is_nested:
+        return tx.let(
+            coerce(definition, raw), lambda v: outcome(v, *misfit(raw.isNotNull() & v.isNull()))
+        )
+    missing = F.lit(None).cast(spark_type(definition))
+    refused = outcome(missing, *misfit(raw.isNotNull()))
+    if definition.type == "array":
+        items = F.from_json(F.regexp_extract(raw, r"(?s)^\s*(\[.*)$", 1), "array<string>")
+        if definition.items is None:
+            return tx.let(items, lambda x: F.when(x.isNull(), refused).otherwise(outcome(x)))
+
+        def item(text: Column, i: Column) -> Column:
+            own = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+            return coerce_nested(definition.items, text, own, checked)
+
+        def array(results: Column) -> Column:
+            return outcome(
+                F.transform(results, lambda r: r["value"]),
+                F.flatten(F.transform(results, lambda r: r["problems"])),
+                F.flatten(F.transform(results, lambda r: r["left_out"])),
+            )
+
+        return tx.let(
+            items,
+            lambda x: F.when(x.isNull(), refused).otherwise(tx.let(F.transform(x, item), array)),
+        )
+    members = F.from_json(F.regexp_extract(raw, r"(?s)^\s*(\{.*)$", 1), "map<string,string>")
+    if not definition.properties:
+        return tx.let(members, lambda m: F.when(m.isNull(), refused).otherwise(outcome(m)))
+    names = [p.name for p in definition.properties]
+
+    def below(name: str) -> Column:
+        return F.concat(path, F.lit(f".{name}"))
+
+    def opened(m: Column) -> Column:
+        parts = F.struct(
+            *[
+                coerce_nested(p, F.try_element_at(m, F.lit(p.name)), below(p.name), checked).alias(
+                    f"p{i}"
+                )
+                for i, p in enumerate(definition.properties)
+            ]
+        )
+        absent = [
+            F.when(
+                F.try_element_at(m, F.lit(p.name)).isNull(),
+                F.concat(below(p.name), F.lit(": required field is missing")),
+            )
+            for p in definition.properties
+            if p.required and checked
+        ]
+        others = F.transform(
+            F.filter(F.map_entries(m), lambda e: ~e["key"].isin(names)),
+            lambda e: F.struct(F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"].alias("text")),
+        )
+
+        def whole(found: Column) -> Column:
+            own = [found[f"p{i}"] for i in range(len(names))]
+            problems = [o["problems"] for o in own]
+            if absent:
+                problems.append(F.array_compact(F.array(*absent)))
+            return outcome(
+                F.struct(*[o["value"].alias(n) for o, n in zip(own, names)]),
+                F.concat(*problems),
+                F.concat(*[o["left_out"] for o in own], others.cast(LEFT_OUT)),
+            )
+
+        return tx.let(parts, whole)
+
+    return tx.let(members, lambda m: F.when(m.isNull(), refused).otherwise(opened(m)))
+
+
 def holds_texts(definition: FieldDef) -> bool:
     """An array whose items are text, which needs no further coercion."""
     return definition.type == "array" and (
@@ -215,14 +313,26 @@ def compute_once(df: DataFrame, *columns: Column) -> DataFrame:
 
 
 def conform(
-    records: DataFrame, schema: RecordSchema, raw: str = "raw", error: str | None = None
+    records: DataFrame,
+    schema: RecordSchema,
+    raw: str = "raw",
+    error: str | None = None,
+    nested_check: bool = True,
+    left_out: str | None = None,
+    error_chars: int | None = ERROR_CHARS,
 ) -> DataFrame:
     """Raw field texts to typed records with a status and errors.
 
     ``raw`` is a struct with one string per schema field, or an array of strings
-    for an array of texts (missing members count as null). A missing required field, or any value that cannot be read as its
-    type, fails the record: its data is null and its message says why, cut to
-    a fixed length. ``error`` may name a column with an earlier failure.
+    for an array of texts (missing members count as null). A missing required
+    field, or any value that cannot be read as its type, fails the record, at
+    any depth: its data is null and its message says why, cut to ``error_chars``
+    (None: whole). ``error`` may name a column with an earlier failure.
+
+    With ``nested_check=False`` only the fields themselves are checked; items
+    and properties that do not fit are null. ``left_out`` names a column to add,
+    a list of paths and texts of what the typed data does not hold: members that
+    were not declared, and those unfit items and properties.
     """
     present = {f.name: f.dataType for f in records.schema[raw].dataType.fields}
     ready = {
@@ -232,48 +342,75 @@ def conform(
     }
     kept = [c for c in records.columns if c not in (raw, error)]
     names = [(f, f"_t{i}", f"_v{i}") for i, f in enumerate(schema.fields)]
+    nested = {f.name for f in schema.fields if f.is_nested and f.name not in ready}
     texts = [
         (F.col(raw)[f.name] if f.name in present else F.lit(None).cast("string")).alias(t)
         for f, t, _ in names
     ]
     earlier = (F.col(error) if error else F.lit(None).cast("string")).alias("_earlier")
-    values = [
-        (F.col(t) if f.name in ready else coerce(f, F.col(t))).alias(v) for f, t, v in names
-    ]
+
+    def read(f: FieldDef, text: Column) -> Column:
+        if f.name in ready:
+            return text
+        return _field(f, text, nested_check) if f.name in nested else coerce(f, text)
+
     typed = compute_once(
         compute_once(records, *texts, earlier).select(
             *kept, "_earlier", *[t for _, t, _ in names]
         ),
-        *values,
+        *[read(f, F.col(t)).alias(v) for f, t, v in names],
     )
-    problems = []
+    value = {f.name: F.col(v)["value"] if f.name in nested else F.col(v) for f, _, v in names}
+    problems, broken = [], F.col("_earlier").isNotNull()
     for f, t, v in names:
         if f.required:
-            problems.append(
-                F.when(F.col(t).isNull(), F.lit(f"{f.name}: required field is missing"))
-            )
-        if f.name not in ready:
-            problems.append(
-                F.when(
-                    F.col(t).isNotNull() & F.col(v).isNull(),
-                    F.concat(F.lit(f"{f.name}: not a valid {f.type}: "), t),
-                )
-            )
-    message = F.coalesce(
-        F.col("_earlier"), F.array_join(F.array_compact(F.array(*problems)), "; ")
-    )
-    broken = F.col("_earlier").isNotNull()
-    for f, t, v in names:
-        absent = F.col(t).isNull() if f.required else F.lit(False)
-        broken = broken | absent | (F.col(t).isNotNull() & F.col(v).isNull())
-    data = F.struct(*[F.col(v).alias(f.name) for f, _, v in names])
+            absent = F.col(t).isNull()
+            said = F.when(absent, F.array(F.lit(f"{f.name}: required field is missing")))
+            problems.append(said)
+            broken = broken | absent
+        if f.name in nested:
+            problems.append(F.col(v)["problems"])
+            broken = broken | (F.size(F.col(v)["problems"]) > 0)
+        elif f.name not in ready:
+            unfit = F.col(t).isNotNull() & F.col(v).isNull()
+            said = F.concat(F.lit(f"{f.name}: not a valid {f.type}: "), t)
+            problems.append(F.when(unfit, F.array(said)))
+            broken = broken | unfit
+    found = F.flatten(F.array_compact(F.array(F.array().cast("array<string>"), *problems)))
+    message = F.coalesce(F.col("_earlier"), F.array_join(found, "; "))
+    if error_chars is not None:
+        message = tx.shorten(message, error_chars)
+    data = F.struct(*[value[f.name].alias(f.name) for f in schema.fields])
+    extra = []
+    if left_out:
+        parts = [F.col(v)["left_out"] for f, _, v in names if f.name in nested]
+        extra = [F.concat(F.array().cast(LEFT_OUT), *parts).alias(left_out)]
     return typed.select(
         *kept,
         F.when(~broken, data).cast(typed_struct(schema)).alias("data"),
         F.when(broken, F.lit(FAILED)).otherwise(F.lit(SUCCESS)).alias("status"),
-        F.when(broken, F.array(tx.shorten(message, ERROR_CHARS)))
+        F.when(broken, F.array(message))
         .otherwise(F.array().cast("array<string>"))
         .alias("errors"),
+        *extra,
+    )
+
+
+def _field(definition: FieldDef, text: Column, nested_check: bool) -> Column:
+    """A nested top-level field: itself always checked, what is in it if asked."""
+    found = coerce_nested(definition, text, F.lit(definition.name), nested_check)
+    if nested_check:
+        return found
+    unfit = F.concat(F.lit(f"{definition.name}: not a valid {definition.type}: "), text)
+    return tx.let(
+        found,
+        lambda r: F.struct(
+            r["value"].alias("value"),
+            F.when(text.isNotNull() & r["value"].isNull(), F.array(unfit))
+            .otherwise(F.array().cast("array<string>"))
+            .alias("problems"),
+            r["left_out"].alias("left_out"),
+        ),
     )
 
 

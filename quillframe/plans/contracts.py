@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.model import typed_struct
+from quillframe.model import FieldDef, RecordSchema, typed_struct
 from quillframe.operators import contracts
 from quillframe.plans import render
-from quillframe.plans.catalogue import costly, query, table
+from quillframe.plans.catalogue import query, table
 
 
 @query(
@@ -44,7 +44,7 @@ def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH {render.PART_FIELD_TRUTH}, ranked AS (
   SELECT *, 'Field ''' || parent_path || name || ''': ' AS label,
-         row_number() OVER (PARTITION BY schema_name, parent_path, name ORDER BY ordinal) AS nth
+         row_number() OVER (PARTITION BY schema_name, parent_ordinal, parent_path, name ORDER BY ordinal) AS nth
   FROM declared
 )
 SELECT schema_name, ordinal, label || 'name must be a valid identifier (letters, digits, '
@@ -102,14 +102,12 @@ def _order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.when(
         (priority == "5-LOW") & (status == "F"), F.substring(record, 1, 20)
     ).otherwise(record)
-    return costly(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey", broken.alias("json")
     )
 
 
 def _conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillframe.model import FieldDef, RecordSchema
-
     schema = RecordSchema(
         "order",
         (
@@ -172,6 +170,77 @@ def record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  CASE WHEN bad_part OR no_supplier OR bad_amount THEN 'failed' ELSE 'success' END AS status,
+  concat_ws('; ',
+    CASE WHEN bad_amount THEN 'amounts[1].value: not a valid number: much' END,
+    CASE WHEN bad_part THEN 'source.part: not a valid number: none' END,
+    CASE WHEN no_supplier THEN 'source.supplier: required field is missing' END) AS message,
+  CASE WHEN NOT (bad_part OR no_supplier OR bad_amount) THEN CAST(l_suppkey AS DOUBLE) END AS supplier,
+  CASE WHEN NOT (bad_part OR no_supplier OR bad_amount) THEN l_extendedprice END AS price,
+  CASE WHEN l_linestatus = 'F' THEN 'source.depot=north' ELSE '' END AS left_out
+FROM (SELECT *, l_returnflag = 'A' AND l_linenumber = 1 AS bad_part,
+             l_returnflag = 'N' AND l_linenumber = 2 AS no_supplier,
+             l_tax = 0.05 AS bad_amount FROM lineitem)
+"""
+)
+def conform_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults inside items and properties, texts as numbers, undeclared members."""
+    flag, number = F.col("l_returnflag"), F.col("l_linenumber")
+    amounts = F.array(
+        F.struct(F.lit("quantity").alias("kind"), F.col("l_quantity").cast("string").alias("value")),
+        F.struct(
+            F.lit("price").alias("kind"),
+            F.when(F.col("l_tax") == 0.05, "much")
+            .otherwise(F.concat(F.lit("$"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")))
+            .alias("value"),
+        ),
+    )
+    part = F.when((flag == "A") & (number == 1), "none").otherwise(F.col("l_partkey").cast("string"))
+    source = F.struct(
+        part.alias("part"),
+        F.when(~((flag == "N") & (number == 2)), F.col("l_suppkey")).alias("supplier"),
+        F.when(F.col("l_linestatus") == "F", "north").alias("depot"),
+    )
+    schema = RecordSchema(
+        "line",
+        (
+            FieldDef(
+                "amounts",
+                "array",
+                items=FieldDef(
+                    "amount",
+                    "object",
+                    properties=(FieldDef("kind", "string"), FieldDef("value", "number", required=True)),
+                ),
+            ),
+            FieldDef(
+                "source",
+                "object",
+                properties=(FieldDef("part", "number"), FieldDef("supplier", "number", required=True)),
+            ),
+        ),
+    )
+    json = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        number.cast("long").alias("l_linenumber"),
+        F.to_json(F.struct(amounts.alias("amounts"), source.alias("source")), {"ignoreNullFields": "true"}).alias("json"),
+    )
+    raw = contracts.parse_json_records(json, schema)
+    records = contracts.conform(raw, schema, error="parse_error", left_out="left_out")
+    return records.select(
+        "l_orderkey",
+        "l_linenumber",
+        "status",
+        F.array_join("errors", "; ").alias("message"),
+        "data.source.supplier",
+        F.col("data.amounts")[1]["value"].alias("price"),
+        F.array_join(F.transform("left_out", lambda x: F.concat(x["path"], F.lit("="), x["text"])), ",").alias("left_out"),
+    )
+
+
 @query(
     """
 SELECT schema_name, CAST(max(n) AS BIGINT) AS version,

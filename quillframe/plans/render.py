@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillframe.model import FieldDef, RecordSchema
 from quillframe.operators.extraction import RuleStrategy, labelled
-from quillframe.plans.catalogue import costly, table
+from quillframe.plans.catalogue import table
 
 # -- the documents table as files -----------------------------------------------
 
@@ -35,7 +35,7 @@ def _number_name(prefix: str, key: Column, suffix: Column | str) -> Column:
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as (path, length, content bytes), extension by language."""
     content = F.encode("text", "utf-8")
-    return costly(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(
             F.lit("corpus/"),
             F.col("source"),
@@ -50,7 +50,7 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as parsed documents; ``doc_id`` is their dense position."""
     name = _number_name("doc_", F.col("doc_id"), ".txt")
-    return costly(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"),
         (F.col("doc_id") + 1).alias("doc_index"),
         F.concat(F.lit("corpus/"), name).alias("path"),
@@ -97,7 +97,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text per order. Low-priority pending orders have no total, urgent
     finished ones have one in words, and unspecified priorities are left out.
     """
-    orders = costly(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_mktsegment"
     )
@@ -159,7 +159,7 @@ truth AS (
 def customer_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Markdown page per customer: headers, paragraphs and a code block."""
     joined = (
-        costly(spark, sf_dir, "customer")
+        table(spark, sf_dir, "customer")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
@@ -209,7 +209,7 @@ def part_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sequence(F.lit(1), F.col("p_size")),
         lambda i: F.concat(i.cast("string"), line, F.lit("\n")),
     )
-    return costly(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("document_id"),
         (F.col("p_partkey") + 1).alias("doc_index"),
         F.lit(".csv").alias("file_type"),
@@ -263,7 +263,7 @@ def line_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")
         ).alias("source"),
     )
-    return costly(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.to_json(record).alias("json")
     )
 
@@ -287,13 +287,16 @@ def part_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = F.when(F.col("p_type") == p_type, name).otherwise(kind)
     small = F.col("p_size") <= 25
     name = F.when(small, F.regexp_replace("p_name", " ", "_")).otherwise(F.col("p_name"))
+    parent = F.when(F.col("p_size") > 45, F.lit("extra.items.")).otherwise(
+        F.when(F.col("p_size") > 40, F.lit("extra.")).otherwise(F.lit(""))
+    )
     return table(spark, sf_dir, "part").select(
         F.col("p_brand").alias("schema_name"),
         F.lit(1).alias("version"),
-        F.when(F.col("p_size") > 40, F.lit("extra.")).otherwise(F.lit("")).alias("parent_path"),
-        F.when(F.col("p_size") > 40, F.concat(F.lit("extra."), name))
-        .otherwise(name)
-        .alias("path"),
+        # the same path below two parents, and below an array's items
+        F.when(F.col("p_size") > 40, 1 + F.col("p_size") % 3).otherwise(0).alias("parent_ordinal"),
+        parent.alias("parent_path"),
+        F.concat(parent, name).alias("path"),
         F.when(F.col("p_size") > 40, 1).otherwise(0).alias("depth"),
         F.col("p_partkey").alias("ordinal"),
         name.alias("name"),
@@ -311,7 +314,8 @@ PART_FIELD_TRUTH = """
 declared AS (
   SELECT p_brand AS schema_name, p_partkey AS ordinal, p_size,
          CASE WHEN p_size <= 25 THEN replace(p_name, ' ', '_') ELSE p_name END AS name,
-         CASE WHEN p_size > 40 THEN 'extra.' ELSE '' END AS parent_path,
+         CASE WHEN p_size > 45 THEN 'extra.items.' WHEN p_size > 40 THEN 'extra.' ELSE '' END AS parent_path,
+         CASE WHEN p_size > 40 THEN 1 + p_size % 3 ELSE 0 END AS parent_ordinal,
          CASE p_type WHEN 'ECONOMY' THEN 'string' WHEN 'STANDARD' THEN 'number'
                      WHEN 'SMALL' THEN 'array' WHEN 'MEDIUM' THEN 'object'
                      WHEN 'LARGE' THEN 'date' WHEN 'PROMO' THEN 'decimal'

@@ -78,7 +78,7 @@ def test_many_schemas_at_once(spark):
 
 
 def test_field_errors_with_a_hot_name(spark):
-    rows = [("s", 1, "", "a", 0, i, "a", "string", "", False, False, 0) for i in range(50)]
+    rows = [("s", 1, 0, "", "a", 0, i, "a", "string", "", False, False, 0) for i in range(50)]
     from quillframe.model import SCHEMA_FIELDS
 
     fields = spark.createDataFrame(rows, SCHEMA_FIELDS)
@@ -188,3 +188,63 @@ def test_long_messages_are_cut(spark):
 def test_numbers(spark, text, value):
     row = conformed(spark, [json.dumps({"vendor": "A", "amount": text})])[0]
     assert (row.data.amount if row.data else None) == value
+
+
+def test_equal_paths_of_two_parents_are_no_duplicates(spark):
+    inner = FieldDef("x", "string")
+    schema = RecordSchema(
+        "s", tuple(FieldDef("a", "object", properties=(inner,)) for _ in range(2))
+    )
+    assert contracts.validate_schema(spark, schema) == ["Field 'a': duplicate field name"]
+    twice = RecordSchema("s", (FieldDef("a", "object", properties=(inner, inner)),))
+    assert contracts.validate_schema(spark, twice) == ["Field 'a.x': duplicate field name"]
+
+
+NESTED = RecordSchema(
+    "n",
+    (
+        FieldDef("o", "object", properties=(FieldDef("a", "number", required=True), FieldDef("b", "boolean"))),
+        FieldDef("l", "array", items=FieldDef("i", "object", properties=(FieldDef("k", "number"),))),
+        FieldDef("n", "array", items=FieldDef("i", "number")),
+        FieldDef("m", "object"),
+    ),
+)
+
+
+@pytest.mark.parametrize("checked", [True, False])
+@pytest.mark.parametrize(
+    ("text", "problem", "data", "left_out"),
+    [
+        ('{"o":{"a":"$1,200.00","b":"yes","z":9}}', "", {"o": (1200.0, True)}, [("o.z", "9")]),
+        ('{"o":{"a":"bad"}}', "o.a: not a valid number: bad", {"o": (None, None)}, [("o.a", "bad")]),
+        ('{"o":{"b":"x"}}', "o.b: not a valid boolean: x; o.a: required field is missing",
+         {"o": (None, None)}, [("o.b", "x")]),
+        ('{"l":[{"k":"oops"},{"k":"3"},null]}', "l[0].k: not a valid number: oops",
+         {"l": [(None,), (3.0,), None]}, [("l[0].k", "oops")]),
+        ('{"n":["$1,200.00",2,"x"]}', "n[2]: not a valid number: x", {"n": [1200.0, 2.0, None]}, [("n[2]", "x")]),
+        ('{"m":{"p":[1],"q":null}}', "", {"m": {"p": "[1]", "q": None}}, []),
+    ],
+)
+def test_nested_rules(spark, checked, text, problem, data, left_out):
+    raw = contracts.parse_json_records(spark.createDataFrame([(text,)], "json string"), NESTED)
+    row = contracts.conform(
+        raw, NESTED, error="parse_error", nested_check=checked, left_out="more"
+    ).first()
+    extra = [tuple(x) for x in row.more]
+    if checked:
+        assert row.errors == ([problem] if problem else []), row
+        assert row.status == ("failed" if problem else "success")
+        if not problem:
+            assert extra == left_out
+    else:
+        assert row.status == "success" and extra == left_out
+    if row.status == "success":
+        plain = lambda v: tuple(v) if hasattr(v, "asDict") else [plain(x) for x in v] if isinstance(v, list) else v
+        assert {k: plain(row.data[k]) for k in data} == data
+
+
+@pytest.mark.parametrize("checked", [True, False])
+def test_a_nested_field_itself_is_always_checked(spark, checked):
+    raw = contracts.parse_json_records(spark.createDataFrame([('{"o":"text","l":{}}',)], "json string"), NESTED)
+    row = contracts.conform(raw, NESTED, error="parse_error", nested_check=checked, error_chars=None).first()
+    assert row.errors == ["o: not a valid object: text; l: not a valid array: {}"]
