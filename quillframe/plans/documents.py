@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import text as tx
 from quillframe.model import BLOCKS
-from quillframe.operators.ordered import with_ordinals
 from quillframe.plans import render
 from quillframe.plans.catalogue import query, table
 from quillframe.session import materialise, scratch_path
@@ -44,9 +43,21 @@ files AS (
 """
 
 
-@query()
+@query(
+    f"""
+WITH {_FILES}, sized AS (
+  SELECT filename, regexp_extract(filename, '\\.[a-zA-Z]+$') AS extension,
+         octet_length(encode(text)) AS n
+  FROM files
+)
+SELECT filename AS name, extension,
+       CASE WHEN n < 1024 THEN n || ' B' ELSE format('{{:.1f}} KB', n / 1024.0::DOUBLE) END AS size
+FROM sized
+"""
+)
 def list_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = listing.list_source_files(spark, sf_dir, "*.parquet")
+    """What a listing says of the documents as files."""
+    found = listing.describe_files(render.text_files(spark, sf_dir))
     return found.select("name", "extension", "size")
 
 
@@ -114,7 +125,7 @@ FROM files WHERE file_type <> '.log'
 """
 )
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_ordinals(ingest.documents(render.text_files(spark, sf_dir)), ["path"])
+    docs = ingest.number(ingest.documents(render.text_files(spark, sf_dir)))
     return docs.select(
         "path",
         "filename",
@@ -155,7 +166,7 @@ def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     number = F.regexp_extract("path", r"doc_(\d+)\.", 1)
     first = files.join(english, number == F.col("_n"), "left_semi")
-    docs = with_ordinals(ingest.documents(first), ["path"])
+    docs = ingest.number(ingest.documents(first))
     for _ in range(2):
         docs = ingest.append_documents(docs, files)
     return docs.select("path", "file_type", "doc_index")
@@ -367,12 +378,12 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 SELECT doc_id + 1 AS doc_index, left(text, 3000) AS content,
        CAST(greatest(length(text) - 3000, 0) AS BIGINT) AS remaining_chars
-FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+FROM documents
 """
 )
 def read_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the labels table refers to, by file name."""
-    references = table(spark, sf_dir, "labels").select(
+    """Every document, asked for by file name."""
+    references = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt")).alias(
             "reference"
         )

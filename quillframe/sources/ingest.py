@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +14,12 @@ from quillframe.operators.ordered import with_ordinals
 from quillframe.session import materialise
 from quillframe.sources import csv_documents, markdown, paged, plaintext
 from quillframe.sources.listing import empty_files, read_files
-from quillframe.sources.registry import Parser, ParserRegistry
+from quillframe.sources.registry import SUPPORTED, UNSUPPORTED, Parser, ParserRegistry
 
-#: Largest file that becomes a document; a Spark cell ends at 2 GB.
+#: Largest file that becomes one row by default: a Spark row ends at 2 GB, and
+#: text, blocks and bytes need room in it. Larger files are searched by lines.
 MAX_DOCUMENT_BYTES = 1 << 30
 # Why a file gives no document.
-UNSUPPORTED = "Unsupported file extension '"
 FAILED_TO_PARSE = "Failed to parse '"
 CORRUPT = "The file may be corrupt or not a valid file of its declared type."
 
@@ -30,8 +29,6 @@ def default_registry() -> ParserRegistry:
     registry.register([".txt"], plaintext.PARSER)
     registry.register([".md"], markdown.PARSER)
     registry.register([".csv"], csv_documents.PARSER)
-    if find_spec("pypdf"):  # optional; without it .pdf counts as unsupported
-        registry.register([".pdf"], paged.page_parser("pdf", paged.pdf_pages))
     return registry
 
 
@@ -65,69 +62,76 @@ def route(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame
     return named(files).withColumn("parser", choice)
 
 
-def _parsed_by(files: DataFrame, parser: Parser, extensions: list[str]) -> DataFrame:
-    own = named(files).filter(F.col("file_type").isin(extensions))
-    if parser.read_pages:
-        read = paged.page_arrays(own, parser.read_pages)
-        source, reason = F.col("pages"), F.col("reason")
-        content = F.array_join("pages", paged.PAGE_BREAK)
-    else:
-        raw = F.col("content")
-        read = own.select(
-            "path",
-            "filename",
-            "file_type",
-            F.when(tx.is_utf8(raw), tx.decode_utf8(raw)).alias("content"),
-        )
-        source = content = F.col("content")
-        reason = F.when(content.isNull(), F.lit("invalid UTF-8 text"))
+_PARSED = ("path", "filename", "file_type", "content", "metadata", "message")
+
+
+def _failure(reason: Column) -> Column:
+    """Null without a reason."""
+    return F.concat(F.lit(FAILED_TO_PARSE), "filename", F.lit("': "), reason, F.lit(f". {CORRUPT}"))
+
+
+def _read_as_text(files: DataFrame, registry: ParserRegistry) -> DataFrame:
+    """All files that no page reader takes, in one pass: the parser is a choice
+    between expressions. Unsupported files are told so, their bytes unread."""
+    raw, kind = F.col("content"), F.col("file_type")
+    own = {p: e for p, e in registry.by_parser().items() if not p.read_pages}
+    known = [e for extensions in own.values() for e in extensions]
+    pages = sorted(set(registry.extensions()) - set(known))
+    text = F.when(kind.isin(known) & tx.is_utf8(raw), tx.decode_utf8(raw))
+    read = named(files).filter(~kind.isin(pages)).select(
+        "path", "filename", "file_type", text.alias("content")
+    )
+    content = F.col("content")
+    reason, facts = F.lit("invalid UTF-8 text"), F.lit(None).cast(METADATA)
+    if_text = F.lit(None).cast("string")
+    for parser, extensions in own.items():
+        taken = kind.isin(extensions) & content.isNotNull()
+        facts = F.when(taken, parser.metadata(content).cast(METADATA)).otherwise(facts)
         if parser.failure:
-            reason = F.coalesce(reason, parser.failure(content))
-    message = F.concat(
-        F.lit(FAILED_TO_PARSE), "filename", F.lit("': "), reason, F.lit(f". {CORRUPT}")
+            if_text = F.when(taken, parser.failure(content)).otherwise(if_text)
+    unsupported = F.concat(
+        F.lit(UNSUPPORTED), kind, F.lit(f"{SUPPORTED}{', '.join(registry.extensions())}")
     )
-    return read.select(
-        "path",
-        "filename",
-        "file_type",
-        content.alias("content"),
-        F.when(source.isNotNull(), parser.metadata(source)).cast(METADATA).alias("metadata"),
-        message.alias("message"),
+    message = F.when(~kind.isin(known), unsupported).otherwise(
+        _failure(F.when(content.isNull(), reason).otherwise(if_text))
     )
+    return read.withColumns({"metadata": facts, "message": message}).select(*_PARSED)
 
 
-def _unsupported(files: DataFrame, registry: ParserRegistry) -> DataFrame:
-    """Files no parser takes; their content is not looked at."""
-    known = registry.extensions()
-    return named(files.select("path")).filter(~F.col("file_type").isin(known)).select(
+def _read_as_pages(files: DataFrame, parser: Parser, extensions: list[str]) -> DataFrame:
+    """The files of one page reader, which runs in Python."""
+    own = named(files).filter(F.col("file_type").isin(extensions))
+    read = paged.page_arrays(own, parser.read_pages)
+    pages = F.col("pages")
+    return read.select(
         "path",
         "filename",
         "file_type",
-        F.lit(None).cast("string").alias("content"),
-        F.lit(None).cast(METADATA).alias("metadata"),
-        F.concat(
-            F.lit(UNSUPPORTED),
-            "file_type",
-            F.lit(f"'. Supported: {', '.join(known)}"),
-        ).alias("message"),
+        F.array_join(pages, paged.PAGE_BREAK).alias("content"),
+        F.when(pages.isNotNull(), parser.metadata(pages)).cast(METADATA).alias("metadata"),
+        _failure(F.col("reason")).alias("message"),
     )
 
 
 def parse(files: DataFrame, registry: ParserRegistry | None = None) -> DataFrame:
     """Every file once, with its text and metadata or a message why not.
 
-    ``files`` needs path and content (bytes). Each parser handles its own
-    extensions and the results are unioned, so a parser that needs Python
-    workers never sees the files of another. If ``files`` is a table kept
-    apart by the ``parser`` column of :func:`route`, each reads only its part.
+    ``files`` needs path and content (bytes). Parsers made of expressions share
+    one pass over the files; each page reader, which needs Python workers, has
+    one of its own over its extensions. If ``files`` is a table kept apart by
+    the ``parser`` column of :func:`route`, each reads only its part.
     """
     registry = registry or default_registry()
     apart = "parser" in files.columns
-    strays = files.filter(F.col("parser").isNull()) if apart else files
-    parts = [_unsupported(strays, registry)]
-    for parser, extensions in registry.by_parser().items():
+    readers = {p: e for p, e in registry.by_parser().items() if p.read_pages}
+    rest = files
+    if apart and readers:
+        names = [p.name for p in readers]
+        rest = files.filter(F.col("parser").isNull() | ~F.col("parser").isin(names))
+    parts = [_read_as_text(rest, registry)]
+    for parser, extensions in readers.items():
         own = files.filter(F.col("parser") == parser.name) if apart else files
-        parts.append(_parsed_by(own, parser, extensions))
+        parts.append(_read_as_pages(own, parser, extensions))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -178,47 +182,67 @@ def read_folder(
     folder: str,
     extensions: str | Sequence[str] = "",
     registry: ParserRegistry | None = None,
+    known: DataFrame | None = None,
+    max_bytes: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, errors) of a folder, documents numbered in path order.
 
-    Each supported extension is a scan of its own with a name filter, so every
-    file is read once; unsupported files are listed but never read.
+    The names are listed once; one scan, with a name filter, reads all supported
+    files, and unsupported ones are never read. Files whose path is in ``known``
+    are left out by their names before anything is opened.
     """
     registry = registry or default_registry()
     allowed = extension_filter(extensions)
-    empty = empty_files(spark, folder)
-    has_empty = not empty.isEmpty()
-
-    def found(pattern: str | None = None) -> DataFrame:
-        files = read_files(spark, folder, pattern, empty=False)
-        return files.unionByName(empty) if has_empty else files
-
-    listed = named(found().select("path"))
+    chosen = [e for e in registry.extensions() if not allowed or e in allowed]
+    empty = materialise(empty_files(spark, folder), "empty-files")
+    listed = named(read_files(spark, folder, empty=False).select("path").unionByName(empty.select("path")))
     if allowed:
         listed = listed.filter(F.col("file_type").isin(allowed))
-    parts = [_unsupported(listed, registry)]
-    for parser, known in registry.by_parser().items():
-        for ext in known:
-            if not allowed or ext in allowed:
-                files = found(_any_case_glob(ext))
-                parts += [_parsed_by(fitting(files), parser, [ext]), too_large(files, [ext])]
+    if known is not None:
+        listed = listed.join(known.select("path"), "path", "left_anti")
+    listed = materialise(listed, "listed")
+    parts = [_read_as_text(no_content(listed.filter(~F.col("file_type").isin(chosen))), registry)]
+    if chosen:
+        glob = f"{{{','.join(map(_any_case_glob, chosen))}}}"
+        files = read_files(spark, folder, glob, empty=False).unionByName(
+            named(empty).filter(F.col("file_type").isin(chosen)).select(*empty.columns)
+        )
+        if known is not None:
+            files = files.join(listed.select("path"), "path", "left_semi")
+        parts += [parse(fitting(files, max_bytes), registry), too_large(files, chosen, max_bytes)]
     # stored before it is split up and numbered: no file is opened again
     parsed = materialise(reduce(DataFrame.unionByName, parts), "parsed")
-    return with_ordinals(documents_of(parsed), ["path"]), errors_of(parsed)
+    return number(documents_of(parsed)), errors_of(parsed)
+
+
+def no_content(listed: DataFrame) -> DataFrame:
+    return listed.select("path", F.lit(None).cast("binary").alias("content"))
 
 
-def fitting(files: DataFrame) -> DataFrame:
+def number(docs: DataFrame) -> DataFrame:
+    """Documents with their position in path order.
+
+    Positions are found on paths alone; the texts then meet them by path, which
+    a small table of positions does without moving texts at all.
+    """
+    places = with_ordinals(docs.select(F.col("path").alias("_path")), ["_path"])
+    return docs.join(places, F.col("path") == F.col("_path")).drop("_path")
+
+
+def fitting(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Files that fit into one cell. The condition reaches the file source,
     which then does not open the others."""
-    return files.filter(F.col("length") <= MAX_DOCUMENT_BYTES)
+    return files.filter(F.col("length") <= (max_bytes or MAX_DOCUMENT_BYTES))
 
 
-def too_large(files: DataFrame, extensions: list[str]) -> DataFrame:
+def too_large(
+    files: DataFrame, extensions: list[str], max_bytes: int | None = None
+) -> DataFrame:
     """Files that cannot be one row; their lines can still be read with
     :mod:`quillframe.sources.large_text`."""
     return (
         named(files.select("path", "length"))
-        .filter((F.col("length") > MAX_DOCUMENT_BYTES) & F.col("file_type").isin(extensions))
+        .filter((F.col("length") > (max_bytes or MAX_DOCUMENT_BYTES)) & F.col("file_type").isin(extensions))
         .select(
             "path",
             "filename",
@@ -239,19 +263,29 @@ def too_large(files: DataFrame, extensions: list[str]) -> DataFrame:
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose path is not among the documents already ingested.
 
-    A second run over the same folder therefore adds nothing.
+    A second run over the same folder therefore adds nothing. Only paths are
+    compared; contents meet the paths that are new, which usually are few.
     """
-    return files.join(known.select("path"), "path", "left_anti")
+    fresh = materialise(
+        files.select("path").join(known.select("path"), "path", "left_anti").distinct(), "new-files"
+    )
+    return files.join(fresh, "path", "left_semi")
 
 
-def append_documents(existing: DataFrame, files: DataFrame) -> DataFrame:
+def append_documents(
+    existing: DataFrame, files: DataFrame, registry: ParserRegistry | None = None
+) -> DataFrame:
     """Existing documents plus those of the files not seen before, numbered on."""
-    parsed = materialise(parse(new_files(files, existing)), "parsed")
-    fresh = with_ordinals(documents_of(parsed), ["path"])
+    new = new_files(files, existing)
+    if "length" in files.columns:
+        new = fitting(new)
+    parsed = materialise(parse(new, registry), "parsed")
+    return existing.unionByName(numbered_after(existing, number(documents_of(parsed))))
+
+
+def numbered_after(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     last = existing.agg(F.max("doc_index")).first()[0] or 0  # a single number
-    return existing.unionByName(
-        fresh.withColumn("doc_index", F.col("doc_index") + F.lit(last))
-    )
+    return fresh.withColumn("doc_index", F.col("doc_index") + F.lit(last))
 
 
 def list_documents(docs: DataFrame) -> DataFrame:

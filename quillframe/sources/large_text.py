@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import text as tx
 
-# Fixed value: line boundaries of str.splitlines() besides those the text
-# source splits at itself.
-_INNER_BREAK = r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# Fixed value: line boundaries of str.splitlines() besides the line feed.
+_INNER_BREAK = r"[\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+_BOM_BYTES = 3
 
 
 def numbered_lines(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
@@ -23,35 +23,58 @@ def numbered_lines(spark: SparkSession, folder: str, pattern: str | None = None)
     Bytes that are not UTF-8 become U+FFFD. The columns are those of
     :func:`quillframe.sources.listing.lines`, so searching works on them.
     """
-    reader = spark.read.option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
     if pattern and pattern != "*":
         reader = reader.option("pathGlobFilter", pattern)
+    # the carriage return of a line break goes, any other one is a break itself
+    pieces = F.split(F.regexp_replace(F.make_valid_utf8("value"), r"\r\z", ""), _INNER_BREAK)
     rows = reader.text(folder).select(
         F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("_size"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
-        F.posexplode(F.split(F.make_valid_utf8("value"), _INNER_BREAK)).alias(
-            "_pos", "line"
-        ),
+        (F.octet_length("value") + 1).cast("long").alias("_bytes"),
+        pieces.alias("_pieces"),
     )
-    # a split is at most spark.sql.files.maxPartitionBytes, and so its window
-    within = Window.partitionBy("path", "_block").orderBy("_row", "_pos")
-    numbered = rows.withColumn("_n", F.row_number().over(within))
-    sizes = rows.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_lines"))
-    earlier = (
-        Window.partitionBy("path")
-        .orderBy("_block")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("path", "_size", "_block").agg(
+        F.sum(F.size("_pieces")).alias("_lines"),
+        F.sum("_bytes").alias("_bytes"),
+        F.max("_row").alias("_last_row"),
+    )
+    # one row per split from here: what lies before it, and the whole file
+    whole = Window.partitionBy("path")
+    earlier = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # values come without line feeds: one byte too many says the last one is missing
+    spare = F.sum("_bytes").over(whole) - F.col("_size")
+    starts = blocks.select(
+        F.col("path").alias("_path"),
+        F.col("_block").alias("_at"),
+        F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_start"),
+        F.when(
+            spare.isin(1, 1 - _BOM_BYTES) & (F.col("_block") == F.max("_block").over(whole)),
+            F.col("_last_row"),
+        ).alias("_open_row"),
+    )
+    placed = rows.join(
+        starts, (F.col("path") == F.col("_path")) & (F.col("_block") == F.col("_at"))
     )
-    starts = sizes.select(
-        "path", "_block", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_start")
+    # a break at the very end of a file starts no other line
+    cut = (F.col("_row") == F.col("_open_row")) & (F.size("_pieces") > 1)
+    cut = F.coalesce(cut, F.lit(False)) & (F.element_at("_pieces", -1) == "")
+    lines = F.when(cut, F.slice("_pieces", F.lit(1), F.size("_pieces") - 1)).otherwise(F.col("_pieces"))
+    # a split is at most spark.sql.files.maxPartitionBytes, and so its window
+    before = Window.partitionBy("path", "_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.select(
+        "path",
+        lines.alias("_lines"),
+        (F.col("_start") + F.coalesce(F.sum(F.size("_pieces")).over(before), F.lit(0))).alias("_start"),
     )
-    return numbered.join(starts, ["path", "_block"]).select(
+    return counted.select(
         "path",
         tx.base_name(F.col("path")).alias("filename"),
-        (F.col("_start") + F.col("_n")).alias("line_no"),
-        "line",
-    )
+        "_start",
+        F.posexplode("_lines").alias("_pos", "line"),
+    ).select("path", "filename", (F.col("_start") + F.col("_pos") + 1).alias("line_no"), "line")
 
 
 def line_counts(lines: DataFrame) -> DataFrame:

@@ -60,15 +60,6 @@ def pages_from_bytes(
     return files.select("document_id", "content").mapInPandas(run, PAGES)
 
 
-def pdf_pages(content: bytes) -> list[str]:
-    """Page texts of a PDF, where the optional ``pypdf`` package is present."""
-    import io
-
-    from pypdf import PdfReader
-
-    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
-
-
 def page_arrays(
     files: DataFrame, read_pages: Callable[[bytes], list[str]]
 ) -> DataFrame:

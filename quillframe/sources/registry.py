@@ -7,6 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 
+# What is said of a file that no parser takes.
+UNSUPPORTED = "Unsupported file extension '"
+SUPPORTED = "'. Supported: "
+
 
 @dataclass(frozen=True)
 class Parser:
@@ -43,10 +47,7 @@ class ParserRegistry:
             raise ValueError(self.unsupported(ext)) from None
 
     def unsupported(self, ext: str) -> str:
-        return (
-            f"Unsupported file extension '{ext}'. "
-            f"Supported: {', '.join(self.extensions())}"
-        )
+        return f"{UNSUPPORTED}{ext}{SUPPORTED}{', '.join(self.extensions())}"
 
     def extensions(self) -> list[str]:
         return sorted(self._by_extension)

@@ -1,3 +1,8 @@
+import csv
+import io
+
+import pytest
+
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -136,8 +141,20 @@ def test_csv(spark):
     assert "new-line character" in failures.first()[0]
 
 
-def test_csv_blocks_of_a_long_file_come_in_chunks(spark):
-    rows = csv_documents.CHUNK_ROWS * 2 + 5
+@pytest.mark.parametrize(
+    "text",
+    ['a,"b', '"a"x"y",z\n"",,\n', 'x"y,"",\n\n', '"\n\r\n","a""b""",c', "a,b\r\n1,2\r\n", ",", '"a,b', '""""', "a\n ", "a,"],
+)
+def test_csv_as_python_reads_it(spark, text):
+    want = list(csv.reader(io.StringIO(text, newline="")))
+    row = docs(spark, [text]).select(
+        F.transform(csv_documents.records(F.col("content")), csv_documents.fields)
+    ).first()
+    assert row[0] == want
+
+
+def test_csv_blocks_of_a_long_file(spark):
+    rows = 20_005
     text = "n\n" + "\n".join(str(i) for i in range(rows)) + "\n"
     found = csv_documents.blocks(docs(spark, [text]))
     assert found.count() == rows + 1
