@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillframe.model import ColumnInfo, QueryResult
-from quillframe.session import RUNTIME_CONF
+from quillframe.session import RUNTIME_CONF, materialise
 from quillframe.sources.tables import read_csv_table, read_parquet_table
 
 PAGE_ROWS = 1000
@@ -22,8 +22,6 @@ SQL_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
     "spark.sql.runSQLOnFiles": "false",
-    # Pages far into a result are sorted by all tasks, not kept in one heap.
-    "spark.sql.execution.topKSortFallbackThreshold": "1000000",
 }
 _INHERITED = (
     "spark.sql.shuffle.partitions",
@@ -75,7 +73,8 @@ class Workspace:
 
     def page(self, sql: str, limit: int = PAGE_ROWS, offset: int = 0) -> DataFrame:
         """One page. Pages only fit together if the query orders all rows."""
-        return self.query(sql).offset(offset).limit(limit)
+        result = self.query(sql)
+        return rows_between(result, offset, limit) if offset else result.limit(limit)
 
     def total(self, sql: str) -> DataFrame:
         return self.query(sql).agg(F.count(F.lit(1)).alias("total_rows"))
@@ -85,9 +84,10 @@ class Workspace:
     ) -> QueryResult:
         """A page of rows on the driver, and how many rows there are in all."""
         try:
-            page = self.page(sql, limit, offset)
-            rows = [list(row) for row in page.collect()]  # at most `limit` rows
             total = self.total(sql).first()[0]
+            page = self.query(sql) if offset >= total else self.page(sql, limit, offset)
+            # at most `limit` rows; a page past the end needs none of them
+            rows = [] if offset >= total else [list(row) for row in page.collect()]
         except (PySparkException, Py4JJavaError) as problem:
             raise ValueError(f"SQL error: {problem}") from problem
         return QueryResult(columns_of(page), rows, total, sql)
@@ -96,6 +96,32 @@ class Workspace:
         return columns_of(self.spark.table(name))
 
 
+def rows_between(result: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of a result in its own order.
+
+    The result is stored as its tasks made it, sorted range by sorted range; the
+    number of rows in each range says which ranges hold the page, and only these
+    are read again. Nothing collects the rows before the page.
+    """
+    names = [f"c{i}" for i in range(len(result.columns))]  # SQL may repeat names
+    local_bits = 33  # layout of monotonically_increasing_id
+    stored = materialise(
+        result.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "page"
+    )
+    ranges = stored.groupBy(F.shiftright("_row", local_bits).alias("range")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    at, wanted = 0, F.lit(False)
+    for found in sorted(ranges.collect()):  # one row per task of the result
+        low, high = max(offset - at, 0), min(offset + limit - at, found.n)
+        if low < high:
+            first = found.range << local_bits
+            wanted = wanted | F.col("_row").between(first + low, first + high - 1)
+        at += found.n
+    page = stored.filter(wanted).sort("_row").drop("_row")
+    return page.toDF(*result.columns)
+
+
 def columns_of(df: DataFrame) -> list[ColumnInfo]:
     return [ColumnInfo(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
@@ -103,20 +129,23 @@ def columns_of(df: DataFrame) -> list[ColumnInfo]:
 def profile_table(df: DataFrame) -> DataFrame:
     """One row per column: type, non-null and distinct count, min, max, mean.
 
+    Nested and binary columns are counted too; they have no smallest or largest
+    value.
+
     Each column is read and reduced by itself: to its distinct values with
     their counts (combined before the shuffle), then to one row. On a columnar
     table that reads every column once, and a value that fills much of a column
     is one row per task by the time it is shuffled.
     """
-    nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
-    simple = [f for f in df.schema.fields if not isinstance(f.dataType, nested)]
-    return reduce(DataFrame.unionByName, [_profile_column(df, f) for f in simple])
+    return reduce(DataFrame.unionByName, [_profile_column(df, f) for f in df.schema.fields])
 
 
 def _profile_column(df: DataFrame, field: T.StructField) -> DataFrame:
-    values = df.groupBy(F.col(f"`{field.name}`").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    column, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+    nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
+    if "map<" in kind or "variant" in kind:  # equal maps may be written in several ways
+        column = F.to_json(column if isinstance(field.dataType, (T.MapType, T.StructType, T.ArrayType)) else F.struct(column))
+    values = df.groupBy(column.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     seen = F.when(F.col("v").isNotNull(), F.col("n"))
     if isinstance(field.dataType, T.NumericType):
         mean = F.try_divide(F.sum(F.col("v").cast("double") * seen), F.sum(seen))
@@ -125,8 +154,8 @@ def _profile_column(df: DataFrame, field: T.StructField) -> DataFrame:
     return values.agg(
         F.coalesce(F.sum(seen), F.lit(0)).alias("non_null"),
         F.count("v").alias("distinct_values"),
-        F.min("v").cast("string").alias("min_value"),
-        F.max("v").cast("string").alias("max_value"),
+        (F.lit(None) if nested else F.min("v")).cast("string").alias("min_value"),
+        (F.lit(None) if nested else F.max("v")).cast("string").alias("max_value"),
         mean.alias("mean_value"),
     ).select(
         F.lit(field.name).alias("column_name"),

@@ -166,6 +166,24 @@ def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(render.text_documents(spark, sf_dir), _PATTERN)
 
 
+@query(
+    f"""
+WITH {_LINES}
+SELECT regexp_replace(name, '[.]txt$', '') AS name, CAST(line_no AS BIGINT) AS line_no,
+       trim(line, ' ' || chr(9)) AS line
+FROM lines WHERE regexp_matches(line, '{_PATTERN}', 'i')
+"""
+)
+def search_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches in files of all extensions, also such that no parser takes, with
+    a byte that is not UTF-8 in front of each."""
+    files = render.text_files(spark, sf_dir).withColumn(
+        "content", F.concat("content", F.lit(b"\n\xff"))
+    )
+    found = search.matching_file_lines(files, _PATTERN)
+    return found.select(F.regexp_extract("name", r"^(\w+)\.", 1).alias("name"), "line_no", "line")
+
+
 @query(
     f"""
 WITH {_LINES}
@@ -195,8 +213,8 @@ WITH {render.ORDER_TRUTH}, {_LINES}, dump AS (
   SELECT *, (row_number() OVER (ORDER BY record_no) - 1) * 10 AS before_it
   FROM dump WHERE NOT (no_total OR bad_total)
 ), found AS (
-  SELECT 0 AS rank, 'source' AS origin, name, line_no, left(trim(line, ' ' || chr(9)), 120) AS line
-  FROM lines WHERE regexp_matches(line, '{_PATTERN}|^urgent: true', 'i')
+  (SELECT 0 AS rank, 'source' AS origin, name, line_no, left(trim(line, ' ' || chr(9)), 120) AS line
+   FROM lines WHERE doc_id < 1 AND line <> '' ORDER BY line_no)
   UNION ALL
   SELECT 1, 'extracted', 'data.txt', before_it + 8, 'urgent: True' FROM kept WHERE urgent
 )
@@ -205,11 +223,16 @@ FROM found ORDER BY rank, name, line_no LIMIT 40
 """
 )
 def search_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source lines first, then lines of the extracted dump."""
+    """All lines of the first document, then lines of the extracted dump for what
+    is left of the places."""
     records = materialise(order_records(spark, sf_dir), "records")
     dump = sinks.dump_lines(records, render.ORDER_SCHEMA)
-    docs = render.text_documents(spark, sf_dir)
-    return search.search(docs, f"{_PATTERN}|^urgent: true", dump, max_results=40)
+    lines = listing.lines(render.text_documents(spark, sf_dir), "path", "filename")
+    # lines of other documents are no match; those of the first one all are
+    marked = lines.withColumn(
+        "line", F.when(F.col("filename") == "doc_000000000000.txt", F.col("line")).otherwise("-")
+    )
+    return search.search_all(marked, dump, "^(?!-$|[a-z_]+: |=== |$)|^urgent: true", max_results=40)
 
 
 @query(

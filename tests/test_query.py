@@ -1,83 +1,60 @@
+"""Workspaces over a table of rivers: paging, errors, profiles; then search."""
+
 import pytest
 
-from quillframe.operators.query import Workspace, profile_table
 from quillframe.operators import search
+from quillframe.operators.query import Workspace, profile_table
+
+RIVERS = [(i, f"river {i:03d}", ["north", "south", "delta"][i % 3], i * 1.5 if i % 4 else None) for i in range(90)]
 
 
 @pytest.fixture
 def ws(spark, tmp_path):
-    people = spark.createDataFrame(
-        [
-            ("Alice", 30, "Oslo", 50000.0), ("Bob", 25, "Paris", 60000.0),
-            ("Charlie", 35, "Oslo", 70000.0), ("Diana", 28, "Rome", 80000.0),
-            ("Eve", 45, "Paris", 90000.0),
-        ],
-        "name string, age long, city string, salary double",
-    )
-    people.write.parquet(str(tmp_path / "people"))
-    spark.range(3).toDF("x").write.parquet(str(tmp_path / "numbers"))
+    rivers = spark.createDataFrame(RIVERS, "id long, label string, part string, km double").repartition(5)
+    rivers.write.parquet(str(tmp_path / "rivers"))
     made = Workspace(spark)
-    made.register_table("people", str(tmp_path / "people"))
-    made.register_table("numbers", str(tmp_path / "numbers"))
+    made.register_table("rivers", str(tmp_path / "rivers"))
     made.folder = tmp_path
     return made
 
 
-def test_select_filter_and_mean(ws):
-    assert ws.execute_sql("SELECT * FROM people").total_rows == 5
-    assert ws.execute_sql("SELECT name FROM people WHERE age > 30").total_rows == 2
-    assert ws.execute_sql("SELECT avg(salary) AS m FROM people;").rows == [[70000.0]]
+@pytest.mark.parametrize("offset", [0, 1, 29, 30, 85, 89, 90, 1000])
+def test_pages_are_slices_of_the_ordered_result(ws, offset):
+    page = ws.execute_sql("SELECT id, id FROM rivers ORDER BY km DESC NULLS LAST, id", 7, offset)
+    order = sorted(RIVERS, key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))
+    assert page.rows == [[r[0], r[0]] for r in order[offset : offset + 7]]
+    assert page.total_rows == 90 and [c.name for c in page.columns] == ["id", "id"]
 
 
-def test_paging(ws):
-    page = ws.execute_sql("SELECT name FROM people ORDER BY name", limit=2)
-    assert (len(page.rows), page.total_rows) == (2, 5)
-    page = ws.execute_sql("SELECT name FROM people ORDER BY name", limit=2, offset=2)
-    assert page.rows == [["Charlie"], ["Diana"]]
-    page = ws.execute_sql("SELECT name FROM people ORDER BY name", offset=100)
-    assert (page.rows, page.total_rows) == ([], 5)
+def test_pages_of_a_grouped_result_fit_together(ws):
+    sql = "SELECT part, count(*) AS n FROM rivers GROUP BY part ORDER BY part;"
+    parts = [ws.execute_sql(sql, 1, i).rows for i in range(4)]
+    assert parts == [[["delta", 30]], [["north", 30]], [["south", 30]], []]
 
 
-def test_columns_and_description(ws):
-    page = ws.execute_sql("SELECT name, salary FROM people")
-    assert [(c.name, c.type) for c in page.columns] == [("name", "string"), ("salary", "double")]
-    assert [c.name for c in ws.describe("people")] == ["name", "age", "city", "salary"]
+def test_schema_of_a_result_and_of_a_table(ws):
+    page = ws.execute_sql("SELECT upper(label) AS u, km / 2 AS half FROM rivers", 1)
+    assert [(c.name, c.type) for c in page.columns] == [("u", "string"), ("half", "double")]
+    assert [c.name for c in ws.describe("rivers")] == ["id", "label", "part", "km"]
+    assert ws.execute_sql('SELECT max("label") FROM rivers').rows == [["river 089"]]
 
 
 @pytest.mark.parametrize(
     "sql",
-    [
-        "SELECT * FROM nowhere", "SELEC 1", "SELECT nope FROM people",
-        "SELECT CAST(name AS INT) FROM people", "SELECT 1/0 FROM people",
-    ],
+    ["SELECT * FROM lakes", "SELECT FROM WHERE", "SELECT depth FROM rivers", "SELECT int(label) FROM rivers",
+     "SELECT id / 0 FROM rivers", "SELECT * FROM parquet.`/tmp`"],
 )
-def test_every_failure_is_an_sql_error(ws, sql):
+def test_what_fails_is_an_sql_error(spark, ws, sql):
     with pytest.raises(ValueError, match="SQL error"):
         ws.execute_sql(sql)
-
-
-def test_quoted_names_are_identifiers(ws):
-    assert ws.execute_sql('SELECT "name" FROM people ORDER BY 1', limit=1).rows == [["Alice"]]
-
-
-def test_files_are_out_of_reach(ws):
     with pytest.raises(ValueError, match="SQL error"):
-        ws.execute_sql(f"SELECT * FROM parquet.`{ws.folder}/people`")
+        Workspace(spark).execute_sql("SELECT * FROM rivers")  # names stay in their workspace
 
 
-def test_join_of_tables(ws):
-    got = ws.execute_sql("SELECT count(*) AS n FROM people JOIN numbers ON age = 25 + x")
-    assert got.rows == [[1]]
-
-
-def test_workspaces_do_not_share_names(spark, ws):
-    with pytest.raises(ValueError, match="SQL error"):
-        Workspace(spark).execute_sql("SELECT * FROM people")
-
-
-def test_replace_missing_and_corrupt(ws):
-    ws.register_table("people", str(ws.folder / "numbers"))
-    assert ws.execute_sql("SELECT * FROM people").total_rows == 3
+def test_tables_are_replaced_and_bad_ones_refused(ws):
+    (ws.folder / "c.csv").write_text("a,b\n1,x\n2,\n")
+    ws.register_csv("rivers", str(ws.folder / "c.csv"))
+    assert ws.execute_sql("SELECT a FROM rivers WHERE b IS NULL").rows == [[2]]
     with pytest.raises(FileNotFoundError):
         ws.register_table("gone", str(ws.folder / "gone"))
     (ws.folder / "junk.parquet").write_text("not parquet")
@@ -85,17 +62,16 @@ def test_replace_missing_and_corrupt(ws):
         ws.register_table("junk", str(ws.folder / "junk.parquet"))
 
 
-def test_register_csv(ws):
-    (ws.folder / "c.csv").write_text("a,b\n1,x\n2,\n")
-    ws.register_csv("c", str(ws.folder / "c.csv"))
-    assert ws.execute_sql("SELECT a FROM c WHERE b IS NULL").rows == [[2]]
-
-
-def test_profile(ws):
-    facts = {r.column_name: r for r in profile_table(ws.spark.table("people")).collect()}
-    assert facts["age"].distinct_values == 5 and facts["age"].mean_value == 32.6
-    assert (facts["city"].min_value, facts["city"].max_value) == ("Oslo", "Rome")
-    assert facts["city"].distinct_values == 3 and facts["city"].mean_value is None
+def test_profile_has_every_column(ws):
+    df = ws.spark.table("rivers").selectExpr(
+        "*", "array(id % 2) AS l", "named_struct('a', part) AS s", "map(part, id % 2) AS m", "cast(part AS binary) AS b"
+    )
+    facts = {r.column_name: r for r in profile_table(df).collect()}
+    assert list(facts) == df.columns
+    assert (facts["km"].non_null, facts["km"].min_value, facts["km"].max_value) == (67, "1.5", "133.5")
+    assert facts["part"].distinct_values == 3 and facts["part"].mean_value is None
+    assert [facts[c].distinct_values for c in "lsmb"] == [2, 3, 6, 3]
+    assert all(facts[c].non_null == 90 and facts[c].min_value is None for c in "lsmb")
 
 
 @pytest.fixture
@@ -121,6 +97,8 @@ def test_search_order_and_cut(found):
     assert len(rows[0].line) == 120 and rows[2].line == "hit two"
     assert len(search.search(docs, "hit", dump, max_results=2).collect()) == 2
     assert search.search(docs, "absent").collect() == []
+    whole = search.search(docs, "hit", dump, shown_chars=None).collect()
+    assert len(whole[0].line) == 204
 
 
 def test_bad_pattern(found):
