@@ -19,10 +19,14 @@ from quillframe.functions import text as tx
 from quillframe.model import ExtractionSummary, QueryResult, RecordSchema, typed_struct
 from quillframe.operators import catalog, contracts, extraction, search, sinks
 from quillframe.operators.query import PAGE_ROWS, Workspace
-from quillframe.session import configure
-from quillframe.sources import ingest, listing
+from quillframe.session import configure, materialise
+from quillframe.sources import ingest, large_text, listing
 from quillframe.sources.registry import ParserRegistry
 
+#: Tables of a dataset that move with it; files for reading are written anew.
+CHILD_TABLES = ("documents", "ingest_errors", "preview", "records")
+LEFT_OUT = "left_out"
+
 
 class Library:
     def __init__(
@@ -185,7 +189,8 @@ class Library:
 
     def ingest(self, dataset_id: str, extensions: str = "") -> tuple[int, int]:
         """(documents added, files failed). A dataset is filled once; use
-        :mod:`quillframe.streaming.ingest` for folders that keep growing."""
+        :meth:`append` for later files, or :mod:`quillframe.streaming.ingest` for
+        folders that keep growing."""
         if self._read(dataset_id, "documents") is not None:
             return 0, 0
         docs, errors = ingest.read_folder(
@@ -199,6 +204,26 @@ class Library:
             self._read(dataset_id, "ingest_errors").count(),
         )
 
+    def append(self, dataset_id: str, folder: str = "", extensions: str = "") -> tuple[int, int]:
+        """(documents added, files failed) of the files of a folder, the dataset's
+        own by default, whose path the dataset does not have yet."""
+        docs = self.documents(dataset_id)
+        fresh, errors = ingest.read_folder(
+            self.spark,
+            folder or self._folder(dataset_id),
+            extensions,
+            self.registry,
+            known=docs.select("path"),
+        )
+        added = materialise(ingest.numbered_after(docs, fresh), "appended")
+        failed = materialise(errors, "append-errors")
+        n = added.count()
+        if n or self._read(dataset_id, "documents") is None:
+            added.write.mode("append").parquet(self._path(dataset_id, "documents"))
+        failed.write.mode("append").parquet(self._path(dataset_id, "ingest_errors"))
+        self._save(self.load(dataset_id).asDict())
+        return n, failed.count()
+
     def ingest_errors(self, dataset_id: str, limit: int = 10) -> DataFrame:
         """The first errors in path order, as many as are shown to a user."""
         errors = self._read(dataset_id, "ingest_errors")
@@ -263,42 +288,55 @@ class Library:
             "doc_index", "position"
         )
 
-    def extract_all(
-        self,
-        dataset_id: str,
-        strategy: extraction.Strategy,
-        threshold: int = sinks.PARQUET_THRESHOLD,
-    ) -> ExtractionSummary:
-        """Extract every document once, then write all sinks from the result."""
+    def extract_all(self, dataset_id: str, strategy: extraction.Strategy) -> ExtractionSummary:
+        """Extract every document once, then write all sinks from the result.
+
+        The records also keep what their typed data cannot hold, in ``left_out``.
+        """
         docs, schema = self._ready(dataset_id)
-        extraction.extract_batch(docs, schema, strategy).write.mode("overwrite").parquet(
-            self._path(dataset_id, "records")
-        )
-        records = self.spark.read.schema(
-            extraction.record_type(typed_struct(schema))
+        extraction.extract_batch(docs, schema, strategy, LEFT_OUT).write.mode(
+            "overwrite"
         ).parquet(self._path(dataset_id, "records"))
+        records = self._typed_records(dataset_id, schema)
+        self._write_sinks(dataset_id, records, schema)
+        if "extracted" in catalog.TRANSITIONS[self.load(dataset_id).status]:
+            self.update_status(dataset_id, "extracted")
+        return extraction.summary(records)
+
+    def _typed_records(self, dataset_id: str, schema: RecordSchema) -> DataFrame:
+        shape = extraction.record_type(typed_struct(schema))
+        return self.spark.read.schema(shape).parquet(self._path(dataset_id, "records"))
+
+    def _write_sinks(self, dataset_id: str, records: DataFrame, schema: RecordSchema) -> None:
+        """All files of a result, whatever its size."""
         sinks.write_csv(records, schema, self._path(dataset_id, "csv") + "/data.csv")
-        if sinks.storage_plan(records, threshold).first().write_parquet:
-            sinks.write_parquet(
-                records, schema, self._path(dataset_id, "parquet") + "/data.parquet"
-            )
+        sinks.write_parquet(records, schema, self._path(dataset_id, "parquet") + "/data.parquet")
         sinks.dump_lines(records, schema).write.mode("overwrite").parquet(
             self._path(dataset_id, "dump")
         )
         sinks.write_dump(
             self._read(dataset_id, "dump"), self._path(dataset_id, "text") + "/data.txt"
         )
-        if "extracted" in catalog.TRANSITIONS[self.load(dataset_id).status]:
-            self.update_status(dataset_id, "extracted")
-        return extraction.summary(records)
 
     # -- questions -----------------------------------------------------------------------
 
     def search(
-        self, dataset_id: str, pattern: str, max_results: int = search.MAX_RESULTS
+        self,
+        dataset_id: str,
+        pattern: str,
+        max_results: int = search.MAX_RESULTS,
+        shown_chars: int | None = search.SHOWN_CHARS,
     ) -> DataFrame:
-        dump = self._read(dataset_id, "dump")
-        return search.search(self.documents(dataset_id), pattern, dump, max_results)
+        """Matching lines of all source files, whatever their type, size or
+        encoding, then of the extracted records."""
+        dump, folder = self._read(dataset_id, "dump"), self.load(dataset_id).source_folder
+        try:
+            lines = large_text.numbered_lines(self.spark, folder) if folder else None
+        except AnalysisException:
+            lines = None  # an imported dataset's folder need not be here
+        if lines is None:
+            lines = listing.lines(self.documents(dataset_id), "path", "filename")
+        return search.search_all(lines, dump, pattern, max_results, shown_chars)
 
     def table_name(self, dataset_id: str) -> str:
         name = F.lit(self.load(dataset_id)["name"])
@@ -325,8 +363,9 @@ class Library:
     # -- moving datasets --------------------------------------------------------------------
 
     def export_dataset(self, dataset_id: str, path: str) -> str:
+        """The dataset with all its tables as one folder."""
         tables = {"datasets": self._current()}
-        for name in ("documents", "records"):
+        for name in CHILD_TABLES:
             table = self._read(dataset_id, name)
             if table is not None:
                 tables[name] = table.withColumn("dataset_id", F.lit(dataset_id))
@@ -334,7 +373,7 @@ class Library:
 
     def import_dataset(self, path: str) -> str:
         dataset_id, tables = sinks.import_snapshot(self.spark, path, ("datasets",))
-        for name in ("documents", "records"):
+        for name in CHILD_TABLES:
             try:
                 table = self.spark.read.parquet(f"{path}/{name}")
             except AnalysisException:
@@ -342,5 +381,9 @@ class Library:
             table.drop("dataset_id").write.mode("overwrite").parquet(
                 self._path(dataset_id, name)
             )
-        self._save(tables["datasets"].first().asDict(), user_id=self.user_id)
+        row = tables["datasets"].first().asDict()
+        self._save(row, user_id=self.user_id)
+        if self._read(dataset_id, "records") is not None and row["schema_json"]:
+            schema = RecordSchema.from_json(row["schema_json"])
+            self._write_sinks(dataset_id, self._typed_records(dataset_id, schema), schema)
         return dataset_id

@@ -58,9 +58,23 @@ def current_rows(
     return latest.select("_row.*")
 
 
-def live_rows(history: DataFrame, tombstones: DataFrame, key: str = "dataset_id") -> DataFrame:
-    """Rows of datasets that have no tombstone."""
-    return history.join(tombstones.select(key), key, "left_anti")
+def live_rows(
+    history: DataFrame,
+    tombstones: DataFrame,
+    key: str = "dataset_id",
+    at: str = "updated_at",
+    gone_at: str = "deleted_at",
+) -> DataFrame:
+    """Rows written after the last tombstone of their dataset, or without one.
+
+    A dataset that is created again after its deletion is therefore there.
+    """
+    last = tombstones.groupBy(key).agg(F.max(gone_at).alias("_gone_at"))
+    return (
+        history.join(last, key, "left")
+        .filter(F.col("_gone_at").isNull() | (F.col(at) > F.col("_gone_at")))
+        .drop("_gone_at")
+    )
 
 
 def summary(current: DataFrame, documents: DataFrame) -> DataFrame:

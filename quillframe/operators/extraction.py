@@ -147,23 +147,30 @@ def skipped_count(
 
 
 def extract_batch(
-    documents: DataFrame, schema: RecordSchema, strategy: Strategy
+    documents: DataFrame, schema: RecordSchema, strategy: Strategy, left_out: str | None = None
 ) -> DataFrame:
-    """A record per document: KEYS, data, status, errors.
+    """A record per document: KEYS, data, status, errors, and what the data cannot
+    hold if ``left_out`` names a column for it.
 
     Rows carry ``doc_index``; sort by it where document order matters.
     """
     if not schema.fields:
         raise ValueError("the schema has no fields")
-    return conform(strategy(documents, schema), schema, error="extract_error")
+    raw = strategy(documents, schema)
+    return conform(raw, schema, error="extract_error", left_out=left_out)
 
 
 def extract_sample(
     documents: DataFrame, schema: RecordSchema, strategy: Strategy, sample_size: int = 5
 ) -> DataFrame:
-    """Records of the first documents; only those are extracted at all."""
-    first = documents.orderBy("doc_index").limit(sample_size)
-    return extract_batch(first, schema, strategy)
+    """Records of the first documents; only those are read and extracted at all.
+
+    Their numbers are found on the numbers alone and become a plain filter, which
+    reaches the files.
+    """
+    first = documents.select("doc_index").orderBy("doc_index").limit(sample_size)
+    numbers = [r.doc_index for r in first.collect()]  # sample_size numbers
+    return extract_batch(documents.filter(F.col("doc_index").isin(numbers)), schema, strategy)
 
 
 def summarise(records: DataFrame) -> DataFrame:

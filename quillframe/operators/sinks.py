@@ -13,7 +13,8 @@ from pyspark.sql.utils import AnalysisException
 from quillframe.model import FAILED, SUCCESS, RecordSchema
 from quillframe.operators.ordered import with_ordinals
 
-PARQUET_THRESHOLD = 500
+#: Records from which on a Parquet copy is advised, see storage_plan.
+PARQUET_ADVISED = 500
 FORMATS = ("csv", "parquet")
 
 
@@ -87,6 +88,11 @@ def write_records(
 # -- text dump ----------------------------------------------------------------
 
 
+# How the dump writes a heading, a missing value and truth values.
+HEADING = ("=== Record ", ": ", " ===")
+NO_VALUE = "None"
+
+
 def _plain_number(value: Column) -> Column:
     """A double with a decimal point and no exponent for everyday sizes."""
     digits = F.regexp_replace(
@@ -105,7 +111,7 @@ def _dump_text(value: Column, kind: T.DataType) -> Column:
         text = _plain_number(value)
     else:
         text = value.cast("string")
-    return F.coalesce(text, F.lit("None"))
+    return F.coalesce(text, F.lit(NO_VALUE))
 
 
 def dump_lines(records: DataFrame, schema: RecordSchema) -> DataFrame:
@@ -126,25 +132,27 @@ def dump_lines(records: DataFrame, schema: RecordSchema) -> DataFrame:
         )
         for f in schema.fields
     ]
-    texts = F.when(
-        F.col("status") != FAILED,
-        F.flatten(
-            F.transform(F.array(*body, F.lit("")), lambda t: F.split(t, "\n"))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    written = records.select("doc_index", "filename", "status", texts.alias("texts"))
-    size = F.when(F.col("status") != FAILED, F.size("texts") + 1).otherwise(0)
-    numbered = with_ordinals(written, ["doc_index"], "record_no", size, "_before")
+    texts = F.flatten(F.transform(F.array(*body, F.lit("")), lambda t: F.split(t, "\n")))
+    # numbers come from a table of counts; the texts move once, to meet them
+    size = F.when(F.col("status") != FAILED, F.size(texts) + 1).otherwise(0)
+    counted = records.select(F.col("doc_index").alias("_index"), size.cast("long").alias("_size"))
+    numbers = with_ordinals(counted, ["_index"], "record_no", F.col("_size"), "_before")
+    written = records.filter(F.col("status") != FAILED).select(
+        "doc_index", "filename", texts.alias("texts")
+    )
+    numbered = written.join(
+        numbers.filter("_size > 0").select("_index", "record_no", "_before"),
+        F.col("doc_index") == F.col("_index"),
+    )
     heading = F.concat(
-        F.lit("=== Record "),
+        F.lit(HEADING[0]),
         F.col("record_no").cast("string"),
-        F.lit(": "),
+        F.lit(HEADING[1]),
         F.col("filename"),
-        F.lit(" ==="),
+        F.lit(HEADING[2]),
     )
     return (
-        numbered.filter(F.col("status") != FAILED)
-        .select(
+        numbered.select(
             "record_no",
             "_before",
             F.posexplode(F.concat(F.array(heading), "texts")).alias("_pos", "line"),
@@ -170,8 +178,11 @@ def write_dump(lines: DataFrame, path: str) -> str:
     return path
 
 
-def storage_plan(records: DataFrame, threshold: int = PARQUET_THRESHOLD) -> DataFrame:
-    """Which files a result gets: CSV and dump always, Parquet when large."""
+def storage_plan(records: DataFrame, threshold: int = PARQUET_ADVISED) -> DataFrame:
+    """How many records there are and whether a Parquet copy is advised.
+
+    This is a value for the caller; the writers here always write all files.
+    """
     succeeded = F.count_if(F.col("status") == SUCCESS)
     return records.agg(
         succeeded.alias("record_count"),
@@ -184,6 +195,22 @@ def storage_plan(records: DataFrame, threshold: int = PARQUET_THRESHOLD) -> Data
 # -- snapshots ----------------------------------------------------------------
 
 
+def export_all(tables: Mapping[str, DataFrame], path: str) -> str:
+    """Every dataset at once: one folder for each dataset below each table."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").partitionBy("dataset_id").parquet(f"{path}/{name}")
+    return path
+
+
+def import_all(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The tables that :func:`export_all` wrote; ids stay texts."""
+    found = {}
+    for name in names:
+        table = spark.read.parquet(f"{path}/{name}")
+        found[name] = table.withColumn("dataset_id", F.col("dataset_id").cast("string"))
+    return found
+
+
 def export_snapshot(tables: Mapping[str, DataFrame], dataset_id: str, path: str) -> str:
     """One dataset's rows of each table, as a folder of Parquet tables."""
     for name, table in tables.items():

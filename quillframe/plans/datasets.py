@@ -70,20 +70,25 @@ def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH {_LATEST}
 SELECT status, CAST(count(*) AS BIGINT) AS datasets FROM latest
-WHERE dataset_id NOT IN (
-  SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < 0)
+LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS dataset_id,
+                  TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * c_nationkey AS gone_at
+           FROM customer WHERE c_acctbal < 0) gone USING (dataset_id)
+WHERE gone_at IS NULL OR updated_at > gone_at
 GROUP BY status
 """
 )
 def catalog_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Datasets of overdrawn customers were deleted."""
+    """Datasets of overdrawn customers were deleted, some before their last row."""
     current = catalog.current_rows(
         render.status_history(spark, sf_dir), order=("updated_at", "event_id")
     )
     tombstones = (
         table(spark, sf_dir, "customer")
         .filter("c_acctbal < 0")
-        .select(F.col("c_custkey").cast("string").alias("dataset_id"))
+        .select(
+            F.col("c_custkey").cast("string").alias("dataset_id"),
+            F.expr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(c_nationkey)").alias("deleted_at"),
+        )
     )
     return (
         catalog.live_rows(current, tombstones)

@@ -33,13 +33,13 @@ GROUP BY c_mktsegment
 def flagship_extract_then_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order texts -> records -> a view -> SQL: average total per segment."""
     rows = flat_columns(kept_records(order_records(spark, sf_dir)), render.ORDER_SCHEMA)
-    rows.createOrReplaceTempView("order_record")
     return spark.sql(
         """
         SELECT segment, count(*) AS orders,
                CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS average_total
-        FROM order_record GROUP BY segment
-        """
+        FROM {order_record} GROUP BY segment
+        """,
+        order_record=rows,
     )
 
 
@@ -106,26 +106,48 @@ def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", (F.col("_i") + 1).cast("long").alias("position"), "email")
 
 
+_ORDER_REQUEST = """## Record
+order_record: One customer order.
+
+## Columns of the answer (path | type | need | meaning)
+order_number | number | needed | Number of the order
+customer | string | needed | Name of the buyer
+segment | string | optional
+total | number | needed | Total price in dollars
+order_date | date | optional
+priority | string | optional
+urgent | boolean | optional
+codes | array | optional | Codes in brackets
+codes.items.code | string | optional
+
+## Values
+array: a JSON array
+boolean: true or false
+date: year, month and day as in 2024-12-31
+number: digits without units or grouping
+string: text as it stands in the document
+An answer without order_number, customer, total is of no use.
+An optional value that the text does not give is null.
+
+## Notes
+Amounts are in dollars.
+
+## Answer
+One JSON object with the keys order_number, customer, segment, total, order_date, priority, urgent, codes."""
+
+
 @query(
-    """
-SELECT CAST(doc_id AS VARCHAR) AS document_id, md5('Document:' || chr(10) || chr(10) || text) AS user_md5,
-       CAST(8 AS BIGINT) AS field_lines, CAST(3 AS BIGINT) AS required_fields,
-       true AS has_instructions
+    f"""
+SELECT CAST(doc_id AS VARCHAR) AS document_id, '{_ORDER_REQUEST}' AS system,
+       md5('## Text' || chr(10) || text) AS user_md5
 FROM documents
 """
 )
 def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every request."""
     docs = render.text_documents(spark, sf_dir)
     asked = prompts.render_prompts(docs, render.ORDER_SCHEMA, "Amounts are in dollars.")
-    top_lines = F.regexp_extract_all("system", F.lit(r"(?m)^- \w+: \w+"), 0)
-    marked = F.regexp_extract_all("system", F.lit(r"\(REQUIRED\)"), 0)
-    return asked.select(
-        "document_id",
-        F.md5("user").alias("user_md5"),
-        F.size(top_lines).cast("long").alias("field_lines"),
-        F.size(marked).cast("long").alias("required_fields"),
-        F.col("system").endswith("Amounts are in dollars.").alias("has_instructions"),
-    )
+    return asked.select("document_id", "system", F.md5("user").alias("user_md5"))
 
 
 @query(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
-from functools import cache
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings every job here relies on. They are only ever *set*, never
@@ -66,48 +68,38 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine:
-    there the driver and the executors are the same process.
+    Where that is unset, it is a folder of the warehouse, which executors share
+    with the driver by definition. No machine-local folder is ever used.
     """
     folder = spark.conf.get(SHARED_DIR_CONF, None)
     folder = folder or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(
-            f"set {SHARED_DIR_CONF} to a folder that every executor can reach"
-        )
-    return _local_dir(spark.sparkContext.applicationId)
-
-
-@cache
-def _local_dir(app: str) -> str:
-    return tempfile.mkdtemp(prefix="quillframe-")
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quillframe_scratch"
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-#: Input up to this size may be read in fewer tasks than there are cores.
-SMALL_INPUT = 256 * 1024 * 1024
-_TASK_BYTES = 32 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores for costly work on a small table.
-
-    A Parquet file with a single row group is one task whatever its rows cost.
-    Where the optimizer's size estimate says the table is small, its rows are
-    dealt out first. Larger tables have enough splits and are left alone, so
-    nothing is shuffled that is worth avoiding.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > SMALL_INPUT:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(cores, size // _TASK_BYTES)))
+    """A fresh, unused path below the shared folder, deleted when Python ends
+    or by :func:`release_scratch`."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(release_scratch)
+    _scratch.append((spark.sparkContext, path))
+    return path
+
+
+_scratch: list[tuple[SparkContext, str]] = []
+
+
+def release_scratch() -> None:
+    """Delete the stored intermediates of this program. Results that still read
+    them must have been written or collected."""
+    while _scratch:
+        context, path = _scratch.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            jvm = context._gateway.jvm
+            jpath = jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(jpath, True)
 
 
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:

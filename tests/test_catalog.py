@@ -70,8 +70,11 @@ def test_current_summary_and_delete(spark, history):
     docs = spark.createDataFrame([("a",), ("a",), ("b",)], "dataset_id string")
     counts = {r.dataset_id: r.document_count for r in catalog.summary(current, docs).collect()}
     assert counts == {"a": 2, "b": 1, "c": 0}
-    gone = spark.createDataFrame([("b",), ("zzz",)], "dataset_id string")
-    left = catalog.live_rows(current, gone)
+    late, early = datetime(2999, 1, 1), datetime(1999, 1, 1)
+    gone = spark.createDataFrame(
+        [("b", late), ("b", early), ("c", early), ("zzz", late)], "dataset_id string, deleted_at timestamp"
+    )
+    left = catalog.live_rows(current, gone)  # c was made again after its deletion
     assert sorted(r.dataset_id for r in left.collect()) == ["a", "c"]
 
 

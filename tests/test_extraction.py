@@ -117,19 +117,21 @@ def test_prompts(docs):
         ),
         "An invoice.",
     )
-    assert prompts.field_lines(schema.fields) == [
-        "- vendor: string (REQUIRED) -- Who sends it",
-        "- amount: number (REQUIRED)",
-        "- paid: boolean",
-        "- rows: array",
-        "  - row: object",
-        "    - q: number",
+    assert prompts.field_table(schema) == [
+        "vendor | string | needed | Who sends it",
+        "amount | number | needed",
+        "paid | boolean | optional",
+        "rows | array | optional",
+        "rows.items.row | object | optional",
+        "rows.items.row.q | number | optional",
     ]
+    said = prompts.hints(schema)
+    assert not any(h.startswith("date") for h in said) and any("vendor, amount" in h for h in said)
     rows = prompts.render_prompts(docs, schema, "Be brief.").collect()
     assert len(rows) == 7
-    assert all("An invoice." in r.system and r.system.endswith("Be brief.") for r in rows)
+    assert all("An invoice." in r.system and "\nBe brief.\n" in r.system for r in rows)
     assert {r.user.split("Invoice ")[1][:2] for r in rows} == {f"#{i}" for i in range(1, 8)}
-    assert "Further" not in prompts.system_text(schema)
+    assert "Notes" not in prompts.system_text(schema)
 
 
 def test_array_rule(spark):

@@ -85,7 +85,8 @@ def test_whole_way(library):
     assert [r.value for r in preview if r.field == "name"] == ["Ann Bell", "Cid Dow"]
     assert library.load(ds).status == "previewed"
 
-    found = library.extract_all(ds, RULES, threshold=3)
+    found = library.extract_all(ds, RULES)
+    assert library.spark.read.parquet(f"{library.root}/parquet/dataset_id={ds}/data.parquet").count() == 3
     assert (found.total, found.succeeded, found.failed) == (4, 3, 1)
     assert library.load(ds).status == "extracted"
     assert library.extract_all(ds, RULES).total == 4  # again, status stays
@@ -148,3 +149,30 @@ def test_export_and_import(spark, library, tmp_path):
     assert other.documents(ds).count() == 6
     sql = "SELECT name FROM moving ORDER BY name"
     assert other.query_sql(ds, sql).rows == library.query_sql(ds, sql).rows
+    hits = [tuple(r) for r in library.search(ds, "ann").collect()]
+    assert [tuple(r) for r in other.search(ds, "ann").collect()] == hits
+    assert any(h[0] == "extracted" for h in hits)
+    assert other.ingest_errors(ds).count() == library.ingest_errors(ds).count() == 2
+
+
+def test_append_takes_new_files_only(library, tmp_path):
+    ds = library.create_dataset("Growing", library.source)
+    assert library.append(ds) == (6, 2)  # an empty dataset is filled
+    more = tmp_path / "more"
+    more.mkdir()
+    (more / "late.txt").write_text("Name: Late Comer\n")
+    assert library.append(ds, str(more)) == (1, 0)
+    assert library.append(ds, str(more)) == (0, 0) and library.append(ds)[0] == 0
+    rows = {r.doc_index: r.filename for r in library.documents(ds).collect()}
+    assert sorted(rows) == list(range(1, 8)) and rows[7] == "late.txt"
+
+
+def test_search_reads_every_file(library, tmp_path):
+    folder = tmp_path / "odd"
+    folder.mkdir()
+    (folder / "z.log").write_text("a\nneedle in a log\n")
+    (folder / "b.txt").write_bytes(b"\xff needle in bad bytes\x0c")
+    (folder / "page").write_bytes(b"one\x0c\nneedle\r\nlast\x0c")
+    ds = library.create_dataset("Odd", str(folder))
+    hits = [(r.name, r.line_no) for r in library.search(ds, "needle").collect()]
+    assert hits == [("b.txt", 1), ("page", 3), ("z.log", 2)]

@@ -4,11 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401  (registers the queries)
 from quillframe.functions import text as tx
 from quillframe.operators import search
 from quillframe.plans import render
-from quillframe.sources import markdown, plaintext
+from quillframe.plans.catalogue import QUERIES, workspace
+from quillframe.sources import csv_documents, ingest, markdown, plaintext
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON = re.compile(r"MapInPandas|ArrowEvalPython|BatchEvalPython|MapInArrow")
@@ -20,7 +21,7 @@ def plan(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(fn(spark, SF_DIR)) for name, fn in entry.queries().items()}
+    return {name: plan(fn(spark, SF_DIR)) for name, fn in QUERIES.items()}
 
 
 def test_no_pairwise_joins(plans):
@@ -31,11 +32,7 @@ def test_no_pairwise_joins(plans):
 
 def test_python_only_where_nothing_else_does(plans):
     users = {name for name, text in plans.items() if PYTHON.search(text)}
-    # CSV rules, user code, and the folder ingest that includes CSV files
-    assert users <= {
-        "csv_blocks", "csv_profile", "custom_parser", "extract_with_function",
-        "ingest_errors", "ingest_documents", "ingest_incremental",
-    }
+    assert users <= {"custom_parser", "extract_with_function"}  # user code
 
 
 def test_parsers_do_not_shuffle(spark, tmp_path):
@@ -43,7 +40,7 @@ def test_parsers_do_not_shuffle(spark, tmp_path):
         str(tmp_path / "docs")
     )
     docs = spark.read.parquet(str(tmp_path / "docs"))
-    for parser in (markdown, plaintext):
+    for parser in (csv_documents, markdown, plaintext):
         text = plan(parser.blocks(docs))
         assert "Exchange" not in text and not PYTHON.search(text)
 
@@ -63,7 +60,11 @@ def test_filters_and_columns_reach_the_scan(plans):
 
 def test_limits_do_not_sort_everything(plans, spark):
     assert "TakeOrderedAndProject" in plans["topk_orders"]
-    assert "TakeOrderedAndProject" in plans["page_offset"]
+    ordered = "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey"
+    ws = workspace(spark, SF_DIR, "orders")
+    for page in (ws.page(ordered, 10, 1000), ws.page(ordered, 10, 10**9)):
+        text = plan(page)
+        assert "Limit" not in text and "TakeOrdered" not in text, text
     assert "TakeOrderedAndProject" in plan(
         search.search(render.text_documents(spark, SF_DIR), "x")
     )
@@ -79,13 +80,16 @@ def test_windows_have_keys(plans):
                 assert "_run#" in window, (name, window)
 
 
-def test_small_tables_are_spread_and_others_are_not(spark, monkeypatch):
-    from quillframe import session
+def test_parsers_share_one_scan(spark):
+    """Expression parsers read the files once; the union has no other branch."""
+    files = render.text_files(spark, SF_DIR)
+    text = plan(ingest.parse(files))
+    assert text.count("FileScan") == 1 and "Union" not in text
+
 
-    df = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
-    assert "RoundRobinPartitioning" in plan(session.spread_small(df))
-    monkeypatch.setattr(session, "SMALL_INPUT", 10)
-    assert "Exchange" not in plan(session.spread_small(df))
+def test_sample_filters_the_scan(plans):
+    assert re.search(r"PushedFilters: \[[^]]*In\(", plans["filter_predicates"])
+    assert "Sort" not in plans["extract_sample"]
 
 
 def test_partial_aggregation_before_shuffles(plans):

@@ -114,7 +114,7 @@ def test_storage_plan(with_failure):
         "record_count": 2, "write_csv": True, "write_parquet": True, "write_text": True
     }
     assert not sinks.storage_plan(with_failure, threshold=3).first().write_parquet
-    assert sinks.PARQUET_THRESHOLD == 500
+    assert sinks.PARQUET_ADVISED == 500
 
 
 def test_snapshot(spark, tmp_path):
