@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.functions.text import let
 from quillframe.llm.common import private, query, table
 from quillframe.session import materialise
 
@@ -52,21 +53,29 @@ REDACTED = "[SECRET]"
 
 def running_sum(numbers: Column) -> Column:
     """Sums of the first 0, 1, 2, ... numbers. In runs: growing an array by one
-    element copies it, so this is done once for RUN numbers."""
-    size = F.size(numbers)
-    runs = F.sequence(F.lit(0), F.floor(size / RUN).cast("int"))
-    add = lambda a, x: a + x
-    part = lambda start, n: F.aggregate(F.slice(numbers, start, n), F.lit(0), add)
-    bases = F.aggregate(
-        runs,
-        F.array(F.lit(0)),
-        lambda a, r: F.concat(a, F.array(F.element_at(a, -1) + part(r * RUN + 1, F.lit(RUN)))),
-    )
-    return F.transform(
-        F.sequence(F.lit(0), size),
-        lambda i: F.get(bases, F.floor(i / RUN).cast("int"))
-        + part(F.floor(i / RUN).cast("int") * RUN + 1, i % RUN),
-    )
+    element copies it, so this is done once for RUN numbers.
+
+    What a lambda mentions is computed at every call, so the numbers and the
+    sums of runs are bound first."""
+
+    def sums(values: Column) -> Column:
+        def part(start: Column, n: Column) -> Column:
+            return F.aggregate(F.slice(values, start, n), F.lit(0), lambda a, x: a + x)
+
+        size = F.size(values)
+        bases = F.aggregate(
+            F.sequence(F.lit(0), F.floor(size / RUN).cast("int")),
+            F.array(F.lit(0)),
+            lambda a, r: F.concat(a, F.array(F.element_at(a, -1) + part(r * RUN + 1, F.lit(RUN)))),
+        )
+
+        def at(bound: Column, i: Column) -> Column:
+            run = F.floor(i / RUN).cast("int")
+            return F.get(bound, run) + part(run * RUN + 1, i % RUN)
+
+        return let(bases, lambda b: F.transform(F.sequence(F.lit(0), size), lambda i: at(b, i)))
+
+    return let(numbers, sums)
 
 
 def spans_of(text: Column, kind: str) -> Column:
@@ -84,27 +93,29 @@ def spans_of(text: Column, kind: str) -> Column:
                 lambda p, m: F.array(F.length(p), F.coalesce(F.length(m), F.lit(0))),
             )
         )
-        sums = running_sum(lengths)
         value = lambda m: F.regexp_extract(m, pattern, 2) if kind == "assign" else m
-        return F.transform(
-            found,
-            lambda m, i: F.struct(
+
+        def span(sums: Column, m: Column, i: Column) -> Column:
+            return F.struct(
                 F.get(sums, 2 * i + 1).alias("start"),
                 F.lit(rank).alias("rank"),
                 F.get(sums, 2 * i + 2).alias("end"),
                 F.lit(kind).alias("kind"),
                 value(m).alias("value"),
-            ),
-        ).cast(row)
+            )
+
+        return let(
+            running_sum(lengths),
+            lambda sums: F.transform(found, lambda m, i: span(sums, m, i)).cast(row),
+        )
 
     def kept(spans: Column) -> Column:
         if kind != "assign":
             return spans
         return F.filter(spans, lambda s: F.length(s["value"]) >= ASSIGN_LEAST)
 
-    # a one-element array makes the matches a value that is computed once
-    each = F.transform(F.array(matches), lambda found: F.when(F.size(found) > 0, kept(placed(found))))
-    return F.coalesce(F.get(each, 0), F.array().cast(row))
+    spans = let(matches, lambda found: F.when(F.size(found) > 0, kept(placed(found))))
+    return F.coalesce(spans, F.array().cast(row))
 
 
 def find_secrets(text: Column) -> Column:
