@@ -62,8 +62,8 @@ class Workspace:
         table.createOrReplaceTempView(name)
         return table
 
-    def register_csv(self, name: str, path: str) -> DataFrame:
-        table = read_csv_table(self.spark, path)
+    def register_csv(self, name: str, path: str, multi_line: bool = False) -> DataFrame:
+        table = read_csv_table(self.spark, path, multi_line=multi_line)
         table.createOrReplaceTempView(name)
         return table
 

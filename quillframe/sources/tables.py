@@ -15,13 +15,13 @@ def read_csv_table(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A CSV file or folder with a header line.
 
     Without ``schema`` the types are inferred, which reads the data once more.
-    ``multi_line`` allows line breaks inside quotes but keeps each file in one
-    task; turn it off for large files without such breaks, which then split.
+    Files are split over tasks; ``multi_line`` allows line breaks inside quotes,
+    at the price of one task for each file.
     """
     reader = spark.read.option("header", True).option("escape", '"').option(
         "multiLine", multi_line

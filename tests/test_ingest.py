@@ -132,7 +132,7 @@ def test_number_like_filename_is_found_by_name(spark, tmp_path):
 
 def test_csv_table_types(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,name,pay,ok\n1,"a, b",2.5,true\n2,"c\nd",3.0,false\n')
-    df = read_csv_table(spark, str(tmp_path / "t.csv"))
+    df = read_csv_table(spark, str(tmp_path / "t.csv"), multi_line=True)
     assert [t for _, t in df.dtypes] == ["int", "string", "double", "boolean"]
     assert df.orderBy("id").collect()[1].name == "c\nd"
 
