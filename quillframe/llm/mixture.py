@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import private, query, table
+from quillframe.session import materialise
 
 SEED = 17
 #: Weight of a source: its text to this power (1 keeps the shares, 0 evens them).
@@ -51,8 +52,12 @@ def source_rates(
     named gets 0); None takes each source's text to the power ``EVENNESS``.
     ``total_bytes`` is the text wanted in all, by default as much as there is.
     """
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(
-        F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("bytes")
+    # stored: totals, rates and their number come from one reading of the texts
+    sizes = materialise(
+        docs.groupBy(F.col(source).alias("source")).agg(
+            F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("bytes")
+        ),
+        "source-sizes",
     )
     if weights is None:
         weighted = sizes.withColumn("weight", F.pow(F.col("bytes").cast("double"), F.lit(EVENNESS)))

@@ -125,9 +125,15 @@ def find_secrets(text: Column) -> Column:
 
 
 def looks_live(value: Column) -> Column:
-    """Many different characters and no placeholder words."""
+    """Letters and digits, many different characters and no placeholder words:
+    what follows a name like ``secret:`` in running text is mostly a plain word."""
     characters = F.array_remove(F.split(value, ""), "")
-    return (F.size(F.array_distinct(characters)) >= LIVE_CHARACTERS) & ~value.rlike(PLACEHOLDER)
+    return (
+        (F.size(F.array_distinct(characters)) >= LIVE_CHARACTERS)
+        & value.rlike("[0-9]")
+        & value.rlike("[A-Za-z]")
+        & ~value.rlike(PLACEHOLDER)
+    )
 
 
 def ownership(values: DataFrame) -> DataFrame:
@@ -274,6 +280,7 @@ WITH d AS (
 ), classed AS (
   SELECT spans.*, CASE WHEN owners >= {COMMON_OWNERS} THEN 'copied'
     WHEN len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS}
+      AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
       AND NOT regexp_matches(value, '{_PLACEHOLDER}') THEN 'live' ELSE 'other' END AS class
   FROM spans JOIN owners USING (value)
 ), listed AS (

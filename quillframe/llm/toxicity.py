@@ -144,6 +144,7 @@ def fit_toxicity(
     if sizes.empty:
         return None
     fits = sizes["size"].cumsum() <= sample_bytes
+    fits.iloc[0] = True  # one document at least, however long
     chosen = sample.join(
         F.broadcast(docs.sparkSession.createDataFrame(sizes[fits][["k"]])), "k", "left_semi"
     )

@@ -67,6 +67,8 @@ def test_added_kinds_and_placeholders(spark):
     df = spark.createDataFrame([(1, text, "a", "b")], "doc_id long, text string, source string, lang string")
     row = secrets.scan(df).select("spans", secrets.of_class("live").alias("live")).first()
     assert [s.kind for s in row.spans] == ["key", "jwt", "pem", "assign"]
+    plain = spark.createDataFrame([(1, "secret: architecture", "a", "b")], df.schema)
+    assert secrets.scan(plain).select(secrets.of_class("live").alias("live")).first().live == []
     assert "changeme123456" not in [s.value for s in row.live] and key in [s.value for s in row.live]
 
 
