@@ -99,9 +99,12 @@ TOKENS = "tokens array<int>, n_tokens long, loss_from int, loss_to int"
 def encode_turn(path: str):
     @F.arrow_udf(TOKENS)
     def encode(roles: pa.Array, texts: pa.Array) -> pa.Array:
-        known, out = encoding(path), []
+        known, out, heads = encoding(path), [], {}
         for role, text in zip(roles.to_pylist(), texts.to_pylist(), strict=True):
-            head, body, tail = (known.encode_ordinary(s) for s in segments(role, text))
+            first, inner, last = segments(role, text)
+            if role not in heads:  # few roles: their marks are encoded once for a batch
+                heads[role] = known.encode_ordinary(first), known.encode_ordinary(last)
+            (head, tail), body = heads[role], known.encode_ordinary(inner)
             a, b = len(head), len(head) + len(body)
             if role != LOSS_ROLE:
                 a = b = 0
@@ -191,8 +194,10 @@ def prefix_tree(chats: DataFrame, tokenizer: str, block: int = BLOCK) -> PrefixT
         F.element_at("path", -1)["key"].alias("run"),
         encode_turn(tokenizer)(F.col("role"), F.col("text")).alias("t"),
     )
+    # stored: encoded once. Places are found without the tokens, which then meet them
+    encoded = materialise(nodes.select("key", "depth", "path", "run", "t.*"), "encoded")
     emitted = with_ordinals(
-        nodes.select("key", "depth", "path", "run", "t.*"),
+        encoded.select("key", "depth", "path", "run", "n_tokens"),
         ["path", "depth"],
         "node",
         size=F.col("n_tokens"),
@@ -217,19 +222,17 @@ def prefix_tree(chats: DataFrame, tokenizer: str, block: int = BLOCK) -> PrefixT
         "run", F.col("start").alias("run_start"), F.coalesce("attends", no_one).alias("attends")
     )
     before = F.aggregate("attends", F.lit(0).cast("long"), lambda a, i: a + i["end"] - i["start"])
-    final = emitted.join(placed_runs, "run").select(
+    places = emitted.join(placed_runs, "run").select(
         "node",
         "key",
         "run",
         "depth",
-        "tokens",
-        "n_tokens",
-        "loss_from",
-        "loss_to",
         "start",
         (before + F.col("start") - F.col("run_start")).alias("position"),
         "attends",
     )
+    tokens = encoded.select("key", "tokens", "n_tokens", "loss_from", "loss_to")
+    final = places.join(tokens, "key")
     ids = members.select(
         F.when(~F.col("conv.no_id"), F.col("conv.id")).alias("conv_id"),
         F.transform("path", lambda p: p["key"]).alias("runs"),
