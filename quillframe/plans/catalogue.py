@@ -36,6 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: How many tasks the caller wants for rendering and parsing. A Parquet file with a
+#: single row group is one task whatever its rows cost; whoever has such files may
+#: set this. Unset, nothing is shuffled for it.
+RENDER_TASKS = "quillframe.render.tasks"
+
+
+def costly(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are about to be rendered, dealt out if the caller asks."""
+    tasks = spark.conf.get(RENDER_TASKS, None)
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(int(tasks)) if tasks else rows
+
+
 def workspace(spark: SparkSession, sf_dir: str, *names: str) -> Workspace:
     """A workspace with the named tables registered."""
     ws = Workspace(spark)
