@@ -208,17 +208,19 @@ def near_classes(
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``: the fingerprint and
-    the smallest key of the component. Rows without a key have a component of
-    the others' smallest key, null if there is none."""
+    """``doc_id, fp, class_fp, component_id`` for every row of ``docs``: the
+    fingerprint, the smallest one of its component and the smallest key of the
+    component. Rows without a key have a component of the others' smallest key,
+    null if there is none. Where keys repeat with different texts, components of
+    one name may be several; ``class_fp`` tells them apart."""
     prints = materialise(
         docs.select(F.col(key).alias("doc_id"), fingerprint_of(F.col(text)).alias("fp")), "prints"
     )
     classes = near_classes(prints)
     ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes, "fp")
     smallest = ids.groupBy("class_fp").agg(F.min("least").alias("component_id"))
-    by_print = ids.join(smallest, "class_fp").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = ids.join(smallest, "class_fp").select("fp", "class_fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "class_fp", "component_id")
 
 
 @query()
@@ -229,24 +231,33 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of every component: the one with the smallest key.
+    """``docs`` with one row of every component: the one with the smallest key,
+    then fingerprint.
 
-    Of rows that share this key one stays; only such rows go through a
-    comparison of whole rows. Rows without a key are kept, as nothing names them.
+    A row is named by key and fingerprint, as a key may come back with another
+    text. Only rows with such keys have their fingerprints computed again. Rows
+    without a key are kept, as nothing names them.
     """
-    member = private("component")
-    found = near_duplicates(docs, key, text)
-    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    member, mark = private("component"), private("fp")
+    found = near_duplicates(docs, key, text).where("doc_id is not null")
+    kept = materialise(
+        found.groupBy("class_fp").agg(F.min(F.struct("doc_id", "fp")).alias("least")).select("least.*"),
+        "kept",
+    )
     repeated = materialise(
-        found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"),
-        "repeated",
+        found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "repeated"
     ).select("doc_id")
+    others = found.join(kept, ["doc_id", "fp"], "left_anti").select("doc_id")
     gone = others.unionByName(repeated).distinct().withColumnRenamed("doc_id", member)
     single = docs.join(gone, F.col(key) == F.col(member), "left_anti")
-    first = repeated.join(others, "doc_id", "left_anti").withColumnRenamed("doc_id", member)
-    return single.unionByName(
-        docs.join(first, F.col(key) == F.col(member), "left_semi").dropDuplicates([key])
+    again = docs.join(
+        repeated.withColumnRenamed("doc_id", member), F.col(key) == F.col(member), "left_semi"
+    ).withColumn(mark, fingerprint_of(F.col(text)))
+    named = kept.join(repeated, "doc_id", "left_semi").withColumnsRenamed({"doc_id": member, "fp": "fp_" + mark})
+    first = again.join(
+        named, (F.col(key) == F.col(member)) & (F.col(mark) == F.col("fp_" + mark)), "left_semi"
     )
+    return single.unionByName(first.dropDuplicates([key, mark]).drop(mark))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

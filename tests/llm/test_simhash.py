@@ -103,6 +103,15 @@ def test_one_of_each_keeps_other_columns_and_repeated_rows_once(spark):
     assert got == [(0, "d"), (0, "e"), (1, "a"), (3, "c")]
 
 
+def test_keys_with_several_texts_lose_no_component(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(80))
+    a, b, c, d = words("alpha"), words("beta"), words("gamma"), words("delta")
+    rows = [(5, a), (7, a), (5, b), (3, b), (8, c), (8, d), (8, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in simhash.one_of_each(df).collect())
+    assert got == sorted([(5, a), (3, b), (8, c), (8, d)])
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
