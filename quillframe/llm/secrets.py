@@ -20,6 +20,8 @@ table gives an empty result. Other columns stay as they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,16 @@ KINDS = {
     "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
 BASE = ("assign", "access", "hex")
+#: A whole private key. Possessive, so that a header without an end is read once;
+#: line breaks may be escaped ones, as in JSON and source code.
+BLOCK = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:\s|\\[nr]|[\"',])*+[A-Za-z0-9+/]{40,}+={0,2})++)"
+)
+#: What of a key is no part of its body: the lines around it, headers, line breaks.
+NO_BODY = r"-----[A-Z ]+-----|[A-Za-z-]+: [^\n\\]*|\\[nrt]|[^A-Za-z0-9+/]"
+WHOLE_KINDS = {**KINDS, "block": BLOCK}
 #: Owners from which on a value counts as widely copied.
 COMMON_OWNERS = 3
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your|test|x{4,}|0{6,}|1234567"
@@ -80,7 +92,7 @@ def running_sum(numbers: Column) -> Column:
 
 def spans_of(text: Column, kind: str) -> Column:
     """``array<struct<start, rank, end, kind, value>>`` of one kind in a text."""
-    pattern, rank = KINDS[kind], list(KINDS).index(kind)
+    pattern, rank = WHOLE_KINDS[kind], list(WHOLE_KINDS).index(kind)
     row = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -118,10 +130,16 @@ def spans_of(text: Column, kind: str) -> Column:
     return F.coalesce(spans, F.array().cast(row))
 
 
-def find_secrets(text: Column) -> Column:
+def find_secrets(text: Column, kinds: Iterable[str] = KINDS) -> Column:
     """All spans of a text, by start, then kind as listed, then end."""
     text = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*(spans_of(text, kind) for kind in KINDS)))
+    return F.array_sort(F.concat(*(spans_of(text, kind) for kind in kinds)))
+
+
+def hash_of(span: Column) -> Column:
+    """The hash that stands for a span's value; for a whole key, for its body."""
+    body = F.regexp_replace(span["value"], NO_BODY, "")
+    return F.sha2(F.when(span["kind"] == "block", body).otherwise(span["value"]), 256)
 
 
 def looks_live(value: Column) -> Column:
@@ -156,6 +174,7 @@ def scan(
     text: str = "text",
     owner: str = "source",
     repository: str = "lang",
+    kinds: Iterable[str] = KINDS,
 ) -> DataFrame:
     """``doc_id, text_key, spans, classes`` for every document.
 
@@ -170,7 +189,7 @@ def scan(
             F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_key"),
             F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
             F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
-            find_secrets(F.col(text)).alias("spans"),
+            find_secrets(F.col(text), kinds).alias("spans"),
         ),
         "secrets",
     )
@@ -180,14 +199,20 @@ def scan(
             "text_key",
             "owner",
             "repository",
-            F.explode(F.array_distinct(F.col("spans.value"))).alias("value"),
+            F.explode(
+                F.array_distinct(
+                    F.transform(
+                        "spans", lambda s: F.struct((s["kind"] == "block").alias("block"), s["value"], hash_of(s))
+                    )
+                ).cast("array<struct<block:boolean,value:string,value_hash:string>>")
+            ).alias("found"),
         )
         .select(
             "text_key",
             "owner",
             "repository",
-            F.sha2("value", 256).alias("value_hash"),
-            looks_live(F.col("value")).alias("random"),
+            "found.value_hash",
+            (F.col("found.block") | looks_live(F.col("found.value"))).alias("random"),
         )
     )
     kind = (
@@ -205,7 +230,7 @@ def scan(
 
 def of_class(name: str) -> Column:
     """The spans of ``scan`` whose value has a class."""
-    return F.filter(F.col("spans"), lambda s: F.col("classes")[F.sha2(s["value"], 256)] == name)
+    return F.filter(F.col("spans"), lambda s: F.col("classes")[hash_of(s)] == name)
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -315,11 +340,11 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_live(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: values of live-looking secrets are replaced in the texts,
-    ``n_chars`` follows; every document stays."""
+    """Pipeline stage: values of live-looking secrets, private keys as a whole, are
+    replaced in the texts, ``n_chars`` follows; every document stays."""
     name, live = private("text"), private("live")
     marked = (
-        scan(docs)
+        scan(docs, kinds=WHOLE_KINDS)
         .select(F.col("text_key").alias(name), of_class("live").alias(live))
         .where(F.size(live) > 0)
         .dropDuplicates([name])
