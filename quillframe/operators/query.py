@@ -62,7 +62,7 @@ class Workspace:
         table.createOrReplaceTempView(name)
         return table
 
-    def register_csv(self, name: str, path: str, multi_line: bool = False) -> DataFrame:
+    def register_csv(self, name: str, path: str, multi_line: bool = True) -> DataFrame:
         table = read_csv_table(self.spark, path, multi_line=multi_line)
         table.createOrReplaceTempView(name)
         return table

@@ -97,7 +97,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = sinks.write_csv(
         _part_records(spark, sf_dir), PART_SCHEMA, scratch_path(spark, "parts")
     )
-    return _opened(read_csv_table(spark, path, multi_line=True))  # comments have line breaks
+    return _opened(read_csv_table(spark, path))  # comments have line breaks
 
 
 @query(_PART_TRUTH)

@@ -9,7 +9,8 @@ ordinary characters. A quote that is never closed takes the rest of the text.
 The patterns follow the depth of a record: fields with many thousands of doubled
 quotes, or records of many thousands of fields, need a larger thread stack. For
 a CSV file that is a *table*, use
-:func:`quillframe.sources.tables.read_csv_table`, which splits large files.
+:func:`quillframe.sources.tables.read_csv_table`, which splits large files
+where ``multi_line`` is set to False.
 """
 
 from __future__ import annotations

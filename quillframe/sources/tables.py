@@ -15,13 +15,14 @@ def read_csv_table(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A CSV file or folder with a header line.
 
     Without ``schema`` the types are inferred, which reads the data once more.
-    Files are split over tasks; ``multi_line`` allows line breaks inside quotes,
-    at the price of one task for each file.
+    Values may hold line breaks inside quotes, at the price of one task for each
+    file. A caller who knows that there are none sets ``multi_line`` to False, and
+    files are split over tasks.
     """
     reader = spark.read.option("header", True).option("escape", '"').option(
         "multiLine", multi_line

@@ -137,6 +137,16 @@ def test_csv_table_types(spark, tmp_path):
     assert df.orderBy("id").collect()[1].name == "c\nd"
 
 
+def test_csv_table_keeps_line_breaks_in_quotes_unless_told_otherwise(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    (tmp_path / "t.csv").write_text('id,note\n1,"a\nb"\n2,c\n')
+    df = read_csv_table(spark, path)
+    assert dict(df.dtypes)["id"] == "int"
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "a\nb"), (2, "c")]
+    assert read_csv_table(spark, path, df.schema).count() == 2
+    assert read_csv_table(spark, path, multi_line=False).count() == 3
+
+
 def test_large_text_lines_are_numbered_across_splits(spark, tmp_path):
     lines = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
     lines[7] = "two\x0bparts"

@@ -62,6 +62,12 @@ def test_tables_are_replaced_and_bad_ones_refused(ws):
         ws.register_table("junk", str(ws.folder / "junk.parquet"))
 
 
+def test_csv_tables_keep_line_breaks_in_quotes(ws):
+    (ws.folder / "breaks.csv").write_text('id,note\n1,"a\nb"\n2,c\n')
+    ws.register_csv("breaks", str(ws.folder / "breaks.csv"))
+    assert ws.execute_sql("SELECT * FROM breaks ORDER BY id").rows == [[1, "a\nb"], [2, "c"]]
+
+
 def test_profile_has_every_column(ws):
     df = ws.spark.table("rivers").selectExpr(
         "*", "array(id % 2) AS l", "named_struct('a', part) AS s", "map(part, id % 2) AS m", "cast(part AS binary) AS b"
