@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillframe.llm import (
     chat,
     decontaminate,
+    fingerprints,
     mixture,
     quality,
     secrets,
@@ -21,6 +22,7 @@ __all__ = [
     "QUERIES",
     "chat",
     "decontaminate",
+    "fingerprints",
     "mixture",
     "quality",
     "secrets",

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
