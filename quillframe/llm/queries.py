@@ -6,6 +6,7 @@ from quillframe.llm import (
     chat,
     decontaminate,
     fingerprints,
+    lexical,
     mixture,
     quality,
     secrets,
@@ -23,6 +24,7 @@ __all__ = [
     "chat",
     "decontaminate",
     "fingerprints",
+    "lexical",
     "mixture",
     "quality",
     "secrets",
