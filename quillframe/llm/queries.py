@@ -11,6 +11,7 @@ from quillframe.llm import (
     quality,
     secrets,
     simhash,
+    spelling,
     suffixes,
     templates,
     tokens,
@@ -29,6 +30,7 @@ __all__ = [
     "quality",
     "secrets",
     "simhash",
+    "spelling",
     "suffixes",
     "templates",
     "tokens",
