@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillframe.llm.common import query, raw_texts, table
-from quillframe.session import materialise
+from quillframe.session import scratch_path
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every byte of a character beyond ASCII is part of a term.
@@ -56,9 +56,11 @@ TERM_BYTES = re.compile(TERM.encode())
 GAP_BYTES = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 #: Text bytes that are cut into terms at a time.
 STEP = 1 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
 TOP = 50
+#: A shard is a large row: readers hold a row group at once, so it has few.
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: Nodes of one item that are opened together.
 OPEN = 32
 
@@ -204,7 +206,9 @@ def build_index(
         yield from out(shard)
 
     made = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(shards, schema)
-    return Index(materialise(made, "lexical-index"), documents, terms, kind)
+    path = scratch_path(docs.sparkSession, "lexical-index")
+    made.write.options(**ROW_GROUPS).parquet(path)
+    return Index(docs.sparkSession.read.schema(schema).parquet(path), documents, terms, kind)
 
 
 @dataclass
