@@ -62,8 +62,10 @@ class Workspace:
         table.createOrReplaceTempView(name)
         return table
 
-    def register_csv(self, name: str, path: str, multi_line: bool = True) -> DataFrame:
-        table = read_csv_table(self.spark, path, multi_line=multi_line)
+    def register_csv(
+        self, name: str, path: str, multi_line: bool = True, split: bool = False
+    ) -> DataFrame:
+        table = read_csv_table(self.spark, path, multi_line=multi_line, split=split)
         table.createOrReplaceTempView(name)
         return table
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("extraction", "documents", "contracts", "sinks", "questions", "datasets", "relational")
+MODULES = ("extraction", "documents", "contracts", "sinks", "questions", "datasets", "relational", "large_sources")
 
 
 def load_all() -> None:
