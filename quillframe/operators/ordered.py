@@ -217,6 +217,85 @@ def previous_value(
     return whole.unionByName(rows.withColumn(name, stepped).drop(RUN, "_before"))
 
 
+def moving(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    measures: dict[str, Column],
+    before: int | float,
+    after: int | float = 0,
+    by: str = "rows",
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Aggregates over a frame that moves with the row, from ``before`` to ``after``.
+
+    ``by="rows"`` counts rows in the given order, which must be unique in a key;
+    ``by="range"`` takes the rows whose single numeric ``order`` value is at most that
+    far away, and a row without one has no frame and is in none. ``measures`` are
+    aggregates such as ``{"mean": F.avg("x")}``.
+
+    Oversized keys are cut into pieces. Each piece gets the rows of others that its
+    own rows can see (its halo), works like a key of its own, and gives only its own
+    rows. By rows, a piece is a stretch of row numbers no shorter than the frame; by
+    range, it is a run, and one small row per run says which others see into it.
+    """
+    keys, order = list(keys), list(order)
+    if by not in ("rows", "range"):
+        raise ValueError(f"a frame goes by rows or range, not {by}")
+    if by == "range" and len(order) != 1:
+        raise ValueError("a frame by range has one order column")
+
+    def framed(rows: DataFrame, parts: Sequence[str], at: Sequence[str]) -> DataFrame:
+        window = Window.partitionBy(*parts).orderBy(*at)
+        frame = window.rowsBetween(-before, after) if by == "rows" else window.rangeBetween(-before, after)
+        seen = {n: m.over(frame) for n, m in measures.items()}
+        if by == "range":
+            seen = {n: F.when(F.col(at[0]).isNotNull(), m) for n, m in seen.items()}
+        return rows.withColumns(seen)
+
+    if by == "range":
+        runs = ordered_runs(df, keys, order, max_group_rows)
+        whole = framed(runs.cold, keys, order)
+        if runs.hot is None:
+            return whole
+        value = order[0]
+        bounds = runs.hot.groupBy(*keys, RUN).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+        target = bounds.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col(RUN).alias("_to"),
+                               F.col("_low").alias("_to_low"), F.col("_high").alias("_to_high"))
+        # pairs of runs: one row per task of the sort and run that sees into it
+        sees = bounds.join(target, _same(bounds, target, keys, "_t_") & (F.col(RUN) != F.col("_to"))
+                           & (F.col("_high") >= F.col("_to_low") - before) & (F.col("_low") <= F.col("_to_high") + after))
+        sees = sees.select(*[F.col(k).alias(f"_c_{k}") for k in [*keys, RUN]], "_to", "_to_low", "_to_high")
+        halo = runs.hot.join(sees, _same(runs.hot, sees, [*keys, RUN], "_c_")).where(
+            F.col(value).between(F.col("_to_low") - before, F.col("_to_high") + after))
+        halo = halo.withColumn("_own", F.lit(False)).withColumn(RUN, F.col("_to"))
+        own = runs.hot.withColumn("_own", F.lit(True))
+        both = own.unionByName(halo.select(*own.columns))
+        split = framed(both, [*keys, RUN], order).where("_own").drop("_own", RUN)
+        return whole.unionByName(split)
+
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > max_group_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    if large.isEmpty():
+        return framed(df, keys, order)
+    large = materialise(large, "hot-keys")
+    on = _same(df, large, keys, "_h_")
+    whole = framed(df.join(large, on, "left_anti"), keys, order)
+    hot = row_numbers(df.join(large, on, "left_semi"), keys, order, "_at", max_group_rows)
+    width = max(max_group_rows, before, after)
+    piece = F.floor((F.col("_at") - 1) / width)
+    place = F.col("_at") - piece * width  # 1 to width within the piece
+    none = F.lit(None).cast("long")
+    targets = F.array(
+        piece,
+        F.when(place > width - before, piece + 1).otherwise(none),
+        F.when(place <= after, piece - 1).otherwise(none),
+    )
+    copied = hot.withColumn("_own", piece).withColumn("_piece", F.explode(F.array_compact(targets)))
+    split = framed(copied, [*keys, "_piece"], ["_at"]).where("_piece = _own")
+    return whole.unionByName(split.drop("_piece", "_own", "_at"))
+
+
 def ranks(
     df: DataFrame,
     keys: Sequence[str],

@@ -51,6 +51,97 @@ def interval_join(
     )
 
 
+#: Rows of one cell that are joined by one task; a larger cell is dealt to several.
+MAX_CELL_ROWS = 100_000
+#: Cells of neighbouring levels differ in length by this power of two.
+LEVEL_BITS = 2
+
+
+def _ends(df: DataFrame, start: str, end: str, unit: float | None) -> tuple[Column, Column]:
+    """First and last grid point of a half-open span, as whole numbers in order."""
+    kind = df.schema[start].dataType.typeName()
+    first, last = F.col(start), F.col(end)
+    if unit is not None or kind in ("double", "float", "decimal"):
+        step = F.lit(float(unit or 1.0))
+        return F.floor(first / step).cast("long"), F.floor(last / step).cast("long")
+    whole = {
+        "timestamp": F.unix_micros,
+        "timestamp_ntz": lambda c: F.unix_micros(c.cast("timestamp")),
+        "date": lambda c: F.unix_date(c).cast("long"),
+    }.get(kind, lambda c: c.cast("long"))
+    return whole(first), whole(last) - 1
+
+
+def overlap_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_span: tuple[str, str],
+    right_span: tuple[str, str],
+    keys: Sequence[str] = (),
+    unit: float | None = None,
+    max_cell_rows: int = MAX_CELL_ROWS,
+) -> DataFrame:
+    """All pairs of rows with equal ``keys`` whose spans [start, end) overlap, inner.
+
+    Spans are of numbers, dates or times, of any length. Cells of every level cut the
+    line evenly, those of the next level being longer by LEVEL_BITS; a span belongs to the
+    level whose cells are as long as it, where it touches two at most. The longer span
+    of a pair waits in its own cells, and the shorter one is listed in its cells of each
+    level that longer ones use: O(log) rows for a span, and an equi-join. A pair counts
+    in the cell that holds the later start, so it comes once. Of cells with many rows the
+    waiting side is dealt to several tasks by a hash of the row, and the other is listed
+    in each; only their number is counted beforehand.
+
+    Spans of numbers with fractions lie on a grid of ``unit`` (1 by default): choose it
+    below the usual length. Column names other than ``keys`` must differ between the
+    sides. Spans with a null end or without a length have no pairs.
+    """
+    keys = list(keys)
+
+    def prepared(df: DataFrame, span: tuple[str, str]) -> DataFrame:
+        low, high = _ends(df, *span, unit)
+        valid = df.where(F.col(span[0]) < F.col(span[1])).withColumns({"_low": low, "_high": high})
+        length = F.col("_high") - F.col("_low")
+        bits = F.when(length <= 0, 0).otherwise(F.length(F.bin(length)))
+        return valid.withColumn("_level", (F.ceil(bits / LEVEL_BITS) * LEVEL_BITS).cast("int"))
+
+    def cell_of(place: Column, level: Column) -> Column:
+        return F.call_function("shiftright", place, level)
+
+    def cells(level: Column) -> Column:
+        return F.array_distinct(F.array(cell_of(F.col("_low"), level), cell_of(F.col("_high"), level)))
+
+    def pairs(own: DataFrame, other: DataFrame, or_equal: bool) -> DataFrame:
+        """``own`` has the longer spans, or equal ones too."""
+        used = sorted(r[0] for r in own.select("_level").distinct().collect())  # at most 64 / LEVEL_BITS
+        if not used:
+            used = [0]
+        fits = lambda j: (j >= F.col("_level")) if or_equal else (j > F.col("_level"))
+        waiting = own.withColumn("_cell", F.explode(cells(F.col("_level"))))
+        levels = F.filter(F.array(*map(F.lit, used)), fits)
+        listed = other.withColumn("_at", F.explode(levels)).withColumn("_cell", F.explode(cells(F.col("_at"))))
+        place = [*keys, "_level", "_cell"]
+        # at most rows / max_cell_rows cells pass this filter
+        hot = waiting.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_cell_rows)
+        hot = materialise(
+            hot.select(*place, F.ceil(F.col("_n") / max_cell_rows).cast("int").alias("_parts")), "hot-cells"
+        )
+        dealt = F.pmod(F.xxhash64(*own.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+        waiting = waiting.join(hot, place, "left").withColumn("_part", dealt).drop("_parts")
+        listed = listed.drop("_level").withColumnRenamed("_at", "_level").join(hot, place, "left")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+        listed = listed.withColumn("_part", copies).drop("_parts")
+        listed = listed.withColumnsRenamed({"_low": "_low2", "_high": "_high2"})
+        met = waiting.join(listed, [*place, "_part"])
+        once = F.col("_cell") == cell_of(F.greatest("_low", "_low2"), F.col("_level"))
+        overlap = (F.col(left_span[0]) < F.col(right_span[1])) & (F.col(right_span[0]) < F.col(left_span[1]))
+        return met.where(once & overlap)
+
+    columns = [*keys, *(c for c in [*left.columns, *right.columns] if c not in keys)]
+    a, b = prepared(left, left_span), prepared(right, right_span)
+    return pairs(a, b, True).select(*columns).unionByName(pairs(b, a, False).select(*columns))
+
+
 def distinct_counts(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], exact: bool = True
 ) -> DataFrame:

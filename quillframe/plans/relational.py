@@ -7,6 +7,8 @@ join key wherever the result allows it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -255,6 +257,76 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.sum("n").alias("shipped"), F.sum("quantity").alias("quantity"))
 
 
+_CALENDAR = """
+SELECT DISTINCT unit, q AS begins, CASE unit WHEN 'month' THEN q + INTERVAL 1 MONTH
+  WHEN 'quarter' THEN q + INTERVAL 3 MONTH ELSE q + INTERVAL 1 YEAR END AS ends
+FROM (SELECT unit, date_trunc(unit, o_orderdate) AS q FROM orders, (VALUES ('month'), ('quarter'), ('year')) u(unit))
+"""
+
+
+def _order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders from their date to the day after the last shipment."""
+    shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return orders.join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        "o_orderkey",
+        "o_custkey",
+        F.col("o_orderdate").cast("timestamp").alias("opened"),
+        (F.col("last").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("closed"),
+    )
+
+
+_OPEN_SPANS = """
+spans AS (
+  SELECT o_orderkey, o_custkey, o_orderdate AS opened, max(l_shipdate) + INTERVAL 1 DAY AS closed
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
+)"""
+
+
+@query(
+    f"""
+WITH {_OPEN_SPANS}, calendar AS ({_CALENDAR})
+SELECT unit, strftime(begins, '%Y-%m-%d') AS begins, CAST(count(*) AS BIGINT) AS open_orders
+FROM calendar JOIN spans ON opened < ends AND begins < closed
+WHERE opened < closed GROUP BY ALL
+"""
+)
+def join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders open at some time of each month, quarter and year: spans of any length."""
+    calendar = reduce(
+        DataFrame.unionByName,
+        [
+            table(spark, sf_dir, "orders")
+            .select(F.lit(unit).alias("unit"), F.date_trunc(unit, F.col("o_orderdate").cast("timestamp")).alias("begins"))
+            .distinct()
+            .withColumn("ends", F.col("begins") + F.expr(f"INTERVAL {step}"))
+            for unit, step in (("month", "1 MONTH"), ("quarter", "3 MONTH"), ("year", "1 YEAR"))
+        ],
+    )
+    found = relational.overlap_join(_order_spans(spark, sf_dir), calendar, ("opened", "closed"), ("begins", "ends"))
+    return found.groupBy("unit", F.date_format("begins", "yyyy-MM-dd").alias("begins")).agg(
+        F.count(F.lit(1)).alias("open_orders")
+    )
+
+
+@query(
+    f"""
+WITH {_OPEN_SPANS}
+SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS other FROM spans a JOIN spans b
+  ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.opened < b.closed AND b.opened < a.closed
+WHERE a.opened < a.closed AND b.opened < b.closed
+"""
+)
+def join_overlap_same_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a customer's orders that were open at the same time."""
+    spans = _order_spans(spark, sf_dir)
+    other = spans.select(
+        "o_custkey", F.col("o_orderkey").alias("other"), F.col("opened").alias("begins"), F.col("closed").alias("ends")
+    )
+    found = relational.overlap_join(spans, other, ("opened", "closed"), ("begins", "ends"), ["o_custkey"])
+    return found.where("o_orderkey < other").select("o_custkey", "o_orderkey", "other")
+
+
 @query(
     """
 WITH buys AS (SELECT * FROM events WHERE event_type = 'purchase'),
@@ -428,6 +500,50 @@ def win_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("o_custkey", "o_orderkey", "previous_total")
 
 
+@query(
+    """
+SELECT o_orderpriority, o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DOUBLE) AS total,
+       CAST(count(*) OVER w AS BIGINT) AS n
+FROM orders
+WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+"""
+)
+def win_moving_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum and number of the last seven orders of a priority, of which a mean is made.
+    A priority has a fifth of all orders, so its rows are cut into pieces."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderpriority", "o_orderkey", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("price")
+    )
+    measures = {"total": F.sum("price"), "n": F.count(F.lit(1))}
+    found = ordered.moving(
+        orders, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], measures, before=6, max_group_rows=1000
+    )
+    return found.select("o_orderpriority", "o_orderkey", F.col("total").cast("double").alias("total"), "n")
+
+
+@query(
+    """
+SELECT o_orderpriority, o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DOUBLE) AS total,
+       CAST(count(*) OVER w AS BIGINT) AS n
+FROM (SELECT *, date_diff('day', TIMESTAMP '1970-01-01', o_orderdate) AS d FROM orders)
+WINDOW w AS (PARTITION BY o_orderpriority ORDER BY d RANGE BETWEEN 6 PRECEDING AND 1 FOLLOWING)
+"""
+)
+def win_moving_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the orders from six days before to one day after."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderpriority",
+        "o_orderkey",
+        F.unix_date(F.to_date("o_orderdate")).cast("long").alias("day"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
+    )
+    measures = {"total": F.sum("price"), "n": F.count(F.lit(1))}
+    found = ordered.moving(
+        orders, ["o_orderpriority"], ["day"], measures, before=6, after=1, by="range", max_group_rows=1000
+    )
+    return found.select("o_orderpriority", "o_orderkey", F.col("total").cast("double").alias("total"), "n")
+
+
 @query(
     """
 SELECT o_custkey, o_orderkey,
