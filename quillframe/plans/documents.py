@@ -172,6 +172,28 @@ def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("path", "file_type", "doc_index")
 
 
+@query(
+    f"""
+WITH {_FILES}, sized AS (
+  SELECT *, octet_length(encode(text)) > 2000 AS large FROM files
+)
+SELECT CASE WHEN file_type = '.log' THEN 'unsupported' WHEN large THEN 'too large' ELSE 'document' END AS outcome,
+       file_type, CAST(count(*) AS BIGINT) AS files
+FROM sized GROUP BY ALL
+"""
+)
+def append_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every new file is a document or an error, with a limit that many pass."""
+    none = table(spark, sf_dir, "documents").where("false")
+    existing = ingest.number(ingest.documents(none.select(F.lit("").alias("path"), F.lit(b"").alias("content"))))
+    docs, errors = ingest.append_files(existing, render.text_files(spark, sf_dir), max_bytes=2000)
+    reason = F.when(F.col("message").contains("too large"), "too large").otherwise("unsupported")
+    outcomes = docs.select(F.lit("document").alias("outcome"), "file_type").unionByName(
+        errors.select(reason.alias("outcome"), tx.extension(F.col("filename")).alias("file_type"))
+    )
+    return outcomes.groupBy("outcome", "file_type").agg(F.count(F.lit(1)).alias("files"))
+
+
 @query(
     f"""
 WITH {_FILES}

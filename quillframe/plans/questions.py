@@ -214,7 +214,7 @@ WITH {render.ORDER_TRUTH}, {_LINES}, dump AS (
   FROM dump WHERE NOT (no_total OR bad_total)
 ), found AS (
   (SELECT 0 AS rank, 'source' AS origin, name, line_no, left(trim(line, ' ' || chr(9)), 120) AS line
-   FROM lines WHERE doc_id < 1 AND line <> '' ORDER BY line_no)
+   FROM lines WHERE contains(line, '@') ORDER BY name, line_no LIMIT 40)
   UNION ALL
   SELECT 1, 'extracted', 'data.txt', before_it + 8, 'urgent: True' FROM kept WHERE urgent
 )
@@ -223,16 +223,12 @@ FROM found ORDER BY rank, name, line_no LIMIT 40
 """
 )
 def search_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of the first document, then lines of the extracted dump for what
-    is left of the places."""
+    """Lines of all documents that hold an address, then lines of the extracted dump
+    for what is left of the places."""
     records = materialise(order_records(spark, sf_dir), "records")
     dump = sinks.dump_lines(records, render.ORDER_SCHEMA)
     lines = listing.lines(render.text_documents(spark, sf_dir), "path", "filename")
-    # lines of other documents are no match; those of the first one all are
-    marked = lines.withColumn(
-        "line", F.when(F.col("filename") == "doc_000000000000.txt", F.col("line")).otherwise("-")
-    )
-    return search.search_all(marked, dump, "^(?!-$|[a-z_]+: |=== |$)|^urgent: true", max_results=40)
+    return search.search_all(lines, dump, "@|^urgent: true", max_results=40)
 
 
 @query(

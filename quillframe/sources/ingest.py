@@ -12,7 +12,7 @@ from quillframe.functions import text as tx
 from quillframe.model import METADATA
 from quillframe.operators.ordered import with_ordinals
 from quillframe.session import materialise
-from quillframe.sources import csv_documents, markdown, paged, plaintext
+from quillframe.sources import csv_documents, large_documents, markdown, paged, plaintext, split_csv
 from quillframe.sources.listing import empty_files, read_files
 from quillframe.sources.registry import SUPPORTED, UNSUPPORTED, Parser, ParserRegistry
 
@@ -184,9 +184,15 @@ def read_folder(
     registry: ParserRegistry | None = None,
     known: DataFrame | None = None,
     max_bytes: int | None = None,
+    large: str = "errors",
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, errors) of a folder, documents numbered in path order.
 
+    Files above ``max_bytes`` cannot be one row. With ``large="parts"`` those of a
+    built-in parser are documents without content, marked in their metadata, whose
+    blocks and parts :func:`all_blocks` and :mod:`quillframe.sources.large_documents` read
+    in splits; otherwise, and for page readers, they are errors.
+
     The names are listed once; one scan, with a name filter, reads all supported
     files, and unsupported ones are never read. Files whose path is in ``known``
     are left out by their names before anything is opened.
@@ -209,7 +215,11 @@ def read_folder(
         )
         if known is not None:
             files = files.join(listed.select("path"), "path", "left_semi")
-        parts += [parse(fitting(files, max_bytes), registry), too_large(files, chosen, max_bytes)]
+        parts.append(parse(fitting(files, max_bytes), registry))
+        split = [e for e in chosen if large == "parts" and registry.get(e) in SPLIT_BLOCKS]
+        parts.append(too_large(files, [e for e in chosen if e not in split], max_bytes))
+        if split:
+            parts.append(_in_parts(spark, folder, files, split, max_bytes))
     # stored before it is split up and numbered: no file is opened again
     parsed = materialise(reduce(DataFrame.unionByName, parts), "parsed")
     return number(documents_of(parsed)), errors_of(parsed)
@@ -260,6 +270,53 @@ def too_large(
     )
 
 
+#: Metadata of a document whose content is read in splits.
+IN_PARTS = "in_parts"
+#: Blocks of large files by the parser of their type.
+SPLIT_BLOCKS = {
+    plaintext.PARSER: large_documents.text_blocks,
+    markdown.PARSER: large_documents.markdown_blocks,
+    csv_documents.PARSER: lambda spark, folder, pattern, paths: split_csv.blocks(spark, folder, paths),
+}
+
+
+def _in_parts(
+    spark: SparkSession, folder: str, files: DataFrame, extensions: list[str], max_bytes: int | None
+) -> DataFrame:
+    """Large files as documents without content; a scan of their lines tells those
+    that are not UTF-8."""
+    found = named(files.select("path", "length")).filter(
+        (F.col("length") > (max_bytes or MAX_DOCUMENT_BYTES)) & F.col("file_type").isin(extensions)
+    )
+    found = materialise(found, "large-files")
+    bad = large_documents.invalid_files(spark, folder, paths=found).withColumn("bad", F.lit(True))
+    facts = F.create_map(F.lit(IN_PARTS), F.lit("true"), F.lit("size_bytes"), F.col("length").cast("string"))
+    return found.join(bad, "path", "left").select(
+        "path",
+        "filename",
+        "file_type",
+        F.lit(None).cast("string").alias("content"),
+        facts.cast(METADATA).alias("metadata"),
+        F.when(F.col("bad"), _failure(F.lit("invalid UTF-8 text"))).alias("message"),
+    )
+
+
+def all_blocks(
+    spark: SparkSession, folder: str, docs: DataFrame, registry: ParserRegistry | None = None
+) -> DataFrame:
+    """:func:`blocks` of all documents of a folder, those in parts included."""
+    registry = registry or default_registry()
+    in_parts = F.coalesce(F.element_at("metadata", IN_PARTS) == "true", F.lit(False))
+    found = blocks(docs.filter(~in_parts), registry)
+    for parser, extensions in registry.by_parser().items():
+        if parser in SPLIT_BLOCKS:
+            paths = docs.filter(in_parts & F.col("file_type").isin(extensions)).select("path")
+            glob = f"{{{','.join(map(_any_case_glob, extensions))}}}"
+            if not paths.isEmpty():
+                found = found.unionByName(SPLIT_BLOCKS[parser](spark, folder, glob, paths))
+    return found
+
+
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose path is not among the documents already ingested.
 
@@ -272,15 +329,35 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(fresh, "path", "left_semi")
 
 
+def append_files(
+    existing: DataFrame,
+    files: DataFrame,
+    registry: ParserRegistry | None = None,
+    max_bytes: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors): existing documents plus those of the files not seen
+    before, numbered on, and why the other new files gave none."""
+    registry = registry or default_registry()
+    new = new_files(files, existing)
+    if "length" in files.columns:
+        known = registry.extensions()
+        found = parse(fitting(new, max_bytes), registry).unionByName(too_large(new, known, max_bytes))
+        other = named(new.select("path", "length")).filter(
+            (F.col("length") > (max_bytes or MAX_DOCUMENT_BYTES)) & ~F.col("file_type").isin(known)
+        )
+        found = found.unionByName(_read_as_text(no_content(other), registry))
+    else:
+        found = parse(new, registry)
+    parsed = materialise(found, "parsed")
+    docs = existing.unionByName(numbered_after(existing, number(documents_of(parsed))))
+    return docs, errors_of(parsed)
+
+
 def append_documents(
     existing: DataFrame, files: DataFrame, registry: ParserRegistry | None = None
 ) -> DataFrame:
-    """Existing documents plus those of the files not seen before, numbered on."""
-    new = new_files(files, existing)
-    if "length" in files.columns:
-        new = fitting(new)
-    parsed = materialise(parse(new, registry), "parsed")
-    return existing.unionByName(numbered_after(existing, number(documents_of(parsed))))
+    """The documents of :func:`append_files`, for callers who know of the errors."""
+    return append_files(existing, files, registry)[0]
 
 
 def numbered_after(existing: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from quillframe.model import METADATA
 from quillframe.operators.ordered import row_numbers
 from quillframe.session import materialise
 from quillframe.sources import markdown
+from quillframe.sources.listing import file_path
 
 LINES = {"recursiveFileLookup": "true", "lineSep": "\n"}
 BOM_BYTES = 3
@@ -34,7 +35,7 @@ def _lines(
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     rows = reader.text(folder).select(
-        F.col("_metadata.file_path").alias("path"),
+        file_path().alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("size"),
         F.monotonically_increasing_id().alias("row"),
@@ -117,9 +118,11 @@ def parts(
     )
 
 
-def invalid_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+def invalid_files(
+    spark: SparkSession, folder: str, pattern: str | None = None, paths: DataFrame | None = None
+) -> DataFrame:
     """``path`` of files that are not UTF-8: a character never spans lines."""
-    bad = _lines(spark, folder, pattern).where(~F.col("valid"))
+    bad = _lines(spark, folder, pattern, paths).where(~F.col("valid"))
     return bad.select("path").distinct()
 
 

@@ -149,3 +149,9 @@ def hex_preview(files: DataFrame, n_bytes: int = 64) -> DataFrame:
         "length",
         F.lower(F.hex(F.substring("content", 1, n_bytes))).alias("preview"),
     )
+
+
+def file_path() -> Column:
+    """The path of the file a row was read from, spelled as listings spell it: file
+    sources give it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from quillframe.model import METADATA
 from quillframe.session import materialise
 from quillframe.sources import csv_documents
+from quillframe.sources.listing import file_path
 
 LINES = {"recursiveFileLookup": "true", "lineSep": "\n"}
 BOM_BYTES = 3
@@ -50,20 +51,22 @@ def _state(fixed: Column, turns: Column, start: Column | int = 0) -> Column:
     return F.pmod(state + turns - F.coalesce(fixed["turns"], F.lit(0)), F.lit(2))
 
 
-def numbered_records(spark: SparkSession, path: str) -> DataFrame:
+def numbered_records(spark: SparkSession, path: str, paths: DataFrame | None = None) -> DataFrame:
     """``path, record_no, record`` of all CSV files at a path, records from 1.
 
-    The lines of a split are dealt to one task, which they came from; only the
+    ``paths`` names the files, if not all are meant. The lines of a split are dealt to one task, which they came from; only the
     lines of records that span several are gathered.
     """
     rows = spark.read.options(**LINES).text(path).select(
-        F.col("_metadata.file_path").alias("path"),
+        file_path().alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("size"),
         F.monotonically_increasing_id().alias("row"),
         (F.octet_length("value") + 1).cast("long").alias("bytes"),
         F.make_valid_utf8("value").alias("line"),
     )
+    if paths is not None:
+        rows = rows.join(paths.select("path"), "path", "left_semi")
     rows = rows.withColumn("effect", effect(F.regexp_replace("line", r"\r\z", "")))
     here = Window.partitionBy("path", "block").orderBy("row")
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -173,18 +176,16 @@ def read_split_csv(spark: SparkSession, path: str, schema: T.StructType | None =
     return parsed(schema or infer_types(parsed(texts)))
 
 
-def blocks(spark: SparkSession, path: str) -> DataFrame:
+def blocks(spark: SparkSession, path: str, paths: DataFrame | None = None) -> DataFrame:
     """The blocks of CSV documents of any size: the header and a block per row,
     as :func:`quillframe.sources.csv_documents.blocks` gives them."""
-    from quillframe.sources.ingest import document_id
-
-    records = numbered_records(spark, path).withColumn("fields", csv_documents.fields(F.col("record")))
+    records = numbered_records(spark, path, paths).withColumn("fields", csv_documents.fields(F.col("record")))
     index = (F.col("record_no") - 1).cast("int")
     meta = F.when(index == 0, F.create_map(F.lit("columns"), csv_documents._json_list(F.col("fields")))).otherwise(
         F.create_map(F.lit("row_index"), (index - 1).cast("string"))
     )
     return records.select(
-        document_id(F.col("path")).alias("document_id"),
+        F.sha2("path", 256).alias("document_id"),
         index.alias("block_index"),
         F.when(index == 0, "header").otherwise("row").alias("block_type"),
         F.array_join("fields", ",").alias("content"),

@@ -177,6 +177,32 @@ def test_files_over_the_cell_size_become_errors(spark, folder, monkeypatch):
     assert [r.filename for r in large] == ["b.txt"]
 
 
+def test_appended_files_are_documents_or_errors(spark, folder):
+    files = listing.read_files(spark, str(folder))
+    docs, _ = ingest.read_folder(spark, str(folder), "md")
+    all_docs, errors = ingest.append_files(docs, files, max_bytes=10)
+    names = {r.filename for r in all_docs.collect()} | {r.filename for r in errors.collect()}
+    assert names == {r.path.rsplit("/", 1)[1] for r in files.select("path").collect()}
+    assert [r.filename for r in errors.filter("message LIKE '%too large%'").collect()] == ["b.txt"]
+
+
+def test_large_files_are_documents_in_parts(spark, folder):
+    (folder / "big + 1%.txt").write_text("one\n\ntwo " * 20)
+    (folder / "big.md").write_text("# T\n\nbody\n```py\nx\n\n```\n" * 9)
+    (folder / "big.csv").write_text('a,b\n' + '1,"x\ny"\n' * 9)
+    (folder / "torn.txt").write_bytes(b"fine\n" * 30 + b"\xff")
+    whole, errors = ingest.read_folder(spark, str(folder))
+    docs, split_errors = ingest.read_folder(spark, str(folder), max_bytes=60, large="parts")
+    key = lambda df: sorted((r.filename, r.doc_index) for r in df.select("filename", "doc_index").collect())
+    assert key(docs) == key(whole)
+    said = lambda df: sorted(map(tuple, df.collect()))
+    assert said(split_errors) == said(errors)
+    parts = {r.filename for r in docs.filter("content IS NULL").collect()}
+    assert parts == {"big + 1%.txt", "big.md", "big.csv"}
+    rows = lambda df: sorted((r.document_id, r.block_index, r.block_type, r.content, sorted(r.metadata.items())) for r in df.collect())
+    assert rows(ingest.all_blocks(spark, str(folder), docs)) == rows(ingest.blocks(whole))
+
+
 def test_paged_files_and_user_parsers(spark, folder):
     registry = ingest.default_registry()
     registry.register([".log"], plaintext.PARSER)
