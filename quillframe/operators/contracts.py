@@ -231,7 +231,7 @@ def coerce_nested(definition: FieldDef, raw: Column, path: Column, checked: bool
     refused = outcome(missing, *misfit(raw.isNotNull()))
     if definition.type == "array":
         items = F.from_json(F.regexp_extract(raw, r"(?s)^\s*(\[.*)$", 1), "array<string>")
-        if definition.items is None:
+        if holds_texts(definition):  # items that are text fit as they are
             return tx.let(items, lambda x: F.when(x.isNull(), refused).otherwise(outcome(x)))
 
         def item(text: Column, i: Column) -> Column:

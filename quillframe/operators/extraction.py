@@ -8,12 +8,14 @@ Arrow batches and isolates its failures per document.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,3 +229,78 @@ def preview_fields(records: DataFrame, limit: int = 100) -> DataFrame:
     return records.select(
         "document_id", "doc_index", "filename", "status", F.inline(shown)
     )
+
+
+class ResumableStrategy:
+    """``fn(content) -> dict`` as in :class:`FunctionStrategy`, with answers kept.
+
+    Answers live in a table below ``path``, keyed by a hash of the content and the
+    ``version`` of the question (the schema by default). A run first takes what is there;
+    only texts without an answer are sent, each distinct text once, in ``batches`` that
+    are appended one after the other. A run that is stopped has lost one batch at
+    most, and equal documents share an answer. Failures are kept too, unless
+    ``retry_failures`` asks them again.
+
+    ``path`` must be shared by driver and executors. One run at a time writes to it.
+    """
+
+    _ANSWERS = "key string, version string, json string, extract_error string"
+
+    def __init__(
+        self,
+        fn: Callable[[str], Mapping[str, Any]],
+        path: str,
+        batches: int = 10,
+        version: str | None = None,
+        retry_failures: bool = False,
+    ) -> None:
+        self.fn, self.path, self.batches = fn, path, batches
+        self.version, self.retry_failures = version, retry_failures
+
+    def answers(self, spark: SparkSession) -> DataFrame:
+        """The table of answers so far."""
+        try:
+            return spark.read.schema(self._ANSWERS).parquet(self.path)
+        except PySparkException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], self._ANSWERS)
+
+    def __call__(self, documents: DataFrame, schema: RecordSchema) -> DataFrame:
+        spark, fn = documents.sparkSession, self.fn
+        version = self.version or hashlib.sha256(schema.to_json().encode()).hexdigest()
+        source = documents.select(*KEYS, "content", F.sha2(F.coalesce("content", F.lit("")), 256).alias("key"))
+
+        def usable() -> DataFrame:
+            known = self.answers(spark).where(F.col("version") == version)
+            return known.where("extract_error IS NULL") if self.retry_failures else known
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                answers, errors = [], []
+                for content in batch["content"]:
+                    try:
+                        answers.append(json.dumps(dict(fn(content))))
+                        errors.append(None)
+                    except Exception as problem:  # one text's failure
+                        answers.append(None)
+                        errors.append(str(problem) or type(problem).__name__)
+                yield pd.DataFrame(
+                    {"key": batch["key"], "version": version, "json": answers, "extract_error": errors}
+                )
+
+        texts = source.join(usable().select("key"), "key", "left_anti").select("key", "content").dropDuplicates(["key"])
+        # stored, so that what is missing does not change while batches are added
+        missing = materialise(texts, "unanswered")
+        part = F.pmod(F.xxhash64("key"), F.lit(self.batches))
+        for i in range(self.batches):
+            due = missing.where(part == i)
+            if not due.isEmpty():
+                due.mapInPandas(run, self._ANSWERS).write.mode("append").parquet(self.path)
+        # with failures asked again, the answer counts, else the first failure
+        kept = self.answers(spark).where(F.col("version") == version).groupBy("key").agg(
+            F.max("json").alias("json"), F.min("extract_error").alias("extract_error")
+        )
+        kept = kept.withColumn("extract_error", F.when(F.col("json").isNull(), F.col("extract_error")))
+        parsed = parse_json_records(source.join(kept, "key").select(*KEYS, "json", "extract_error"), schema)
+        return parsed.withColumn("extract_error", F.coalesce("extract_error", "parse_error")).drop("parse_error")

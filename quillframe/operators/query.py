@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -45,6 +46,7 @@ class Workspace:
                 self.spark.conf.set(key, value)
         for key, value in {**RUNTIME_CONF, **SQL_CONF}.items():
             self.spark.conf.set(key, value)
+        self._cursors: dict[str, Cursor] = {}
 
     def register_table(self, name: str, path: str) -> DataFrame:
         """A Parquet table under a name, replacing an earlier one.
@@ -59,24 +61,38 @@ class Workspace:
             raise ValueError(f"cannot read the table at {path}: {problem}") from problem
         except Py4JJavaError as problem:
             raise ValueError(f"cannot read the table at {path}: {problem}") from problem
-        table.createOrReplaceTempView(name)
+        self._replace(name, table)
         return table
 
+    def _replace(self, name: str, table: DataFrame) -> None:
+        table.createOrReplaceTempView(name)
+        self._cursors.clear()  # results of what the name meant before
+
     def register_csv(
         self, name: str, path: str, multi_line: bool = True, split: bool = False
     ) -> DataFrame:
         table = read_csv_table(self.spark, path, multi_line=multi_line, split=split)
-        table.createOrReplaceTempView(name)
+        self._replace(name, table)
         return table
 
     def query(self, sql: str) -> DataFrame:
         """The result of a query as a DataFrame, nothing run yet."""
         return self.spark.sql(sql.strip().rstrip(";"))
 
+    def cursor(self, sql: str) -> Cursor:
+        """The stored result of a query: it runs once for all its pages, until a
+        table is registered anew. Tables are taken as they are at that time."""
+        key = sql.strip().rstrip(";")
+        if key not in self._cursors:
+            self._cursors[key] = Cursor(self.query(key))
+        return self._cursors[key]
+
     def page(self, sql: str, limit: int = PAGE_ROWS, offset: int = 0) -> DataFrame:
-        """One page. Pages only fit together if the query orders all rows."""
-        result = self.query(sql)
-        return rows_between(result, offset, limit) if offset else result.limit(limit)
+        """One page. Pages only fit together if the query orders all rows.
+
+        The first page is the first rows of the query; later ones come from its cursor.
+        """
+        return self.cursor(sql).page(limit, offset) if offset else self.query(sql).limit(limit)
 
     def total(self, sql: str) -> DataFrame:
         return self.query(sql).agg(F.count(F.lit(1)).alias("total_rows"))
@@ -86,7 +102,8 @@ class Workspace:
     ) -> QueryResult:
         """A page of rows on the driver, and how many rows there are in all."""
         try:
-            total = self.total(sql).first()[0]
+            stored = self.cursor(sql) if offset else None
+            total = stored.total if stored else self.total(sql).first()[0]
             page = self.query(sql) if offset >= total else self.page(sql, limit, offset)
             # at most `limit` rows; a page past the end needs none of them
             rows = [] if offset >= total else [list(row) for row in page.collect()]
@@ -98,30 +115,44 @@ class Workspace:
         return columns_of(self.spark.table(name))
 
 
-def rows_between(result: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of a result in its own order.
+class Cursor:
+    """A result kept as its tasks made it, sorted range by sorted range.
 
-    The result is stored as its tasks made it, sorted range by sorted range; the
-    number of rows in each range says which ranges hold the page, and only these
-    are read again. Nothing collects the rows before the page.
+    The number of rows in each range says which ranges hold a page, and only their
+    rows are read again. Nothing collects the rows before the page.
     """
-    names = [f"c{i}" for i in range(len(result.columns))]  # SQL may repeat names
-    local_bits = 33  # layout of monotonically_increasing_id
-    stored = materialise(
-        result.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "page"
-    )
-    ranges = stored.groupBy(F.shiftright("_row", local_bits).alias("range")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    at, wanted = 0, F.lit(False)
-    for found in sorted(ranges.collect()):  # one row per task of the result
-        low, high = max(offset - at, 0), min(offset + limit - at, found.n)
-        if low < high:
-            first = found.range << local_bits
-            wanted = wanted | F.col("_row").between(first + low, first + high - 1)
-        at += found.n
-    page = stored.filter(wanted).sort("_row").drop("_row")
-    return page.toDF(*result.columns)
+
+    _LOCAL_BITS = 33  # layout of monotonically_increasing_id
+
+    def __init__(self, result: DataFrame) -> None:
+        self.columns = result.columns
+        names = [f"c{i}" for i in range(len(self.columns))]  # SQL may repeat names
+        numbered = result.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
+        self.stored = materialise(numbered, "page")
+        ranges = self.stored.groupBy(F.shiftright("_row", self._LOCAL_BITS).alias("range")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        self.ranges = sorted((r.range, r.n) for r in ranges.collect())  # one per task of the result
+        self.total = sum(n for _, n in self.ranges)
+
+    def page(self, limit: int = PAGE_ROWS, offset: int = 0) -> DataFrame:
+        """Rows ``offset`` to ``offset + limit`` in the order of the result."""
+        at, wanted = 0, F.lit(False)
+        for number, n in self.ranges:
+            low, high = max(offset - at, 0), min(offset + limit - at, n)
+            if low < high:
+                first = number << self._LOCAL_BITS
+                wanted = wanted | F.col("_row").between(first + low, first + high - 1)
+            at += n
+        return self.stored.filter(wanted).sort("_row").drop("_row").toDF(*self.columns)
+
+    def pages(self, limit: int = PAGE_ROWS) -> Iterator[DataFrame]:
+        return (self.page(limit, at) for at in range(0, self.total, limit))
+
+
+def rows_between(result: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of a result in its own order."""
+    return Cursor(result).page(limit, offset)
 
 
 def columns_of(df: DataFrame) -> list[ColumnInfo]:
@@ -168,3 +199,56 @@ def _profile_column(df: DataFrame, field: T.StructField) -> DataFrame:
         "max_value",
         "mean_value",
     )
+
+
+#: Relative standard error of the distinct counts is 1.04 / sqrt(2 ** LOG_BUCKETS).
+LOG_BUCKETS = 14
+#: Size of the quantile sketches: ranks are off by less than about 2.3 / RANK_K.
+RANK_K = 400
+
+
+def column_sketches(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per column and group: counts and sketches that can be merged.
+
+    One scan with partial sketches in every task. The table may be stored, for
+    instance per day, and :func:`profile_of_sketches` merges any part of it. Columns:
+    ``by``, column_name, column_type, rows, non_null, distinct_sketch, rank_sketch
+    (of numbers), min_value and max_value (of values that can be ordered, as text).
+    """
+    by, rows = list(by), F.count(F.lit(1)).alias("rows")
+    names = [f for f in df.schema.fields if f.name not in by]
+    parts = []
+    for i, f in enumerate(names):
+        column, nested = F.col(f"`{f.name}`"), isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
+        ordered = not nested and not isinstance(f.dataType, T.BinaryType)
+        # values of all types meet as text or, where that is long, as a hash of it
+        value = F.to_json(F.struct(column)) if nested else column.cast("string")
+        text = F.when(column.isNotNull(), value)
+        number = column.cast("double") if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("double")
+        parts.append(
+            F.struct(
+                F.count(column).alias("non_null"),
+                F.hll_sketch_agg(text, LOG_BUCKETS).alias("distinct_sketch"),
+                F.kll_sketch_agg_double(number, RANK_K).alias("rank_sketch"),
+                (F.min(column).cast("string") if ordered else F.lit(None).cast("string")).alias("min_value"),
+                (F.max(column).cast("string") if ordered else F.lit(None).cast("string")).alias("max_value"),
+                F.lit(f.name).alias("column_name"),
+                F.lit(f.dataType.simpleString()).alias("column_type"),
+            ).alias(f"p{i}")
+        )
+    found = df.groupBy(*by).agg(rows, *parts)
+    return found.select(*by, "rows", F.inline(F.array(*[f"p{i}" for i in range(len(names))])))
+
+
+def profile_of_sketches(sketches: DataFrame) -> DataFrame:
+    """A profile of all groups together: column_name, column_type, rows, non_null,
+    distinct_values, median_value."""
+    merged = sketches.groupBy("column_name", "column_type").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("non_null").alias("non_null"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch")).alias("distinct_values"),
+        F.kll_merge_agg_double("rank_sketch", RANK_K).alias("_ranks"),
+    )
+    empty = F.coalesce(F.kll_sketch_get_n_double("_ranks"), F.lit(0)) == 0
+    median = F.when(~empty, F.kll_sketch_get_quantile_double("_ranks", F.lit(0.5)))
+    return merged.withColumn("median_value", median).drop("_ranks")

@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 
 from quillframe.model import FAILED, SUCCESS, RecordSchema
 from quillframe.operators.ordered import with_ordinals
+from quillframe.session import materialise
 
 #: Records from which on a Parquet copy is advised, see storage_plan.
 PARQUET_ADVISED = 500
@@ -133,14 +134,16 @@ def dump_lines(records: DataFrame, schema: RecordSchema) -> DataFrame:
         for f in schema.fields
     ]
     texts = F.flatten(F.transform(F.array(*body, F.lit("")), lambda t: F.split(t, "\n")))
-    # numbers come from a table of counts; the texts move once, to meet them
-    size = F.when(F.col("status") != FAILED, F.size(texts) + 1).otherwise(0)
-    counted = records.select(F.col("doc_index").alias("_index"), size.cast("long").alias("_size"))
-    numbers = with_ordinals(counted, ["_index"], "record_no", F.col("_size"), "_before")
-    written = records.filter(F.col("status") != FAILED).select(
-        "doc_index", "filename", texts.alias("texts")
+    # texts are made once; numbers come from their counts, and texts move once to meet them
+    made = materialise(
+        records.select("doc_index", "filename", F.when(F.col("status") != FAILED, texts).alias("texts")).withColumn(
+            "_size", F.coalesce(F.size("texts") + 1, F.lit(0)).cast("long")
+        ),
+        "dump-texts",
     )
-    numbered = written.join(
+    counted = made.select(F.col("doc_index").alias("_index"), F.greatest("_size", F.lit(0)).alias("_size"))
+    numbers = with_ordinals(counted, ["_index"], "record_no", F.col("_size"), "_before")
+    numbered = made.where(F.col("texts").isNotNull()).drop("_size").join(
         numbers.filter("_size > 0").select("_index", "record_no", "_before"),
         F.col("doc_index") == F.col("_index"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillframe.model import FieldDef, RecordSchema, typed_struct
 from quillframe.operators import contracts
 from quillframe.plans import render
-from quillframe.plans.catalogue import query, table
+from quillframe.plans.catalogue import costly, query, table
 
 
 @query(
@@ -102,7 +102,7 @@ def _order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.when(
         (priority == "5-LOW") & (status == "F"), F.substring(record, 1, 20)
     ).otherwise(record)
-    return table(spark, sf_dir, "orders").select(
+    return costly(spark, sf_dir, "orders").select(
         "o_orderkey", broken.alias("json")
     )
 
@@ -223,7 +223,7 @@ def conform_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         ),
     )
-    json = table(spark, sf_dir, "lineitem").select(
+    json = costly(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         number.cast("long").alias("l_linenumber"),
         F.to_json(F.struct(amounts.alias("amounts"), source.alias("source")), {"ignoreNullFields": "true"}).alias("json"),

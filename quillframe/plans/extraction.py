@@ -9,6 +9,7 @@ from quillframe.model import FieldDef, RecordSchema
 from quillframe.operators import extraction, prompts
 from quillframe.operators.sinks import flat_columns, kept_records
 from quillframe.plans import render
+from quillframe.session import scratch_path
 from quillframe.plans.catalogue import query
 
 
@@ -308,3 +309,27 @@ def extract_with_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(
         "doc_index", "status", "data.total", F.array_join("errors", "").alias("error")
     )
+
+
+@query(
+    """
+SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS pieces, split_part(text, ' ', 1) AS first_piece FROM documents
+"""
+)
+def extract_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English texts first, as by a run that was stopped; then all, without asking again."""
+    schema = RecordSchema("pieces", (FieldDef("pieces", "number", required=True), FieldDef("first_piece", "string")))
+
+    def read(content: str) -> dict:
+        parts = content.split(" ")
+        return {"pieces": len(parts), "first_piece": parts[0]}
+
+    strategy = extraction.ResumableStrategy(read, scratch_path(spark, "answers"), batches=2)
+    docs = render.text_documents(spark, sf_dir)
+    extraction.extract_batch(docs.where("lang = 'en'"), schema, strategy)
+    records = extraction.extract_batch(docs, schema, strategy)
+    return records.select(
+        F.col("document_id").cast("long").alias("doc_id"),
+        F.col("data.pieces").cast("long").alias("pieces"),
+        F.col("data.first_piece").alias("first_piece"),
+    )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.functions import text as tx
 from quillframe.operators import query as sql
 from quillframe.operators import search, sinks
+from quillframe.operators.query import LOG_BUCKETS, RANK_K, column_sketches, profile_of_sketches
 from quillframe.plans import render
 from quillframe.plans.catalogue import query, table, workspace
 from quillframe.plans.extraction import order_records
@@ -43,6 +46,110 @@ def page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace(spark, sf_dir, "orders").page(_ORDERED, 1000, 1000)
 
 
+@query(
+    f"""
+SELECT page, CAST(count(*) AS BIGINT) AS rows, min(o_totalprice) AS lowest, max(o_totalprice) AS highest FROM (
+  SELECT CAST((row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) // 5000 AS BIGINT) AS page, o_totalprice
+  FROM ({_ORDERED}))
+GROUP BY page
+"""
+)
+def page_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of a result that is computed once."""
+    pages = workspace(spark, sf_dir, "orders").cursor(_ORDERED).pages(5000)
+    parts = [
+        page.agg(
+            F.lit(i).cast("long").alias("page"),
+            F.count(F.lit(1)).alias("rows"),
+            F.min("o_totalprice").alias("lowest"),
+            F.max("o_totalprice").alias("highest"),
+        )
+        for i, page in enumerate(pages)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_SKETCHED = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+    "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_linestatus": "string",
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{t}' AS column_type, count(*) AS rows, count({c}) AS non_null, "
+        f"true AS distinct_fits, {'true' if t != 'string' else 'CAST(NULL AS BOOLEAN)'} AS median_fits FROM lineitem"
+        for c, t in _SKETCHED.items()
+    )
+)
+def profile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of lineitem profiled by sketches of each return flag, and whether the
+    estimates lie within their bounds around the exact values."""
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", *_SKETCHED)
+    sketches = materialise(column_sketches(items, ["l_returnflag"]), "sketches")
+    found = materialise(profile_of_sketches(sketches), "sketch-profile")
+    rows = {r.column_name: r for r in found.collect()}  # one per column
+    exact = [F.count_distinct(c).alias(f"{c}_d") for c in _SKETCHED]
+    below = [
+        f(F.col(c), F.lit(rows[c].median_value)).alias(f"{c}_{n}")
+        for c, t in _SKETCHED.items()
+        if t != "string"
+        for n, f in (("lt", lambda x, m: F.count_if(x < m)), ("le", lambda x, m: F.count_if(x <= m)))
+    ]
+    truth = items.agg(*exact, *below).first()
+
+    def fits(c: str) -> tuple[str, bool, bool | None]:
+        bound = 4 * 1.04 / 2 ** (LOG_BUCKETS / 2)
+        near = abs(rows[c].distinct_values - truth[f"{c}_d"]) <= bound * truth[f"{c}_d"] + 1
+        if _SKETCHED[c] == "string":
+            return c, near, None
+        n, error = rows[c].non_null, 2.3 / RANK_K
+        return c, near, truth[f"{c}_lt"] - 1 <= (0.5 + error) * n and truth[f"{c}_le"] + 1 >= (0.5 - error) * n
+
+    verdict = spark.createDataFrame(
+        [fits(c) for c in _SKETCHED], "column_name string, distinct_fits boolean, median_fits boolean"
+    )
+    return found.join(verdict, "column_name").select(
+        "column_name", "column_type", "rows", "non_null", "distinct_fits", "median_fits"
+    )
+
+
+@query(
+    """
+WITH RECURSIVE ranked AS (
+  SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders
+), chain AS (
+  SELECT o_custkey, n, o_totalprice AS best, 1 AS highs FROM ranked WHERE n = 1
+  UNION ALL
+  SELECT r.o_custkey, r.n, greatest(c.best, r.o_totalprice), c.highs + CASE WHEN r.o_totalprice > c.best THEN 1 ELSE 0 END
+  FROM chain c JOIN ranked r ON r.o_custkey = c.o_custkey AND r.n = c.n + 1
+)
+SELECT o_custkey, CAST(max(n) AS BIGINT) AS orders, max(best) AS best, CAST(max(highs) AS BIGINT) AS highs
+FROM chain GROUP BY o_custkey
+"""
+)
+def cte_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders one after the other: how often one beat all before it."""
+    ws = workspace(spark, sf_dir, "orders")
+    # stored, as every step of the recursion reads it
+    ranked = ws.query(
+        "SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders"
+    )
+    materialise(ranked, "ranked-orders").createOrReplaceTempView("ranked")
+    return ws.query(
+        """
+WITH RECURSIVE chain AS (
+  SELECT o_custkey, n, o_totalprice AS best, 1 AS highs FROM ranked WHERE n = 1
+  UNION ALL
+  SELECT r.o_custkey, r.n, greatest(c.best, r.o_totalprice), c.highs + CASE WHEN r.o_totalprice > c.best THEN 1 ELSE 0 END
+  FROM chain c JOIN ranked r ON r.o_custkey = c.o_custkey AND r.n = c.n + 1
+)
+SELECT o_custkey, CAST(max(n) AS BIGINT) AS orders, max(best) AS best, CAST(max(highs) AS BIGINT) AS highs
+FROM chain GROUP BY o_custkey
+"""
+    )
+
+
 _TOTALS = "SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey"
 
 

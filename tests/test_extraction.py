@@ -143,3 +143,32 @@ def test_array_rule(spark):
     rows = extraction.extract_batch(docs, schema, extraction.RuleStrategy({"tags": r"#(\w+)"}))
     assert [r.data.tags for r in rows.orderBy("doc_index").collect()] == [["one", "two"], None]
     assert json.loads('["one"]') == ["one"]
+
+
+def test_stopped_run_asks_for_each_text_once(spark, docs, tmp_path):
+    log, path = tmp_path / "calls", str(tmp_path / "answers")
+    log.mkdir()
+
+    def read(content):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(content)
+        if "#5" in content:
+            raise RuntimeError("no answer")
+        return {"vendor": "v", "amount": 1}
+
+    twice = docs.unionByName(docs.withColumn("doc_index", docs.doc_index + 100))
+    strategy = extraction.ResumableStrategy(read, path, batches=3)
+    extraction.extract_batch(twice.where("doc_index IN (1, 2, 5, 101)"), SCHEMA, strategy)  # half of the work
+    records = extraction.extract_batch(twice, SCHEMA, strategy)
+    found = extraction.summary(records)
+    assert (found.total, found.succeeded, found.failed) == (14, 12, 2)
+    calls = [f.read_text() for f in log.iterdir()]
+    assert len(calls) == len(set(calls)) == 7
+    assert strategy.answers(spark).count() == 7
+    again = extraction.ResumableStrategy(read, path, retry_failures=True)
+    assert extraction.summary(extraction.extract_batch(docs, SCHEMA, again)).failed == 1
+    assert len(list(log.iterdir())) == 8
+    other = extraction.ResumableStrategy(read, path, version="another question")
+    extraction.extract_batch(docs, SCHEMA, other)
+    assert len(list(log.iterdir())) == 15

@@ -3,7 +3,7 @@
 import pytest
 
 from quillframe.operators import search
-from quillframe.operators.query import Workspace, profile_table
+from quillframe.operators.query import Workspace, column_sketches, profile_of_sketches, profile_table
 
 RIVERS = [(i, f"river {i:03d}", ["north", "south", "delta"][i % 3], i * 1.5 if i % 4 else None) for i in range(90)]
 
@@ -116,3 +116,34 @@ def test_unicode_classes(spark):
     docs = spark.createDataFrame([("p", "f", "été\nETE")], "path string, filename string, content string")
     assert [r.line_no for r in search.search(docs, r"^\w+$").collect()] == [1, 2]
     assert [r.line_no for r in search.search(docs, "ÉTÉ").collect()] == [1]
+
+
+def test_two_pages_run_the_query_once(ws):
+    sql = "SELECT id, km FROM rivers ORDER BY km DESC NULLS LAST, id"
+    cursor = ws.cursor(sql)
+    assert cursor is ws.cursor(f" {sql}; ") and cursor.total == 90
+    rows = [tuple(r) for page in cursor.pages(40) for r in page.collect()]
+    assert rows == [tuple(r) for r in ws.query(sql).collect()]
+    first = ws.execute_sql(sql, 10, 30)
+    assert first.total_rows == 90 and [tuple(r) for r in first.rows] == rows[30:40]
+    assert ws.cursor(sql) is cursor
+    ws.spark.range(3).write.parquet(str(ws.folder / "rivers2"))
+    ws.register_table("rivers", str(ws.folder / "rivers2"))  # what the name meant is gone
+    assert ws.cursor("SELECT id FROM rivers ORDER BY id").total == 3 and ws.cursor is not cursor
+
+
+def test_sketches_merge_to_a_profile(spark):
+    df = spark.range(40_000).selectExpr(
+        "id % 7 AS part", "id", "id % 500 AS few", "if(id % 2 = 0, null, cast(id AS string)) AS text",
+        "array(id % 30) AS list", "cast(null AS double) AS none"
+    )
+    sketches = column_sketches(df, ["part"])
+    assert sketches.count() == 7 * 5
+    rows = {r.column_name: r for r in profile_of_sketches(sketches).collect()}
+    for name, distinct in (("id", 40_000), ("few", 500), ("text", 20_000), ("list", 30)):
+        assert rows[name].distinct_values == pytest.approx(distinct, rel=0.04) and rows[name].rows == 40_000
+    assert rows["text"].non_null == 20_000 and rows["text"].median_value is None
+    assert rows["id"].median_value == pytest.approx(20_000, rel=0.02)
+    assert rows["none"].median_value is None and rows["none"].distinct_values == 0
+    some = {r.column_name: r for r in profile_of_sketches(sketches.where("part = 3")).collect()}
+    assert some["id"].non_null == df.where("part = 3").count()
