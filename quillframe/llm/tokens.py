@@ -69,37 +69,40 @@ class PieceCounter:
         skipped = -1  # bytes of the chunk that belong to the one before
         while True:
             end = min(len(text), start + chunk + overlap)
-            ends = self.boundaries(text, start, end)
-            if end == len(text):
-                return total + self._after(ends, skipped)
             following, reach = end - overlap, overlap
             while True:
-                cut = self._splice(text, start, end, following, ends, skipped)
+                ends = self.boundaries(text, start, end)
+                if end == len(text):
+                    return total + self._after(ends, skipped)
+                cut = self._splice(text, start, end, following, ends, skipped, overlap)
                 if cut is not None:
                     break
                 reach *= 2
                 end = min(len(text), following + reach)
-                ends = self.boundaries(text, start, end)
-                if end == len(text):
-                    return total + self._after(ends, skipped)
-            upto, next_skipped = cut
+            upto, start, next_skipped = cut
             total += self._after(ends, skipped) - self._after(ends, upto)
-            start, skipped = following, next_skipped
+            skipped = next_skipped
 
     @staticmethod
     def _after(ends: np.ndarray, place: int) -> int:
         """Tokens that end behind a place; the own space of a chunk ends at 0."""
         return len(ends) - int(np.searchsorted(ends, place, "right"))
 
-    def _splice(self, text, start, end, following, ends, skipped) -> tuple[int, int] | None:
-        """A stable place in [following, end) as bytes from either chunk's start."""
-        other = self.boundaries(text, following, end)
-        base = len(text[start:following].encode())
+    def _splice(self, text, start, end, following, ends, skipped, overlap) -> tuple[int, int, int] | None:
+        """A stable place in [following, end) as bytes from the chunk's start, where the
+        next chunk starts, and the place as bytes from there. The next chunk starts an
+        overlap before the place at most, so a widened stretch is never encoded again."""
+        codes = np.frombuffer(text[start:end].encode("utf-32-le", "surrogatepass"), "<u4")
+        size = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        at = np.concatenate([[0], np.cumsum(size)])
         for place in self.stable(text, following, end):
-            there = len(text[following:place].encode())
-            here = base + there
-            if here > skipped and self._ends_at(ends, here) and self._ends_at(other, there):
-                return here, there
+            here = int(at[place - start])
+            if here <= skipped or not self._ends_at(ends, here):
+                continue
+            first = max(following, place - overlap)
+            there = here - int(at[first - start])
+            if self._ends_at(self.boundaries(text, first, min(end, place + overlap)), there):
+                return here, first, there
         return None
 
     @staticmethod

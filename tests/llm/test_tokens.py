@@ -32,6 +32,20 @@ def test_spliced_counts(model, chunk, overlap):
         assert model.count_long(text, chunk, overlap) == len(model.model.encode(text)), text[:40]
 
 
+@pytest.mark.parametrize("run", ["a" * 400_000, "日本" * 60_000, " " * 200_000])
+def test_a_long_unstable_run_is_encoded_a_few_times_only(model, run):
+    text = run + " and then some plain prose follows." * 20_000
+    encoded = []
+    whole = model.boundaries
+    counting = lambda t, a, b: encoded.append(b - a) or whole(t, a, b)
+    model.boundaries = counting
+    try:
+        assert model.count_long(text) == len(model.model.encode(text))
+    finally:
+        del model.boundaries
+    assert sum(encoded) < 4 * len(text)
+
+
 def test_table(spark):
     import public_tokenizers
 
