@@ -1,15 +1,21 @@
 """Main text of web pages by deducing each host's template.
 
 A page is read as a sequence of tokens: tags, each with the path of elements it
-stands in, and words outside the element that holds the main text. Over all
-pages of a host every token has an occurrence vector, the number of times it
-occurs on each page. Tokens with equal vectors form an equivalence class. A
-class is valid if it is large and has support; the classes with one occurrence
-per page, put in the order of their tokens' mean places and not nested, make up
-the host's template. What lies between template tokens are slots.
+stands in, the words outside the element that holds the main text, and inside it
+whole blocks of text. Over all pages of a host every token has an occurrence
+vector, the number of times it occurs on each page. Tokens with equal vectors
+form an equivalence class. A class is valid if it is large and has support and its
+tokens occur once per page. The class of largest support comes first; another
+is nested if all its tokens lie, by their mean places, in one gap of those taken
+before, and is left out otherwise. The nested classes in order are the host's
+template. On a page a token counts as template only where it continues that order.
+What lies between template tokens are slots.
 
 On pages whose main element (found by element and class names) has text, the
-main text is that of the element, and the template has no effect. On others it is
+main text is the data of the slots inside that element: blocks that the template
+has there (a call to subscribe below every article) go, by their text and without
+regard to names. If they were more than half of the element's text, the page is a copy
+rather than framed by them, and keeps all of it. On pages without a main element it is
 the data of the slots that hold running text.
 
 Vectors are never gathered: an exclusive or of hashes of (page, count) stands
@@ -23,6 +29,7 @@ alike, and count once towards their host's template. An empty table gives an emp
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -172,6 +179,10 @@ def code(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}{value}".encode()) - (1 << 63)
 
 
+def block_code(path: str, text: str) -> int:
+    return code("block ", f"{path} {text}")
+
+
 def page_tokens(page: str) -> dict[int, tuple[int, int]]:
     """Count and first place of every token of a page."""
     found: dict[int, list[int]] = {}
@@ -180,7 +191,7 @@ def page_tokens(page: str) -> dict[int, tuple[int, int]]:
         if kind == "tag":
             codes = [code("tag ", item)]
         elif item.main and not item.outside:
-            continue
+            codes = [block_code(item.path, item.text())]
         else:
             codes = [code("word ", f"{item.path} {w}") for w in item.text().split()]
         for c in codes:
@@ -197,6 +208,7 @@ def extract(page: str, template: list[int]) -> str:
     """
     order = {c: i for i, c in enumerate(template)}
     slots: list[tuple[bool, bool, str]] = []  # in main, outside, text
+    framed: list[int] = []  # slots that are template text inside the main element
     last = -1
     for kind, item in parse(page):
         if kind == "tag":
@@ -204,6 +216,9 @@ def extract(page: str, template: list[int]) -> str:
             continue
         text = item.text()
         if item.main and not item.outside:
+            at = order.get(block_code(item.path, text), -1)
+            framed += [len(slots)] if at > last else []
+            last = max(last, at)
             slots.append((True, False, text))
             continue
         data = []
@@ -214,6 +229,10 @@ def extract(page: str, template: list[int]) -> str:
             else:
                 data.append(word)
         slots.append((False, item.outside, " ".join(data)))
+    size = sum(len(text) for main, _, text in slots if main)
+    if 2 * sum(len(slots[i][2]) for i in framed) <= size:
+        for i in framed:
+            slots[i] = (True, False, "")
     inside = any(main and text for main, _, text in slots)
     kept = (t for main, outside, t in slots if t and (main if inside else not outside))
     return " ".join(kept)
@@ -267,9 +286,33 @@ def host_templates(pages: DataFrame, url: str = "url", page: str = "html") -> Da
     classes = single.groupBy("host", "vector", "support").agg(
         F.collect_list(F.struct("place", "token")).alias("members")
     )
-    valid = classes.where(F.size("members") >= MIN_TOKENS)
-    nested = valid.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("members"))).alias("members"))
-    return nested.select("host", F.transform("members", lambda m: m["token"]).alias("template"))
+    valid = classes.where(F.size("members") >= MIN_TOKENS).groupBy("host").agg(
+        F.collect_list(F.struct("support", "members")).alias("classes")
+    )
+    return valid.select("host", nested(F.col("classes")).alias("template"))
+
+
+def nest(classes: list[list[tuple[float, int]]]) -> list[int]:
+    """The tokens of nested classes in order, the classes given by importance."""
+    taken: list[tuple[float, int]] = []
+    for members in classes:
+        low, high = min(members), max(members)
+        if bisect.bisect_left(taken, low) == bisect.bisect_left(taken, high):
+            at = bisect.bisect_left(taken, low)
+            taken[at:at] = sorted(members)
+    return [token for _, token in taken]
+
+
+def nested(classes: Column) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def order(hosts: pa.Array) -> pa.Array:
+        found = []
+        for host in hosts.to_pylist():
+            parts = [(-c["support"], sorted((m["place"], m["token"]) for m in c["members"])) for c in host]
+            found.append(nest([members for _, members in sorted(parts)]))
+        return pa.array(found, pa.list_(pa.int64()))
+
+    return order(classes)
 
 
 def main_text(pages: DataFrame, url: str = "url", page: str = "html", name: str = "main_text") -> DataFrame:

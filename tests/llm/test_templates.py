@@ -48,6 +48,46 @@ def test_template_words_go_and_data_stays(spark):
     assert templates.main_text(df.limit(0)).count() == 0
 
 
+def test_template_text_inside_articles_goes_without_names(spark):
+    """No class names: what a host repeats inside its articles is known by repetition."""
+    page = lambda i: (
+        f"<p>top line</p><article><p>Sign up for our letter</p><p>story {i} begins with words {i * 7}</p>"
+        f"<p>and goes on at length {i * i}</p><p>Tell us what you think of it</p></article><p>all rights held</p>"
+    )
+    rows = [("http://h/x", page(i)) for i in range(8)] + [("http://few/x", page(i)) for i in range(2)]
+    got = {(r.url, r.html): r.main_text for r in templates.main_text(spark.createDataFrame(rows, "url string, html string")).collect()}
+    for i in range(8):
+        assert got[rows[i]] == f"story {i} begins with words {i * 7} and goes on at length {i * i}"
+    assert got[rows[8]].startswith("Sign up")  # two pages say nothing of a template
+
+
+def test_near_copies_keep_their_text(spark):
+    body = "".join(f"<p>paragraph {k} of the one story all pages tell</p>" for k in range(6))
+    rows = [("http://h/x", f"<div>ad {i}</div><article>{body}<p>seen {i} times</p></article><p>foot</p>") for i in range(9)]
+    got = [r.main_text for r in templates.main_text(spark.createDataFrame(rows, "url string, html string")).collect()]
+    assert all(text.startswith("paragraph 0") and "paragraph 5" in text and "times" in text for text in got)
+
+
+def test_classes_are_nested_or_left_out():
+    outer, inner, crossing = [(1.0, 10), (5.0, 11), (9.0, 12)], [(2.0, 20), (3.0, 21), (4.0, 22)], [(4.5, 30), (6.0, 31), (7.0, 32)]
+    assert templates.nest([outer, inner, crossing]) == [10, 20, 21, 22, 11, 12]
+    assert templates.nest([]) == []
+
+
+def test_vectors_against_brute_force(spark):
+    """The template is the tokens that half of the pages and four have once, in classes."""
+    from collections import Counter, defaultdict
+
+    pages = [f"<div><p>Read more at our site</p><p>own{i} t{i % 2}</p><p>Rights held{' here' * (i % 3 == 0)}</p></div>" for i in range(9)]
+    df = spark.createDataFrame([("http://h/x", p) for p in pages], "url string, html string")
+    counts = [Counter({c: n for c, (n, _) in templates.page_tokens(p).items()}) for p in pages]
+    vectors = defaultdict(list)
+    for token in set().union(*counts):
+        vectors[tuple(c[token] for c in counts)].append(token)
+    want = {t for v, members in vectors.items() if max(v) == 1 and sum(v) >= 5 and len(members) >= 3 for t in members}
+    assert set(templates.host_templates(df).first().template) == want and len(want) > 8
+
+
 def test_copies_keep_their_text(spark):
     page = "<nav>a b c</nav><article><p>same text on every page</p></article><footer>d e f</footer>"
     df = spark.createDataFrame([(i, "http://h/x", page) for i in range(20)], "page_id long, url string, html string")
