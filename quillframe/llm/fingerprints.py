@@ -76,10 +76,14 @@ def root_of(tree: Column) -> Column:
     return F.sha2(F.array_join(F.transform(sections_of(tree), section_hash), ""), 256)
 
 
+def print_of(tree: Column) -> Column:
+    """The root and the shortened tree."""
+    short = F.regexp_replace(tree, rf"([0-9a-f]{{{DIGITS}}})[0-9a-f]{{{HASH - DIGITS}}}", "$1")
+    return F.concat(root_of(tree), F.lit(":"), short)
+
+
 def fingerprint(text: Column) -> Column:
-    """The root and the shortened tree of a text."""
-    short = lambda tree: F.regexp_replace(tree, rf"([0-9a-f]{{{DIGITS}}})[0-9a-f]{{{HASH - DIGITS}}}", "$1")
-    return let(tree_of(text), lambda tree: F.concat(root_of(tree), F.lit(":"), short(tree)))
+    return let(tree_of(text), print_of)
 
 
 def sentences(print_: Column) -> Column:
@@ -185,39 +189,43 @@ def with_next(
     ``next_text``, its first ``half`` code points (``half`` is of this document).
 
     Only ids and hashes are ordered. A document's columns then move once to the
-    document before it, and every table is dealt out by id and hash.
+    document before it, and every table is dealt out by the same 128-bit hash of
+    id and text, so no row moves twice.
     """
-    code, at, want = (private(n) for n in ("code", "at", "want"))
-    rows = docs.withColumn(code, F.xxhash64(F.coalesce(text, F.lit(""))))
+    name = {n: private(n) for n in ("one", "two", "at", "want", "own_one", "own_two")}
+    one, two, at, want, own_one, own_two = name.values()
+    seen = [F.col(key).isNull(), F.col(key), F.coalesce(text, F.lit(""))]
+    rows = docs.withColumns({one: F.xxhash64(*seen), two: F.xxhash64(F.lit("two"), *seen)})
     places = with_ordinals(
-        rows.groupBy(key, code).agg(F.first(half).alias(want)), [key, code], at
+        rows.groupBy(one, two).agg(F.first(key).alias(key), F.first(half).alias(want)),
+        [key, one, two],
+        at,
     )
     last = places.agg(F.max(at)).first()[0] or 0
-    own = {c: private(c) for c in (key, code)}
     # ascending, so the next document in descending order is one place lower
     before = places.select(
-        F.col(key).alias(own[key]),
-        F.col(code).alias(own[code]),
+        F.col(one).alias(own_one),
+        F.col(two).alias(own_two),
         F.when(F.col(at) == 1, F.lit(last)).otherwise(F.col(at) - 1).alias(at),
         want,
     )
-    pairs = places.drop(want).join(before, at).drop(at)
-    keyed = pairs.select(
-        F.col(key).alias(f"{at}_k"), F.col(code).alias(f"{at}_c"), own[key], own[code], want
-    )
-    on = lambda a, k, c: a[key].eqNullSafe(F.col(k)) & (a[code] == F.col(c))
+    seen_at = places.select(F.col(one).alias(f"{at}_1"), F.col(two).alias(f"{at}_2"), F.col(key).alias(f"{at}_k"), at)
+    pairs = seen_at.join(before, at).drop(at)
+    # the id is compared as well; both joins thus need the same columns of the same rows,
+    # which are dealt out once and read twice
+    same = F.coalesce(rows[key] == F.col(f"{at}_k"), rows[key].isNull() & F.col(f"{at}_k").isNull())
+    on = (rows[one] == F.col(f"{at}_1")) & (rows[two] == F.col(f"{at}_2")) & same
     sent = (
-        rows.join(keyed, on(rows, f"{at}_k", f"{at}_c"))
+        rows.join(pairs, on)
         .select(
-            own[key],
-            own[code],
+            F.col(own_one).alias(one),
+            F.col(own_two).alias(two),
             F.coalesce(text, F.lit("")).substr(F.lit(1), F.col(want)).alias("next_text"),
             *(c.alias(n) for n, c in made.items()),
         )
-        .dropDuplicates([own[key], own[code]])
+        .dropDuplicates([one, two])
     )
-    joined = rows.join(sent, on(rows, own[key], own[code]))
-    return joined.drop(code, own[key], own[code])
+    return rows.join(sent, [one, two]).drop(one, two)
 
 
 def half_of(text: Column) -> Column:
@@ -280,21 +288,24 @@ def op11_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.col("text")
     pairs = with_next(docs, {"next_fingerprint": fingerprint(text)}, half_of(text))
-    changed = pairs.select(
+    whole = F.coalesce(text, F.lit(""))
+    changed = pairs.select("doc_id", whole.alias("text"), edited(text, F.col("next_text")).alias("edited"), "next_fingerprint")
+    trees = changed.select(
         "doc_id",
-        F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"),
-        F.coalesce(text, F.lit("")).alias("text"),
-        edited(text, F.col("next_text")).alias("edited"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        tree_of(text).alias("tree"),
+        tree_of(F.col("edited")).alias("edited_tree"),
         "next_fingerprint",
     )
-    prints = changed.select(
+    prints = trees.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        "edited_sha256",
+        print_of(F.col("tree")).alias("fingerprint"),
+        print_of(F.col("edited_tree")).alias("edited_fingerprint"),
         "next_fingerprint",
-        edit_span(tree_of(F.col("text")), tree_of(F.col("edited")))["start"].alias("edit_start"),
+        edit_span(F.col("tree"), F.col("edited_tree"))["start"].alias("edit_start"),
     )
     return prints.select(
         "doc_id",
