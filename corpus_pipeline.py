@@ -3,6 +3,12 @@
 Each stage is an operator of ``quillframe.llm`` applied to all rows that the
 stage before it kept, written as Parquet and read again. All stages but the
 last return the columns of documents.
+
+Cases: null and empty texts fail the quality rules and go in the first stage.
+Rows that repeat an id are judged each by its own text; of equal rows the near-dedup
+keeps one. A null source is a source of its own in the mixture. Other columns stay as
+they are, but for ``copy``: the mixture numbers its copies there, in place of a column of
+that name. An empty table passes all stages as an empty one.
 """
 
 from __future__ import annotations
