@@ -77,3 +77,19 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs, bench).count() == 1
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_very_long_text(spark):
+    """A window deep inside one text of many words, and one that a line break cuts."""
+    passage = " ".join(f"passage{i}" for i in range(15))
+    filler = " ".join(f"word{i % 997}" for i in range(300_000))
+    docs = [(1, f"{filler} {passage} {filler}"), (2, filler), (3, passage.replace("passage7", "pass\nage7"))]
+    bench = [(1, passage)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    found = d.select("doc_id", decontaminate.hits_of(F.col("text"), decontaminate.benchmark_blocks(spark, b)).alias("h"))
+    rows = found.select("doc_id", *(c.alias(k) for k, c in decontaminate.verdict(F.col("h")).items())).collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows}
+    assert got == {1: (600_015, 15, 1, False), 2: (300_000, 0, 0, False), 3: (16, 0, 0, False)}
+    cut = decontaminate.decontaminate(d, b, remove="spans").where("doc_id = 1").first().text
+    assert cut == f"{filler}  {filler}"
