@@ -2,6 +2,7 @@
 
 import random
 import re
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,14 +49,15 @@ def tables():
     return docs, bench
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
-def test_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "windows", "hashes"), [(1 << 20, 1, 1), (100, 1 << 20, 1 << 20), (100, 16, 40)])
+def test_against_brute_force(spark, monkeypatch, block_bytes, windows, hashes):
+    """A small benchmark, and a large one in one pass and in several."""
+    sizes = {"block_bytes": block_bytes, "block_windows": windows, "hashes": hashes}
+    monkeypatch.setattr(decontaminate, "with_hits", partial(decontaminate.with_hits, **sizes))
     docs, bench = tables()
     df = spark.createDataFrame([(k, t, 1) for k, t in docs], "doc_id long, text string, n_words int")
     benchmark = spark.createDataFrame(bench, "item_id long, text string")
-    blocks = decontaminate.benchmark_blocks(spark, benchmark, block_bytes=block_bytes)
-    assert len(blocks) > 3 or block_bytes > 100
-    found = df.select("doc_id", decontaminate.hits_of(F.col("text"), blocks).alias("h"))
+    found = decontaminate.with_hits(df, benchmark, "h")
     got = found.select("doc_id", F.col("h.items"), *[c.alias(k) for k, c in decontaminate.verdict(F.col("h")).items()])
     want = brute(docs, bench)
     assert sorted((r.doc_id or -1, r.n_words, r.n_hit, list(r["items"])) for r in got.collect()) == sorted(
@@ -87,7 +89,7 @@ def test_very_long_text(spark):
     bench = [(1, passage)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(bench, "item_id long, text string")
-    found = d.select("doc_id", decontaminate.hits_of(F.col("text"), decontaminate.benchmark_blocks(spark, b)).alias("h"))
+    found = decontaminate.with_hits(d, b, "h")
     rows = found.select("doc_id", *(c.alias(k) for k, c in decontaminate.verdict(F.col("h")).items())).collect()
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows}
     assert got == {1: (600_015, 15, 1, False), 2: (300_000, 0, 0, False), 3: (16, 0, 0, False)}
