@@ -236,7 +236,8 @@ def fit_quality(
     sample_rows: int = SAMPLE_ROWS,
 ) -> Forest | None:
     """Trees fitted on at most ``sample_rows`` labelled documents, those first
-    in the order of a hash of their key; None if none is labelled."""
+    in the order of a hash of their key; None if none is labelled. Of rows that
+    share a key the one with the smallest hash of its text is taken."""
     rows, goal = private("key"), private("goal")
     sample = (
         labels.select(F.col(key).alias(rows), F.col(label).cast("double").alias(goal))
@@ -249,7 +250,10 @@ def fit_quality(
     found = (
         docs.select(key, text)
         .join(F.broadcast(sample), F.col(key) == F.col(rows))  # sample_rows rows at most
-        .select(inputs_of(F.col(text)).alias("x"), F.col(goal).alias("y"))
+        .select(rows, F.xxhash64(text).alias("h"), inputs_of(F.col(text)).alias("x"), F.col(goal).alias("y"))
+        .groupBy(rows)
+        .agg(F.min(F.struct("h", "x", "y")).alias("s"))  # a row for each key comes to the driver
+        .select("s.x", "s.y")
         .toPandas()
     )
     if found.empty:

@@ -3,12 +3,16 @@
 Base kinds, each leftmost and without overlaps: ``assign`` (a password-like name
 given a value of six characters or more), ``access`` (AKIA and 16 more) and
 ``hex`` (24 or more hexadecimal digits). The scan adds ``key`` (values with a
-provider's prefix), ``jwt`` and ``pem`` (a private key's header line).
+provider's prefix), ``jwt``, ``pem`` (a private key's header line) and ``block``
+(a private key as a whole, which is hashed by its body alone).
 
 Every found value is hashed, and over the whole corpus the distinct owners and
-repositories of each hash are counted. A value that ``COMMON_OWNERS`` owners or
-more have, or that reads like a placeholder, is a widely copied example; one
-that few owners have and whose characters look random is live-looking.
+repositories (of an owner) of each hash are counted. A value that
+``COMMON_OWNERS`` owners or ``COMMON_REPOSITORIES`` repositories have is a widely
+copied example (``copied``). One that fewer have is live-looking (``live``) if it
+is a whole key, if something is assigned to a secret's name that is neither a
+plain word nor a placeholder, or if its characters look random; the rest is
+``other``.
 
 Positions come from the expressions themselves: the pieces between matches and
 the matches, by the same pattern, sum up to code points.
@@ -34,6 +38,13 @@ ASSIGN = (
     r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 ASSIGN_LEAST = 6
+#: A whole private key. Possessive, so that a header without an end is read once;
+#: line breaks may be escaped ones, as in JSON and source code.
+BLOCK = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:\s|\\[nr]|[\"',])*+[A-Za-z0-9+/]{40,}+={0,2})++)"
+)
 KINDS = {
     "assign": ASSIGN,
     "access": r"AKIA[A-Z0-9]{16,}",
@@ -41,21 +52,18 @@ KINDS = {
     "key": r"(?:gh[pousr]_|sk_(?:live|test)_|xox[abpr]-|glpat-)[A-Za-z0-9_-]{16,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "block": BLOCK,
 }
 BASE = ("assign", "access", "hex")
-#: A whole private key. Possessive, so that a header without an end is read once;
-#: line breaks may be escaped ones, as in JSON and source code.
-BLOCK = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
-    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
-    r"|(?:(?:\s|\\[nr]|[\"',])*+[A-Za-z0-9+/]{40,}+={0,2})++)"
-)
 #: What of a key is no part of its body: the lines around it, headers, line breaks.
 NO_BODY = r"-----[A-Z ]+-----|[A-Za-z-]+: [^\n\\]*|\\[nrt]|[^A-Za-z0-9+/]"
-WHOLE_KINDS = {**KINDS, "block": BLOCK}
 #: Owners from which on a value counts as widely copied.
 COMMON_OWNERS = 3
+#: The same for distinct pairs of owner and repository.
+COMMON_REPOSITORIES = 3
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your|test|x{4,}|0{6,}|1234567"
+#: A digit, or a change of case inside a word: no plain words of running text.
+NOT_PLAIN = r"[0-9]|[a-z][A-Z]"
 #: Different characters that a live-looking value has at least.
 LIVE_CHARACTERS = 8
 #: Numbers that are summed one by one; see running_sum.
@@ -92,7 +100,7 @@ def running_sum(numbers: Column) -> Column:
 
 def spans_of(text: Column, kind: str) -> Column:
     """``array<struct<start, rank, end, kind, value>>`` of one kind in a text."""
-    pattern, rank = WHOLE_KINDS[kind], list(WHOLE_KINDS).index(kind)
+    pattern, rank = KINDS[kind], list(KINDS).index(kind)
     row = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -142,16 +150,18 @@ def hash_of(span: Column) -> Column:
     return F.sha2(F.when(span["kind"] == "block", body).otherwise(span["value"]), 256)
 
 
-def looks_live(value: Column) -> Column:
-    """Letters and digits, many different characters and no placeholder words:
-    what follows a name like ``secret:`` in running text is mostly a plain word."""
+def looks_live(value: Column, kind: Column) -> Column:
+    """Whole keys; assigned values that are neither plain words nor placeholders
+    (what follows a name like ``secret:`` in running text is mostly a plain word);
+    of other kinds, letters and digits with many different characters."""
     characters = F.array_remove(F.split(value, ""), "")
-    return (
+    random = (
         (F.size(F.array_distinct(characters)) >= LIVE_CHARACTERS)
         & value.rlike("[0-9]")
         & value.rlike("[A-Za-z]")
-        & ~value.rlike(PLACEHOLDER)
     )
+    assigned = value.rlike(NOT_PLAIN)
+    return (kind == "block") | (F.when(kind == "assign", assigned).otherwise(random) & ~value.rlike(PLACEHOLDER))
 
 
 def ownership(values: DataFrame) -> DataFrame:
@@ -202,9 +212,9 @@ def scan(
             F.explode(
                 F.array_distinct(
                     F.transform(
-                        "spans", lambda s: F.struct((s["kind"] == "block").alias("block"), s["value"], hash_of(s))
+                        "spans", lambda s: F.struct(s["kind"], s["value"], hash_of(s))
                     )
-                ).cast("array<struct<block:boolean,value:string,value_hash:string>>")
+                ).cast("array<struct<kind:string,value:string,value_hash:string>>")
             ).alias("found"),
         )
         .select(
@@ -212,15 +222,14 @@ def scan(
             "owner",
             "repository",
             "found.value_hash",
-            (F.col("found.block") | looks_live(F.col("found.value"))).alias("random"),
+            looks_live(F.col("found.value"), F.col("found.kind")).alias("random"),
         )
     )
-    kind = (
-        F.when(F.col("owners") >= COMMON_OWNERS, "copied").when(F.col("random"), "live").otherwise("other")
-    )
+    common = (F.col("owners") >= COMMON_OWNERS) | (F.col("repositories") >= COMMON_REPOSITORIES)
+    kind = F.when(common, "copied").when(F.col("random"), "live").otherwise("other")
     classes = (
         values.groupBy("text_key", "value_hash")
-        .agg(F.min("random").alias("random"))
+        .agg(F.max("random").alias("random"))
         .join(ownership(values), "value_hash")
         .groupBy("text_key")
         .agg(F.map_from_entries(F.collect_list(F.struct("value_hash", kind))).alias("classes"))
@@ -278,8 +287,16 @@ def listed(spans: Column) -> Column:
     )
 
 
+#: The same key pattern without lookahead and possessive repeats, which RE2 lacks.
+_SQL_KINDS = KINDS | {
+    "block": r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:[\s\x0B]|\\[nr]|[\"',])*[A-Za-z0-9+/]{40,}={0,2})+)"
+}
+
+
 def _sql_spans(kind: str) -> str:
-    pattern, rank = KINDS[kind].replace("'", "''"), list(KINDS).index(kind)
+    pattern, rank = _SQL_KINDS[kind].replace("'", "''"), list(KINDS).index(kind)
     return f"""
   SELECT doc_id, {rank} AS rank, '{kind}' AS kind, m AS match,
          CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)
@@ -297,17 +314,24 @@ WITH d AS (
 ), spans AS (
   SELECT doc_id, rank, kind, s, s + length(match) AS e, value FROM (
     SELECT *, CASE WHEN kind = 'assign'
-      THEN regexp_extract(match, '{ASSIGN.replace("'", "''")}', 2) ELSE match END AS value FROM found)
+      THEN regexp_extract(match, '{ASSIGN.replace("'", "''")}', 2)
+      WHEN kind = 'block' THEN regexp_replace(match, '{NO_BODY}', '', 'g') ELSE match END AS value FROM found)
   WHERE kind <> 'assign' OR length(value) >= {ASSIGN_LEAST}
 ), owners AS (
-  SELECT value, count(DISTINCT coalesce(source, '')) AS owners
+  SELECT value, count(DISTINCT coalesce(source, '')) AS owners,
+         count(DISTINCT {{'owner': coalesce(source, ''), 'repository': coalesce(lang, '')}}) AS repositories
   FROM spans JOIN d USING (doc_id) GROUP BY value
+), judged AS (
+  SELECT *, bool_or(kind = 'block' OR (NOT regexp_matches(value, '{_PLACEHOLDER}') AND CASE
+    WHEN kind = 'assign' THEN regexp_matches(value, '{NOT_PLAIN}')
+    ELSE len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS}
+      AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') END))
+    OVER (PARTITION BY doc_id, value) AS live
+  FROM spans
 ), classed AS (
-  SELECT spans.*, CASE WHEN owners >= {COMMON_OWNERS} THEN 'copied'
-    WHEN len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS}
-      AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
-      AND NOT regexp_matches(value, '{_PLACEHOLDER}') THEN 'live' ELSE 'other' END AS class
-  FROM spans JOIN owners USING (value)
+  SELECT judged.*, CASE WHEN owners >= {COMMON_OWNERS} OR repositories >= {COMMON_REPOSITORIES} THEN 'copied'
+    WHEN live THEN 'live' ELSE 'other' END AS class
+  FROM judged JOIN owners USING (value)
 ), listed AS (
   SELECT doc_id,
     count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
@@ -341,15 +365,18 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_live(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: values of live-looking secrets, private keys as a whole, are
-    replaced in the texts, ``n_chars`` follows; every document stays."""
+    replaced in the texts, ``n_chars``, if there is one, follows; every document stays."""
     name, live = private("text"), private("live")
     marked = (
-        scan(docs, kinds=WHOLE_KINDS)
+        scan(docs)
         .select(F.col("text_key").alias(name), of_class("live").alias(live))
         .where(F.size(live) > 0)
         .dropDuplicates([name])
     )
     joined = docs.join(marked, F.sha2(F.coalesce("text", F.lit("")), 256) == F.col(name), "left")
     text = F.when(F.col(live).isNotNull(), redact(F.col("text"), F.col(live))).otherwise(F.col("text"))
-    size = F.when(F.col(live).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return joined.withColumn("text", text).withColumn("n_chars", size).drop(name, live)
+    done = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        size = F.when(F.col(live).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        done = done.withColumn("n_chars", size)
+    return done.drop(name, live)

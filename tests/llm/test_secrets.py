@@ -57,6 +57,7 @@ def test_spans_and_classes(spark):
     for r in got:
         for s in r.spans:
             kind = r.classes[hashlib.sha256(s.value.encode()).hexdigest()]
+            # one repository an owner here
             assert (kind == "copied") == (len(owners[s.value]) >= secrets.COMMON_OWNERS)
     assert by_text[None].classes[hashlib.sha256(b"lonely-Value-77").hexdigest()] == "live"
 
@@ -114,6 +115,39 @@ def test_whole_private_keys_are_redacted(spark):
     assert got[9].text.startswith("[SECRET]") and len(got[9].text) < 60
 
 
+def test_classes_by_owner_and_repository(spark):
+    key = key_block(11)
+    rows = [
+        (1, "password: hunterTwoXyz", "a", "x"), (2, "token=849302847561920", "b", "x"), (3, "passwd: hunter2", "c", "x"),
+        (4, "secret: architecture of-the House", "d", "x"), (5, "password: your-password-1", "d", "x"),
+        *((10 + i, "secret=many4Repos", "e", f"r{i}") for i in range(3)),
+        *((20 + i, "secret=two4Repos", "e", f"r{i % 2}") for i in range(4)),
+        *((30 + i, "secret=many4Owners", f"o{i}", None) for i in range(3)),
+        (40, key, "f", "x"), (41, f"again {key}", "f", "y"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {}
+    for r in secrets.scan(df).select("doc_id", *(secrets.of_class(c).alias(c) for c in ("live", "copied", "other"))).collect():
+        got[r.doc_id] = {(s.kind, c) for c in ("live", "copied", "other") for s in r[c]}
+    live, copied, other = {("assign", "live")}, {("assign", "copied")}, {("assign", "other")}
+    want = {1: live, 2: live, 3: live, 4: other, 5: other}
+    want |= {10 + i: copied for i in range(3)} | {20 + i: live for i in range(4)} | {30 + i: copied for i in range(3)}
+    want |= {i: {("pem", "other"), ("block", "live")} for i in (40, 41)}
+    assert got == want
+    bare = secrets.redact_live(spark, df, "")
+    assert bare.columns == df.columns
+    assert {r.doc_id for r in bare.where("text LIKE '%[SECRET]%'").collect()} == {1, 2, 3, 20, 21, 22, 23, 40, 41}
+
+
+def test_sql_finds_the_same_keys():
+    duckdb = __import__("duckdb")
+    texts = [key_block(1), key_block(2, "EC ", "\\n") + " tail", key_block(3)[:700], "x---" + key_block(4) + "--- " + key_block(5)]
+    pattern = secrets._SQL_KINDS["block"]
+    for text in texts:
+        found = duckdb.execute("SELECT regexp_extract_all(?, ?)", [text, pattern]).fetchone()[0]
+        assert found == [m[0] for m in re.finditer(secrets.BLOCK, text)] and found
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a", "b", "c")], "doc_id long, text string, source string, lang string")
     plan = secrets.scan(df)._jdf.queryExecution().executedPlan().toString()
