@@ -11,10 +11,11 @@ from quillframe.functions import text as tx
 from quillframe.operators import query as sql
 from quillframe.operators import search, sinks
 from quillframe.operators.query import LOG_BUCKETS, RANK_K, column_sketches, profile_of_sketches
+from quillframe.operators.search_index import build_index
 from quillframe.plans import render
 from quillframe.plans.catalogue import query, table, workspace
 from quillframe.plans.extraction import order_records
-from quillframe.session import materialise
+from quillframe.session import materialise, scratch_path
 from quillframe.sources import listing
 
 
@@ -291,6 +292,29 @@ def search_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("name", r"^(\w+)\.", 1).alias("name"), "line_no", "line")
 
 
+#: Text of a block of the index: the test tables are small, and so are their blocks.
+_INDEX_BLOCK = 1 << 17
+_INDEXED = (_PATTERN, "MENTRE+a|thaner[a-z]+", "^[^.,]+$")
+
+
+@query(
+    f"WITH {_LINES}\n"
+    + "\nUNION ALL\n".join(
+        f"SELECT '{p}' AS pattern, regexp_replace(name, '[.]txt$', '') AS name, CAST(line_no AS BIGINT) AS line_no, "
+        f"trim(line, ' ' || chr(9)) AS line FROM lines WHERE regexp_matches(line, '{p}', 'i')"
+        for p in _INDEXED
+    )
+)
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found through an index over all documents: by a sign, by runs of two
+    alternatives, and by a scan, as the third pattern has nothing to look up."""
+    index = build_index(render.text_documents(spark, sf_dir), scratch_path(spark, "index"), _INDEX_BLOCK)
+    found = [index.matching_lines(p).select(F.lit(p).alias("pattern"), "*") for p in _INDEXED]
+    return reduce(DataFrame.unionByName, found).select(
+        "pattern", F.regexp_extract("name", r"^(\w+)\.", 1).alias("name"), "line_no", "line"
+    )
+
+
 @query(
     f"""
 WITH {_LINES}
