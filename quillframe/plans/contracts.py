@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.model import FieldDef, RecordSchema, typed_struct
 from quillframe.operators import contracts
+from quillframe.operators.open_members import with_open_members
 from quillframe.plans import render
 from quillframe.plans.catalogue import costly, query, table
+from quillframe.session import materialise
 
 
 @query(
@@ -241,6 +243,54 @@ def conform_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS rank, CAST(count(*) AS BIGINT) AS orders,
+       CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN CAST(round(o_totalprice * 100) AS BIGINT) END) AS BIGINT) AS cents,
+       CAST(coalesce(sum(CASE WHEN o_orderstatus <> 'P' AND o_orderstatus = 'O' THEN 1 ELSE 0 END), 0) AS BIGINT) AS still_open,
+       CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN o_custkey % 7 END) AS BIGINT) AS weight,
+       CAST(0 AS BIGINT) AS misread
+FROM orders GROUP BY 1
+"""
+)
+def open_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that the schema does not declare, in objects and array items, stored
+    as a VARIANT and read with their types; the JSON of some orders is cut off."""
+    status = F.col("o_orderstatus")
+    weighed = F.struct(status.alias("code"), (F.col("o_custkey") % 7).alias("weight"))
+    record = F.to_json(
+        F.struct(
+            F.col("o_orderkey").alias("order_number"),
+            F.struct(F.col("o_custkey").alias("number"), F.col("o_orderpriority").alias("rank")).alias("buyer"),
+            F.col("o_totalprice").alias("price"),
+            (status == "O").alias("open"),
+            F.array(F.struct(status.alias("code"), F.lit(None).cast("long").alias("weight")), weighed).alias("marks"),
+        ),
+        {"ignoreNullFields": "true"},
+    )
+    schema = RecordSchema(
+        "order",
+        (
+            FieldDef("order_number", "number"),
+            FieldDef("buyer", "object", properties=(FieldDef("number", "number"),)),
+            FieldDef("marks", "array", items=FieldDef("mark", "object", properties=(FieldDef("code", "string"),))),
+        ),
+    )
+    json = costly(spark, sf_dir, "orders").select(F.when(status == "P", F.left(record, F.lit(30))).otherwise(record).alias("json"))
+    stored = materialise(with_open_members(json, schema).drop("json"), "open-members")
+
+    def member(path: str, kind: str) -> Column:
+        return F.try_variant_get("open_members", f"$.{path}", kind)
+
+    return stored.groupBy(member("buyer.rank", "string").alias("rank")).agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.sum(F.round(member("price", "double") * 100).cast("long")).alias("cents"),
+        F.count_if(member("open", "boolean")).alias("still_open"),
+        F.sum(member("marks[1].weight", "long")).alias("weight"),
+        F.count(F.coalesce(member("order_number", "long"), member("buyer.rank", "double"))).alias("misread"),
+    )
+
+
 @query(
     """
 SELECT schema_name, CAST(max(n) AS BIGINT) AS version,
