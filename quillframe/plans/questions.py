@@ -115,6 +115,11 @@ def profile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Steps in which the longest chain of orders ends, and the most orders of one step.
+CHAIN_STEPS = 8
+CHAIN_RUN = 1_000_000
+
+
 @query(
     """
 WITH RECURSIVE ranked AS (
@@ -130,22 +135,42 @@ FROM chain GROUP BY o_custkey
 """
 )
 def cte_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders one after the other: how often one beat all before it."""
+    """A customer's orders one after the other: how often one beat all before it.
+
+    A step of the recursion takes a run of a customer's orders, as long as it must be
+    for the longest chain to end in CHAIN_STEPS steps. Orders without a customer follow
+    no other, so only the first of them is there.
+    """
     ws = workspace(spark, sf_dir, "orders")
     # stored, as every step of the recursion reads it
     ranked = ws.query(
         "SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders"
     )
     materialise(ranked, "ranked-orders").createOrReplaceTempView("ranked")
+    longest = ws.query("SELECT max(n) FROM ranked WHERE o_custkey IS NOT NULL OR n = 1").first()[0] or 1
+    length = min(-(-longest // CHAIN_STEPS), CHAIN_RUN)
+    runs = ws.query(
+        f"""
+SELECT o_custkey, run, transform(array_sort(collect_list(struct(n, o_totalprice))), o -> o.o_totalprice) AS prices
+FROM (SELECT *, (n - 1) DIV {length} AS run FROM ranked WHERE o_custkey IS NOT NULL OR n = 1)
+GROUP BY o_custkey, run
+"""
+    )
+    materialise(runs, "order-runs").createOrReplaceTempView("runs")
+    ws.allow_recursion(-(-longest // length))
+    beaten = """(s, price) -> named_struct(
+      'best', greatest(s.best, price), 'highs', s.highs + CASE WHEN price > s.best THEN 1 ELSE 0 END)"""
     return ws.query(
-        """
+        f"""
 WITH RECURSIVE chain AS (
-  SELECT o_custkey, n, o_totalprice AS best, 1 AS highs FROM ranked WHERE n = 1
+  SELECT o_custkey, run, size(prices) AS n,
+         aggregate(slice(prices, 2, size(prices)), named_struct('best', prices[0], 'highs', 1), {beaten}) AS s
+  FROM runs WHERE run = 0
   UNION ALL
-  SELECT r.o_custkey, r.n, greatest(c.best, r.o_totalprice), c.highs + CASE WHEN r.o_totalprice > c.best THEN 1 ELSE 0 END
-  FROM chain c JOIN ranked r ON r.o_custkey = c.o_custkey AND r.n = c.n + 1
+  SELECT r.o_custkey, r.run, c.n + size(r.prices), aggregate(r.prices, c.s, {beaten})
+  FROM chain c JOIN runs r ON r.o_custkey = c.o_custkey AND r.run = c.run + 1
 )
-SELECT o_custkey, CAST(max(n) AS BIGINT) AS orders, max(best) AS best, CAST(max(highs) AS BIGINT) AS highs
+SELECT o_custkey, CAST(max(n) AS BIGINT) AS orders, max(s.best) AS best, CAST(max(s.highs) AS BIGINT) AS highs
 FROM chain GROUP BY o_custkey
 """
     )

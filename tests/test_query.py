@@ -4,6 +4,10 @@ import pytest
 
 from quillframe.operators import search
 from quillframe.operators.query import Workspace, column_sketches, profile_of_sketches, profile_table
+from quillframe.plans import load_all, questions
+from quillframe.plans.catalogue import QUERIES
+
+load_all()
 
 RIVERS = [(i, f"river {i:03d}", ["north", "south", "delta"][i % 3], i * 1.5 if i % 4 else None) for i in range(90)]
 
@@ -147,3 +151,36 @@ def test_sketches_merge_to_a_profile(spark):
     assert rows["none"].median_value is None and rows["none"].distinct_values == 0
     some = {r.column_name: r for r in profile_of_sketches(sketches.where("part = 3")).collect()}
     assert some["id"].non_null == df.where("part = 3").count()
+
+
+def test_recursion_of_any_depth_and_size(spark, tmp_path, monkeypatch):
+    """A chain of more than 100 steps, and more than a million rows in all."""
+    orders = spark.range(1_000_300).selectExpr(
+        "id AS o_orderkey",
+        # one customer with 130 orders, one with 20 and some without a price, some without a customer
+        "CASE WHEN id < 130 THEN -1 WHEN id < 150 THEN -2 WHEN id < 155 THEN NULL ELSE id END AS o_custkey",
+        "CASE WHEN id >= 130 AND id < 150 AND id % 3 = 0 THEN NULL ELSE CAST(id * 7919 % 1009 AS DOUBLE) END AS o_totalprice",
+        "timestamp'2024-01-01' AS o_orderdate",
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    rows = {r.o_custkey: (r.orders, r.best, r.highs) for r in QUERIES["cte_recursive"](spark, str(tmp_path)).where(
+        "o_custkey < 0 OR o_custkey IS NULL OR orders <> 1 OR highs <> 1 OR o_custkey % 100000 = 0"
+    ).collect()}
+
+    def chain(ids, price):
+        best, highs = price(ids[0]), 1
+        for p in map(price, ids[1:]):
+            highs += p is not None and best is not None and p > best
+            best = max((x for x in (best, p) if x is not None), default=None)
+        return len(ids), best, highs
+
+    price = lambda i: float(i * 7919 % 1009)
+    assert rows.pop(-1) == chain(range(130), price)
+    assert rows.pop(-2) == chain(range(130, 150), lambda i: price(i) if i % 3 else None)
+    assert rows.pop(None) == (1, price(150), 1)
+    assert rows == {k: (1, price(k), 1) for k in range(100_000, 1_000_001, 100_000)}
+    monkeypatch.setattr(questions, "CHAIN_RUN", 9)  # 15 steps
+    few = tmp_path / "few"
+    spark.read.parquet(str(tmp_path / "orders.parquet")).where("o_custkey < 0").write.parquet(str(few / "orders.parquet"))
+    deep = {r.o_custkey: (r.orders, r.best, r.highs) for r in QUERIES["cte_recursive"](spark, str(few)).collect()}
+    assert deep == {-1: chain(range(130), price), -2: chain(range(130, 150), lambda i: price(i) if i % 3 else None)}
