@@ -1,25 +1,29 @@
 """An index for regex search: which documents hold which short runs of characters.
 
 The index is two tables below a folder. ``texts`` has the documents in blocks
-(a partition column), neighbouring paths together; ``grams`` has a row for each
-run of GRAM printable ASCII characters, and each ASCII sign, of each document,
-sorted by run, so that looking one up reads a few row groups. A search takes the
+(a partition column), neighbouring paths together; ``grams`` lists the documents of
+each run of GRAM printable ASCII characters and each ASCII sign. Every task lists
+those of its own documents, sorted by run, so that nothing is shuffled for it and
+looking one up reads a few pages of each file. A search takes the
 runs that every match of its pattern must hold, finds the documents that have
 them all, reads the blocks of those only and verifies each line. A pattern
 without such runs is searched for in all blocks; the rows are the same.
 
 Cases are folded as the search does: the few letters outside ASCII that match
-an ASCII letter are replaced by it. Texts of any length are cut into pieces that
+an ASCII letter are replaced by it. Texts of any length are read in pieces that
 overlap. Null texts have no lines; repeated documents stay apart.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,30 +34,82 @@ from quillframe.session import materialise
 GRAM = 3
 #: Characters of text in a block, which is read or left out as a whole.
 BLOCK_CHARS = 1 << 28
-#: Characters of a piece whose runs are listed at once.
-PIECE = 1 << 12
+#: Smaller blocks than that are made up to this number, which grows no further.
+SMALL_BLOCKS = 512
+#: Bytes of a piece whose runs are listed at once.
+PIECE = 1 << 20
+#: Pairs of a run and a document that a task holds before it writes them.
+HELD = 1 << 22
 
 TEXTS = "path string, filename string, content string, doc long, block int"
-GRAMS = "gram string, block int, doc long"
+GRAMS = "gram string, block int, docs array<long>"
 
 # What matches an ASCII letter besides that letter, cases ignored.
 _ALSO, _LETTERS = "İıſK", "iisk"
 _SIGNS = r"[!-/:-@\[-`{-~]"
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs and signs of a text, in arrays, one for each piece."""
-    folded = F.lower(F.translate(text, _ALSO, _LETTERS))
-    pieces = F.regexp_extract_all(
-        folded, F.lit(rf"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}"), F.lit(1)
-    )
-    return F.transform(
-        pieces,
-        lambda p: F.array_union(
-            F.regexp_extract_all(p, F.lit(rf"(?=([ -~]{{{GRAM}}}))"), F.lit(1)),
-            F.regexp_extract_all(p, F.lit(_SIGNS), F.lit(0)),
-        ),
-    )
+def _folds() -> np.ndarray:
+    """For each byte of a text: itself in lower case, or 0 if no run holds it."""
+    folds = np.zeros(256, np.uint8)
+    folds[32:127] = list(bytes(range(32, 127)).lower())
+    return folds
+
+
+_FOLDS = _folds()
+_IS_SIGN = np.array([re.fullmatch(_SIGNS, chr(i)) is not None for i in range(128)])
+
+
+def _codes(text: np.ndarray) -> np.ndarray:
+    """The distinct runs and signs in the bytes of a text, seven bits a character."""
+    seen = np.zeros(1 << 7 * GRAM, bool) if len(text) > PIECE else None
+    found = []
+    for at in range(0, max(len(text), 1), PIECE):
+        folded = _FOLDS[text[at : at + PIECE + GRAM - 1]]
+        n = max(len(folded) - GRAM + 1, 0)
+        code, whole = np.zeros(n, np.int32), np.ones(n, bool)
+        for i in range(GRAM):
+            code = code << 7 | folded[i : i + n]
+            whole &= folded[i : i + n] > 0
+        signs = folded[_IS_SIGN[folded]].astype(np.int32)
+        found = np.concatenate([code[whole], signs])
+        if seen is not None:
+            seen[found] = True
+    return np.unique(found) if seen is None else np.flatnonzero(seen)
+
+
+def _gram(code: int) -> str:
+    return "".join(chr(code >> 7 * i & 127) for i in reversed(range(GRAM))).lstrip("\0")
+
+
+def _listed(block: int, docs: list[int], codes: list[np.ndarray]) -> pa.RecordBatch:
+    """The documents of each run, as a batch of GRAMS."""
+    pairs = np.concatenate([c.astype(np.int64) << 32 | i for i, c in enumerate(codes)])
+    pairs.sort()
+    found, first = np.unique(pairs >> 32, return_index=True)
+    ids = np.array(docs, np.int64)[pairs & 0xFFFFFFFF]
+    lists = pa.ListArray.from_arrays(np.append(first, len(pairs)).astype(np.int32), pa.array(ids))
+    grams = pa.array([_gram(c) for c in found.tolist()], pa.string())
+    return pa.RecordBatch.from_arrays([grams, pa.array([block] * len(found), pa.int32()), lists], ["gram", "block", "docs"])
+
+
+def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, doc, text as bytes) to rows of GRAMS; a document is in one of the rows of a run."""
+    block, docs, codes, held = None, [], [], 0
+    for batch in batches:
+        columns = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+        for here, doc, text in zip(*columns, strict=True):
+            if docs and (here != block or held >= HELD):
+                yield _listed(block, docs, codes)
+                docs, codes, held = [], [], 0
+            of_text = _codes(np.frombuffer(text.as_buffer(), np.uint8)) if text.is_valid else ()
+            block = here
+            if len(of_text):
+                docs.append(doc)
+                codes.append(of_text)
+                held += len(of_text)
+    if docs:
+        yield _listed(block, docs, codes)
 
 
 #: Parts of a class that are not looked into.
@@ -149,7 +205,9 @@ class SearchIndex:
 
     @property
     def grams(self) -> DataFrame:
-        return self.spark.read.schema(GRAMS).parquet(f"{self.folder}/grams")
+        """(gram, block, doc), each once."""
+        listed = self.spark.read.schema(GRAMS).parquet(f"{self.folder}/grams")
+        return listed.select("gram", "block", F.explode("docs").alias("doc"))
 
     def candidates(self, pattern: str) -> DataFrame | None:
         """(block, doc) of the documents that have all runs of an alternative of the
@@ -183,16 +241,16 @@ def build_index(documents: DataFrame, folder: str, block_chars: int = BLOCK_CHAR
     """Index documents given as (path, filename, content) below a new folder."""
     spark = documents.sparkSession
     chars = documents.agg(F.sum(F.length("content").cast("long"))).first()[0] or 0
+    # tasks, folders and listings cost by the block: many blocks are large ones
+    blocks = max(1, min(-(-chars // block_chars), SMALL_BLOCKS), -(-chars // max(block_chars, BLOCK_CHARS)))
     # neighbouring paths share a block; a path that repeats is split by its texts
     placed = documents.select("path", "filename", "content").repartitionByRange(
-        max(1, -(-chars // block_chars)), "path", F.xxhash64("content")
+        blocks, "path", F.xxhash64("content")
     )
     texts = placed.withColumns({"block": F.spark_partition_id(), "doc": F.monotonically_increasing_id()})
     texts.write.partitionBy("block").parquet(f"{folder}/texts")
     index = SearchIndex(spark, folder)
-    pieces = index.texts.select("block", "doc", F.explode(_grams(F.col("content"))).alias("grams"))
-    rows = pieces.select(F.explode("grams").alias("gram"), "block", "doc").distinct()
-    # a run in very many documents fills several ranges
-    ordered = rows.repartitionByRange("gram", "block", "doc").sortWithinPartitions("gram", "block", "doc")
-    ordered.write.parquet(f"{folder}/grams")
+    folded = F.translate("content", _ALSO, _LETTERS).cast("binary")
+    listed = index.texts.select("block", "doc", folded.alias("text")).mapInArrow(_list_grams, GRAMS)
+    listed.sortWithinPartitions("gram", "block").write.parquet(f"{folder}/grams")
     return index
