@@ -58,16 +58,11 @@ GROUP BY page
 def page_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages of a result that is computed once."""
     pages = workspace(spark, sf_dir, "orders").cursor(_ORDERED).pages(5000)
-    parts = [
-        page.agg(
-            F.lit(i).cast("long").alias("page"),
-            F.count(F.lit(1)).alias("rows"),
-            F.min("o_totalprice").alias("lowest"),
-            F.max("o_totalprice").alias("highest"),
-        )
-        for i, page in enumerate(pages)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return pages.numbered().groupBy("page").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("o_totalprice").alias("lowest"),
+        F.max("o_totalprice").alias("highest"),
+    )
 
 
 _SKETCHED = {

@@ -184,3 +184,19 @@ def test_recursion_of_any_depth_and_size(spark, tmp_path, monkeypatch):
     spark.read.parquet(str(tmp_path / "orders.parquet")).where("o_custkey < 0").write.parquet(str(few / "orders.parquet"))
     deep = {r.o_custkey: (r.orders, r.best, r.highs) for r in QUERIES["cte_recursive"](spark, str(few)).collect()}
     assert deep == {-1: chain(range(130), price), -2: chain(range(130, 150), lambda i: price(i) if i % 3 else None)}
+
+
+def test_all_pages_in_one_scan(spark, ws, tmp_path):
+    sql = "SELECT id, km, id FROM rivers ORDER BY km DESC NULLS LAST, id"
+    cursor = ws.cursor(sql)
+    rows = [tuple(r) for r in cursor.pages(7).numbered("at").collect()]
+    by_page = [{tuple(r) for r in page.collect()} for page in cursor.pages(7)]
+    assert len(rows) == 90 and [{r[1:] for r in rows if r[0] == i} for i in range(13)] == by_page
+    orders = spark.range(12_001).selectExpr("id AS o_orderkey", "CAST(id % 4000 AS DOUBLE) AS o_totalprice")
+    orders.repartition(3).write.parquet(str(tmp_path / "some" / "orders.parquet"))
+    pages = QUERIES["page_cursor"](spark, str(tmp_path / "some"))
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("FileScan") == 1  # the plan does not grow with the rows
+    assert sorted(map(tuple, pages.collect())) == [(0, 5000, 2333.0, 3999.0), (1, 5000, 666.0, 2333.0), (2, 2001, 0.0, 666.0)]
+    orders.limit(0).write.parquet(str(tmp_path / "none" / "orders.parquet"))
+    assert QUERIES["page_cursor"](spark, str(tmp_path / "none")).collect() == []
