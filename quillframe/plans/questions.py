@@ -71,6 +71,20 @@ _SKETCHED = {
 }
 
 
+def _exact(items: DataFrame, column: str, median: float | None) -> DataFrame:
+    """One row: distinct values of a column, and values below and up to the median."""
+    values = items.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("long")
+    m = F.lit(median).cast("double")
+    number = F.col("v").cast("double") if median is not None else F.lit(None).cast("double")
+    return values.agg(
+        F.lit(column).alias("column_name"),
+        F.count("v").alias("distinct"),
+        F.coalesce(F.sum(F.when(number < m, F.col("n"))), none).alias("below"),
+        F.coalesce(F.sum(F.when(number <= m, F.col("n"))), none).alias("up_to"),
+    )
+
+
 @query(
     " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{t}' AS column_type, count(*) AS rows, count({c}) AS non_null, "
@@ -85,22 +99,20 @@ def profile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     sketches = materialise(column_sketches(items, ["l_returnflag"]), "sketches")
     found = materialise(profile_of_sketches(sketches), "sketch-profile")
     rows = {r.column_name: r for r in found.collect()}  # one per column
-    exact = [F.count_distinct(c).alias(f"{c}_d") for c in _SKETCHED]
-    below = [
-        f(F.col(c), F.lit(rows[c].median_value)).alias(f"{c}_{n}")
+    # each column by itself, as distinct values with their counts: no row is multiplied
+    exact = [
+        _exact(items, c, None if t == "string" else rows[c].median_value)
         for c, t in _SKETCHED.items()
-        if t != "string"
-        for n, f in (("lt", lambda x, m: F.count_if(x < m)), ("le", lambda x, m: F.count_if(x <= m)))
     ]
-    truth = items.agg(*exact, *below).first()
+    truth = {r.column_name: r for r in reduce(DataFrame.unionByName, exact).collect()}  # one per column
 
     def fits(c: str) -> tuple[str, bool, bool | None]:
         bound = 4 * 1.04 / 2 ** (LOG_BUCKETS / 2)
-        near = abs(rows[c].distinct_values - truth[f"{c}_d"]) <= bound * truth[f"{c}_d"] + 1
+        near = abs(rows[c].distinct_values - truth[c].distinct) <= bound * truth[c].distinct + 1
         if _SKETCHED[c] == "string":
             return c, near, None
         n, error = rows[c].non_null, 2.3 / RANK_K
-        return c, near, truth[f"{c}_lt"] - 1 <= (0.5 + error) * n and truth[f"{c}_le"] + 1 >= (0.5 - error) * n
+        return c, near, truth[c].below - 1 <= (0.5 + error) * n and truth[c].up_to + 1 >= (0.5 - error) * n
 
     verdict = spark.createDataFrame(
         [fits(c) for c in _SKETCHED], "column_name string, distinct_fits boolean, median_fits boolean"

@@ -200,3 +200,13 @@ def test_all_pages_in_one_scan(spark, ws, tmp_path):
     assert sorted(map(tuple, pages.collect())) == [(0, 5000, 2333.0, 3999.0), (1, 5000, 666.0, 2333.0), (2, 2001, 0.0, 666.0)]
     orders.limit(0).write.parquet(str(tmp_path / "none" / "orders.parquet"))
     assert QUERIES["page_cursor"](spark, str(tmp_path / "none")).collect() == []
+
+
+def test_exact_figures_multiply_no_row(spark):
+    values = [3.0, 1.0, None, 2.0, 2.0, None, 9.0, -0.0, 0.0]
+    df = spark.createDataFrame([(v, str(v)) for v in values], "x double, t string")
+    found = questions._exact(df, "x", 2.0)
+    assert tuple(found.first()) == ("x", 5, 3, 5)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tuple(questions._exact(df, "t", None).first()) == ("t", 7, 0, 0)
+    assert tuple(questions._exact(df.limit(0), "x", 2.0).first()) == ("x", 0, 0, 0)
