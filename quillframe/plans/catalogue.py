@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: How many tasks the caller wants for rendering and parsing. A Parquet file with a
 #: single row group is one task whatever its rows cost; whoever has such files may
-#: set this. Unset, nothing is shuffled for it.
+#: set this. Unset, only orders are shuffled for it, see :func:`dealt`.
 RENDER_TASKS = "quillframe.render.tasks"
 
 
@@ -49,6 +49,17 @@ def costly(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(int(tasks)) if tasks else rows
 
 
+def dealt(rows: DataFrame, scan: DataFrame) -> DataFrame:
+    """Short rows that become long texts, dealt out to several tasks a core, to as many
+    as ``scan``, the table they come from, has, or to as many as the caller asks for: a
+    file may have few row groups, whatever its rows cost."""
+    spark = rows.sparkSession
+    tasks = spark.conf.get(RENDER_TASKS, None)
+    if tasks is None:
+        tasks = max(scan.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(int(tasks))
+
+
 def workspace(spark: SparkSession, sf_dir: str, *names: str) -> Workspace:
     """A workspace with the named tables registered."""
     ws = Workspace(spark)

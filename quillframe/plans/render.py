@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillframe.model import FieldDef, RecordSchema
 from quillframe.operators.extraction import RuleStrategy, labelled
-from quillframe.plans.catalogue import costly, table
+from quillframe.plans.catalogue import costly, dealt, table
 
 # -- the documents table as files -----------------------------------------------
 
@@ -97,11 +97,16 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text per order. Low-priority pending orders have no total, urgent
     finished ones have one in words, and unspecified priorities are left out.
     """
-    orders = costly(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_mktsegment"
     )
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    joined = dealt(
+        orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+            "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "c_name", "c_mktsegment"
+        ),
+        orders,
+    )
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     amount = F.concat(F.lit("Total: $"), F.format_number("o_totalprice", 2))
     total = (

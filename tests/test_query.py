@@ -1,10 +1,11 @@
 """Workspaces over a table of rivers: paging, errors, profiles; then search."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillframe.operators import search
 from quillframe.operators.query import Workspace, column_sketches, profile_of_sketches, profile_table
-from quillframe.plans import load_all, questions
+from quillframe.plans import load_all, questions, render
 from quillframe.plans.catalogue import QUERIES
 
 load_all()
@@ -210,3 +211,17 @@ def test_exact_figures_multiply_no_row(spark):
     assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
     assert tuple(questions._exact(df, "t", None).first()) == ("t", 7, 0, 0)
     assert tuple(questions._exact(df.limit(0), "x", 2.0).first()) == ("x", 0, 0, 0)
+
+
+def test_orders_of_one_row_group_are_rendered_by_many_tasks(spark, tmp_path):
+    spark.range(900).selectExpr(
+        "id AS o_orderkey", "id % 9 AS o_custkey", "'O' AS o_orderstatus", "CAST(id AS DOUBLE) AS o_totalprice",
+        "timestamp'2024-01-01' AS o_orderdate", "IF(id % 2 = 0, '1-URGENT', '5-LOW') AS o_orderpriority",
+    ).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(9).selectExpr("id AS c_custkey", "'n' AS c_name", "'s' AS c_mktsegment").write.parquet(
+        str(tmp_path / "customer.parquet")
+    )
+    made = render.order_documents(spark, str(tmp_path))
+    tasks = made.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 2 * spark.sparkContext.defaultParallelism and sum(r["count"] for r in tasks) == 900
+    assert made.where("doc_index IN (1, 2)").count() == 2
