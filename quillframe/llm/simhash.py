@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import private, query, raw_texts, table
+from quillframe.llm.common import by_shuffle, private, query, raw_texts, table
 from quillframe.session import materialise
 
 SHINGLE = 4
@@ -89,9 +89,9 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def bucketed(fps: DataFrame, masks: list[int]) -> DataFrame:
-    """A row ``table, bucket, fp`` for every table and fingerprint."""
+    """Each row of ``fps`` with ``table, bucket`` for every table."""
     tables = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks)))
-    return fps.select("fp", tables.alias("table", "bucket"))
+    return fps.select("*", tables.alias("table", "bucket"))
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -177,12 +177,14 @@ def near_classes(
     """``fp, class_fp`` for every fingerprint of ``prints`` (column ``fp``): the
     smallest fingerprint reachable through links of at most ``radius`` bits."""
     fps = materialise(prints.select("fp").distinct(), "fingerprints")
-    tables = bucketed(fps, covering_masks(radius))
+    masks = covering_masks(radius)
+    tables = bucketed(fps, masks)
     shared = tables.groupBy("table", "bucket").agg(
         F.count("*").alias("n"), F.min("fp").alias("pivot")
     ).where("n > 1").drop("n")
     stars = (
-        tables.join(shared, ["table", "bucket"])
+        by_shuffle(tables)
+        .join(shared, ["table", "bucket"])
         .where((F.col("fp") != F.col("pivot")) & (distance(F.col("fp"), F.col("pivot")) <= radius))
         .select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
         .distinct()
@@ -192,14 +194,14 @@ def near_classes(
     named = fps.join(known, F.col("fp") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "fp").alias("component")
     )
-    open_rows = tables.join(named, "fp")
+    open_rows = bucketed(named, masks)
     mixed = (
         open_rows.groupBy("table", "bucket")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where("lo <> hi")
         .select("table", "bucket")
     )
-    rest = materialise(open_rows.join(mixed, ["table", "bucket"]), "open-buckets")
+    rest = materialise(by_shuffle(open_rows).join(mixed, ["table", "bucket"]), "open-buckets")
     more = block_links(rest, radius, block)
     final = components(first.unionByName(more), "components")
     return fps.join(final, F.col("fp") == F.col("node"), "left").select(

@@ -94,6 +94,35 @@ def test_every_close_pair_shares_a_bucket():
         assert any(m & change == 0 for m in masks)
 
 
+def broadcast_explodes(df):
+    """Explodes below a broadcast in the plan of ``df``, whose size Spark has guessed."""
+    found, below = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = re.search("[A-Za-z]", line)
+        if not depth:
+            continue
+        if below is not None and depth.start() <= below:
+            below = None
+        if below is None and line[depth.start() :].startswith("BroadcastExchange"):
+            below = depth.start()
+        elif below is not None and line[depth.start() :].startswith("Generate"):
+            found.append(line.strip())
+    return found
+
+
+def test_rows_of_all_tables_are_never_broadcast(spark, monkeypatch):
+    plans, store = {}, simhash.materialise
+
+    def stored(df, label):
+        plans.setdefault(label, []).append(broadcast_explodes(df))
+        return store(df, label)
+
+    monkeypatch.setattr(simhash, "materialise", stored)
+    df = spark.createDataFrame([(i, f"a b c d e f{i % 9}") for i in range(40)], "doc_id long, text string")
+    plans["result"] = [broadcast_explodes(simhash.near_duplicates(df))]
+    assert {"stars", "open-buckets"} <= set(plans) and not [p for ps in plans.values() for p in ps if p]
+
+
 def test_one_of_each_keeps_other_columns_and_repeated_rows_once(spark):
     text = " ".join(f"word{i}" for i in range(80))
     rows = [(1, text, "a"), (2, text, "b"), (3, "other words here now", "c"), (3, "other words here now", "c"),
