@@ -4,6 +4,7 @@ import random
 import re
 
 from pyspark.sql import functions as F
+from test_simhash import broadcast_explodes
 
 from quillframe.llm import secrets
 
@@ -154,6 +155,12 @@ def test_no_python_in_the_plan(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_found_values_are_never_broadcast(spark):
+    df = spark.createDataFrame([(1, "a", "b", "c")], "doc_id long, text string, source string, lang string")
+    assert "Generate" in secrets.scan(df)._jdf.queryExecution().executedPlan().toString()
+    assert not broadcast_explodes(secrets.scan(df))
+
+
 def test_running_sums(spark):
     sizes = [0, 1, 2, 127, 128, 129, 1000]
     df = spark.createDataFrame([(list(range(n)),) for n in sizes], "a array<int>")
